@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import reach_workers
+
 #: ASCII white space of the word and line contracts: space and 0x09-0x0D.
 SPACES = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,7 +34,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_lower(c: Column) -> Column:
