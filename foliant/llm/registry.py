@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bitslice_topk import OP7_SQL, op7_exact_top_k
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .mixing import op5_mix_sources
 from .near_dedup import op9_minhash_near_dedup
@@ -10,7 +11,8 @@ from .packing import op3_best_fit_packing
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_mix_sources": op5_mix_sources,
+    "op7_exact_top_k": op7_exact_top_k,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL = {"op10_line_dedup": OP10_SQL}
+ORACLE_SQL = {"op7_exact_top_k": OP7_SQL, "op10_line_dedup": OP10_SQL}
