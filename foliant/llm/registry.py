@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bitslice_topk import OP7_SQL, op7_exact_top_k
 from .language_id import op4_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .lm_scoring import op2_lm_scoring
 from .media import op1_avi_media
 from .mixing import op5_mix_sources
 from .near_dedup import op9_minhash_near_dedup
@@ -12,6 +13,7 @@ from .packing import op3_best_fit_packing
 
 QUERIES = {
     "op1_avi_media": op1_avi_media,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
