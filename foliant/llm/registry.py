@@ -10,6 +10,7 @@ from .media import op1_avi_media
 from .mixing import op5_mix_sources
 from .near_dedup import op9_minhash_near_dedup
 from .packing import op3_best_fit_packing
+from .quality_rules import op6_quality_rules
 
 QUERIES = {
     "op1_avi_media": op1_avi_media,
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_language_id": op4_language_id,
     "op5_mix_sources": op5_mix_sources,
+    "op6_quality_rules": op6_quality_rules,
     "op7_exact_top_k": op7_exact_top_k,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_line_dedup": op10_line_dedup,
