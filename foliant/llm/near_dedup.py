@@ -8,10 +8,13 @@ left out, so all such pairs meet under a key. At similarity 0.8, one pair in 10^
 meets under no key.
 
 Copies (equal shingle sets) are one class first. Keys that several classes share are
-buckets. A bucket never yields all its pairs: first every member is compared with the
-bucket's smallest member; what the confirmed links connect is one component; then only
-pairs of a bucket that lie in different components are compared, each minority
-component's members against the others. Every candidate is confirmed on full sets.
+buckets. A bucket never yields its pairs: first every member is compared with the
+bucket's smallest member; what the confirmed links connect is one component. Buckets
+that hold several components are then compared in full by their signatures, in cells
+of bounded size, and return a spanning forest of what is close. The trees are families;
+a family's shingle sets meet once, again in cells of bounded size, and return a
+spanning forest of the confirmed links. So rows stay in proportion to documents while
+no link between different texts is lost.
 Components come from star contractions (Kiveris et al., 2014) on stored tables.
 
 Defined results: a null or empty text, or one without words, has no shingles and
@@ -40,6 +43,9 @@ REACH = 2 * CHUNKS - 1
 SCREEN = 35
 #: Leaders with which a class is compared before components are first formed.
 LEADERS = 2
+#: Members of a bucket or family, and shingles of a family, that one part of it holds at
+#: most on average; larger ones are compared part by part. Pairs compared at a time.
+PART, LOAD, PAIRS = 1024, 1_000_000, 1 << 16
 #: Bytes of text that are hashed at a time.
 BLOCK = 1 << 20
 
@@ -223,33 +229,38 @@ def _distances(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, distance int")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. ``pairs`` is stored."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, set): the sorted shingle hashes of the documents that ``ids`` names, stored."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, data, ends in _blocks(b, 1):
                 g, upto = shingle_sets(data, ends)
                 each = [g[s:e].tobytes() for s, e in zip(np.r_[0, upto[:-1]], upto)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ends)), pa.array(each, pa.binary())], ["id", "set"])
 
-    found = materialize(texts.mapInArrow(sets, "id long, set binary").dropDuplicates(["id"]), "near-sets")
+    return materialize(texts.mapInArrow(run, "id long, set binary").dropDuplicates(["id"]), "near-sets")
+
+
+def alike(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
     num, den = SIMILARITY
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p) or den * len(p) < num * len(q):
+        return False
+    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return den * both >= num * (len(p) + len(q) - both)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough. ``pairs`` is stored."""
+    found = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                both = 0
-                if len(p) and den * len(p) >= num * len(q):
-                    at = np.searchsorted(q, p)
-                    both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                ok.append(both > 0 and den * both >= num * (len(p) + len(q) - both))
+            ok = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     one = found.select(F.col("id").alias("a"), F.col("set").alias("sa"))
@@ -257,6 +268,152 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _celled(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` with a column ``parts`` dealt to the cells (lo, hi) of their group: a group
+    of one part is one cell; of more, every two parts meet in a cell and no cell holds
+    more than two. Sorted by cell within partitions."""
+    i = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    dealt = rows.withColumn("part", i).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))))
+    dealt = dealt.withColumn("lo", F.least("part", "j")).withColumn("hi", F.greatest("part", "j")).drop("j", "parts")
+    return dealt.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", "rep")
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole cells, with the row bounds of each. The first columns are the key."""
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        keys = np.stack([held.column(i).to_numpy() for i in range(n_keys)], 1)
+        new = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        if len(new):
+            yield held.slice(0, int(new[-1])), np.r_[0, new]
+            held = held.slice(int(new[-1]))
+    if held is not None and held.num_rows:
+        keys = np.stack([held.column(i).to_numpy() for i in range(n_keys)], 1)
+        yield held, np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, held.num_rows]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (smallest node of a tree, node) that connect what the edges (a, b) do."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        least = np.minimum(low[x], low[y])
+        new = low.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    moved = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[low[moved]], nodes[moved]
+
+
+def _close_pairs(bounds: np.ndarray, label: np.ndarray, signs: np.ndarray, part: np.ndarray, apart: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (x, y) of the same cell with different labels and signatures that are close.
+    apart: cells of two parts, within which only rows of different parts are compared."""
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    mixed_parts = np.repeat(apart, np.diff(bounds))
+    n = len(label)
+    partners = ends - np.arange(n) - 1
+    upto = np.cumsum(partners)
+    lo = 0
+    while lo < n:
+        done = upto[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + PAIRS, "right")))
+        x = np.repeat(np.arange(lo, hi), partners[lo:hi])
+        y = x + 1 + np.arange(len(x)) - np.repeat(upto[lo:hi] - partners[lo:hi] - done, partners[lo:hi])
+        ok = (label[x] != label[y]) & ~(mixed_parts[x] & (part[x] == part[y]))
+        x, y = x[ok], y[ok]
+        for at in range(0, len(x), PAIRS):
+            p, q = x[at : at + PAIRS], y[at : at + PAIRS]
+            near = (signs[p] != signs[q]).sum(axis=1) <= SCREEN
+            if near.any():
+                yield p[near], q[near]
+        lo = hi
+
+
+def _signs(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+
+
+def _candidate_trees(split: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the labels which close signatures of a bucket connect.
+    ``split``: key, rep, label, n (members of the bucket), signature."""
+    cells = _celled(split.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")), "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in _whole_cells(batches, 3):
+            label, part, signs = t.column("label").to_numpy(), t.column("part").to_numpy(), _signs(t.column("signature"))
+            apart = t.column("lo").to_numpy()[bounds[:-1]] != t.column("hi").to_numpy()[bounds[:-1]]
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in _close_pairs(bounds, label, signs, part, apart):
+                both = np.unique(np.stack([label[x], label[y]], 1), axis=0)
+                a.append(both[:, 0])
+                b.append(both[:, 1])
+            edges = _forest(np.concatenate(a), np.concatenate(b))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in edges], ["a", "b"])
+
+    return cells.select("key", "lo", "hi", "label", "part", "signature").mapInArrow(run, "a long, b long").distinct()
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """(n, n) sizes of the sets' intersections, by bitmaps over their common members."""
+    n, out = len(sets), np.zeros((len(sets), len(sets)), np.int32)
+    member = np.concatenate(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, at, count = np.unique(member, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    keep = count[at] > 1
+    at, row = shared[at[keep]], row[keep]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        s, e = np.searchsorted(at, (lo, lo + 4096))
+        flags = np.zeros((n, 4096), np.uint8)
+        flags[row[s:e], at[s:e] - lo] = 1
+        bits = np.packbits(flags, axis=1).view(np.uint64)
+        some = np.flatnonzero(bits.any(axis=1))
+        own = bits[some]
+        for i, r in enumerate(some):
+            out[r, some] += np.bitwise_count(own & own[i]).sum(axis=1, dtype=np.int32)
+    return out
+
+
+def _linked_trees(families: DataFrame) -> DataFrame:
+    """(a, b): edges that connect the labels which confirmed links of a family connect.
+    ``families``: family, rep, label, parts, signature, set."""
+    cells = _celled(families, "family")
+    num, den = SIMILARITY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in _whole_cells(batches, 3):
+            label, part, signs = t.column("label").to_numpy(), t.column("part").to_numpy(), _signs(t.column("signature"))
+            apart = t.column("lo").to_numpy()[bounds[:-1]] != t.column("hi").to_numpy()[bounds[:-1]]
+            sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for g, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])):
+                pairs = list(_close_pairs(np.array([0, e - s]), label[s:e], signs[s:e], part[s:e], apart[g : g + 1]))
+                if not pairs:
+                    continue
+                x, y = (np.concatenate(v) + s for v in zip(*pairs))
+                if len(x) > 4 * (e - s):
+                    both = overlaps(sets[s:e])[x - s, y - s].astype(np.int64)
+                    size = np.array([len(v) for v in sets[s:e]], np.int64)
+                    ok = (both > 0) & (den * both >= num * (size[x - s] + size[y - s] - both))
+                else:
+                    ok = np.array([alike(sets[i], sets[j]) for i, j in zip(x, y)], bool)
+                a.append(label[x[ok]])
+                b.append(label[y[ok]])
+            edges = _forest(np.concatenate(a), np.concatenate(b))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in edges], ["a", "b"])
+
+    return cells.select("family", "lo", "hi", "label", "part", "signature", "set").mapInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node with an edge reaches.
 
@@ -288,7 +445,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
     signed = materialize(signatures(docs), "near-signed")
     linked = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")), "near-classes")
+    classes = materialize(linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n_shingles")), "near-classes")
     reps = classes.select("rep", "signature").dropDuplicates(["rep"])
 
     index = _keys(classes)
@@ -302,18 +459,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = materialize(components(links), "near-labels")
 
     marked = materialize(_labelled(buckets.select("key", "rep"), labels), "near-marked")
-    counts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    major = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = marked.join(major, "key")
-    few = split.filter("label <> major").select("key", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    rest = split.select(F.col("key").alias("k2"), F.col("rep").alias("y"), F.col("label").alias("ly"))
-    across = few.join(rest, (F.col("key") == F.col("k2")) & (F.col("lx") != F.col("ly"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = first.select("a", "b")
-    second = materialize(_distances(across, reps).select("a", "b").join(tried, ["a", "b"], "left_anti"), "near-second")
-    more = materialize(_confirmed(second, docs), "near-more")
-    if more.isEmpty():
+    counts = marked.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n")).filter("l <> h")
+    split = marked.join(counts.select("key", "n"), "key").join(reps, "rep")
+    trees = materialize(_candidate_trees(split), "near-trees")
+    if trees.isEmpty():
         final = labels
     else:
+        family = components(trees).select(F.col("node").alias("label"), F.col("label").alias("family"))
+        ids = trees.select(F.col("a").alias("label")).union(trees.select(F.col("b").alias("label"))).distinct()
+        family = ids.join(family, "label", "left").withColumn("family", F.coalesce("family", "label"))
+        sized = classes.groupBy("rep").agg(F.max("n_shingles").alias("size"))
+        members = materialize(_labelled(sized, labels).join(family, "label"), "near-members")
+        load = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / LOAD), F.ceil(F.count(F.lit(1)) / PART)).cast("int").alias("parts"))
+        sets = _sets(members.select(F.col("rep").alias("id")), docs).withColumnRenamed("id", "rep")
+        more = _linked_trees(members.join(load, "family").join(reps, "rep").join(sets, "rep"))
         final = materialize(components(links.union(more)), "near-labels")
 
     named = _labelled(classes.select("rep", "set_a", "set_b"), final).select("set_a", "set_b", F.col("label").alias("component"))
