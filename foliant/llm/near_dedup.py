@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialize, table
+from .words import blocks, hashes, mixed, spans
 
 SHINGLE = 4
 SIMILARITY = (80, 100)
@@ -46,68 +47,21 @@ LEADERS = 2
 #: Members of a bucket or family, and shingles of a family, that one part of it holds at
 #: most on average; larger ones are compared part by part. Pairs compared at a time.
 PART, LOAD, PAIRS = 1024, 1_000_000, 1 << 16
-#: Bytes of text that are hashed at a time.
-BLOCK = 1 << 20
-
 _U = np.uint64
-_rng = np.random.default_rng(9)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = int(_rng.integers(1, 1 << 62)) * 2 + 1
+_rng = np.random.default_rng(90)
 _STEP = _rng.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * _U(2) + _U(1)
 _SHORT = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64)
 _XOR = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
 _MUL = _rng.integers(1, 1 << 62, SYMBOLS, dtype=np.uint64) * _U(2) + _U(1)
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
-
-
-class _Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse, as far as asked for."""
-
-    def __init__(self):
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            with np.errstate(over="ignore"):
-                size = 1 << max(16, (n - 1).bit_length())
-                inverse = pow(_BASE, -1, 1 << 64)
-                self.up = np.multiply.accumulate(np.r_[_U(1), np.full(size - 1, _BASE, np.uint64)])
-                self.down = np.multiply.accumulate(np.r_[_U(1), np.full(size - 1, inverse, np.uint64)])
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
-
-
 def shingle_sets(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of texts laid one after the other in ``data`` (UTF-8 bytes; text i ends at
     ``ends[i]``): all their sorted distinct shingle hashes, and where each text's end."""
-    n, docs = len(data), len(ends)
-    space = _SPACE[data]
+    docs = len(ends)
     starts_at = np.r_[0, ends[:-1]]
-    first = ~space
-    first[1:] &= space[:-1]
-    inside = starts_at[(starts_at > 0) & (starts_at < n)]
-    first[inside] = ~space[inside]
-    s = np.flatnonzero(first)
-    last = ~space
-    last[:-1] &= space[1:]
-    if n:
-        cut = ends[(ends > 0) & (ends <= n)] - 1
-        last[cut] = ~space[cut]
-    e = np.flatnonzero(last) + 1
-    up, down = _powers.get(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    word = mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+    s, e = spans(data, ends)
+    word = hashes(data, s, e)
 
     at = np.searchsorted(s, starts_at)  # each text's first word
     upto = np.r_[at[1:], len(s)]
@@ -134,19 +88,6 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return g, np.searchsorted(doc, np.arange(docs), "right")
 
 
-def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, ends) of consecutive texts of about BLOCK bytes each time."""
-    texts = batch.column(column).cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BLOCK, "right")) - 1)
-        yield lo, data[offsets[lo] : offsets[hi]], offsets[lo + 1 : hi + 1] - offsets[lo]
-        lo = hi
-
-
 def minwise(g: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(texts, SYMBOLS) symbols; texts without shingles have zeros."""
     starts = np.r_[0, ends[:-1]]
@@ -179,7 +120,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, data, ends in _blocks(b, 1):
+            for lo, data, ends in blocks(b, 1):
                 g, upto = shingle_sets(data, ends)
                 n = np.diff(np.r_[0, upto])
                 signs = minwise(g, upto)
@@ -235,7 +176,7 @@ def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, data, ends in _blocks(b, 1):
+            for lo, data, ends in blocks(b, 1):
                 g, upto = shingle_sets(data, ends)
                 each = [g[s:e].tobytes() for s, e in zip(np.r_[0, upto[:-1]], upto)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ends)), pa.array(each, pa.binary())], ["id", "set"])

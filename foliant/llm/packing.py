@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import materialize, table
+from .words import EXACT, blocks, hashes, spans
 
 SEQ_LEN = 4096
 END_ID = 1
 SALTS = 1024
-#: Words whose ids a worker remembers; others are encoded again.
-CACHE_WORDS = 250_000
+#: Words whose ids a worker remembers at most, and bytes of text it handles at a time.
+CACHE_WORDS, BLOCK = 2_000_000, 4 << 20
 
 #: The tokenizer's own split, for text that is ASCII and lower case.
 _UNITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -44,43 +45,73 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 class WordIds:
     """Ids of texts, word by word. The vocabulary's pre-tokenizer never joins text over
-    white space, so a text's ids are those of its words, one after the other; words
-    that are met again aren't encoded again."""
+    white space, so a text's ids are those of its words, one after the other. Words are
+    told apart by 64-bit hashes; those met before aren't encoded again."""
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found)}
-
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that aren't known; ASCII words through their units."""
-        split = {w: _UNITS.findall(w.lower()) for w in words if w.isascii() and b"<|" not in w}
-        units = {u for found in split.values() for u in found} | (words - split.keys())
-        new = self._encode([u for u in units if u not in self.known])
-        get = lambda u: new[u] if u in new else self.known[u]
-        out = {w: get(w) for w in words - split.keys()} | {w: b"".join(map(get, found)) for w, found in split.items()}
-        room = self.most - len(self.known)
-        if room > 0:
-            for more in (new, out):
-                self.known.update(list(more.items())[: max(0, self.most - len(self.known))])
-        return out
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit values."""
-        words = [(t or "").encode().split() for t in texts]
-        missing = set().union(*words) - self.known.keys()
-        if not missing:
-            return [b"".join(map(self.known.__getitem__, w)) for w in words]
-        new = self._learn(missing)
-        known = self.known
-        get = lambda w: new[w] if w in new else known[w]
-        return [b"".join(map(get, w)) for w in words]
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.units: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        #: Known words: sorted hashes, and where in ``pool`` their ids are.
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _learn_units(self, units: list[bytes]) -> None:
+        """Units are encoded side by side in one text; an id that ends a word ends one."""
+        texts = [b" ".join(units[i : i + 1000]).decode() for i in range(0, len(units), 1000)]
+        for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            raw, at, own = ids.tobytes(), (np.flatnonzero(self.closes[ids]) * 4 + 4).tolist(), units[1000 * k : 1000 * k + 1000]
+            if len(at) != len(own):
+                raise ValueError("a unit isn't one word of the tokenizer")
+            self.units.update(zip(own, (raw[s:t] for s, t in zip([0, *at], at))))
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words; of ASCII words through their units."""
+        plain = [w.isascii() and b"<|" not in w for w in words]
+        split = [_UNITS.findall(w.lower()) if p else () for w, p in zip(words, plain)]
+        if len(self.units) > self.most:
+            self.units.clear()
+        self._learn_units(list({u for found in split for u in found if u not in self.units}))
+        get = self.units.__getitem__
+        rest = self.tokenizer.encode_batch_fast([w.decode() for w, p in zip(words, plain) if not p], add_special_tokens=False)
+        others = iter(rest)
+        return [b"".join(map(get, found)) if p else np.array(next(others).ids, "<u4").tobytes() for p, found in zip(plain, split)]
+
+    def _learn(self, hashed: np.ndarray, words: list[bytes]) -> None:
+        found = self._encode(words)
+        n = np.array([len(f) // 4 for f in found], np.int64)
+        at = len(self.pool) + np.cumsum(n) - n
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), "<u4")])
+        where = np.searchsorted(self.keys, hashed)
+        self.keys, self.at, self.n = np.insert(self.keys, where, hashed), np.insert(self.at, where, at), np.insert(self.n, where, n)
+
+    def ids(self, data: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of texts laid end to end, ``end_id`` after each; text i
+        has those from bounds[i] to bounds[i + 1]."""
+        s, e = spans(data, ends)
+        hashed, first, word = np.unique(hashes(data, s, e, EXACT), return_index=True, return_inverse=True)
+        if len(self.keys) > self.most:
+            self.forget()
+        where = np.searchsorted(self.keys, hashed)
+        new = np.flatnonzero(self.keys[np.minimum(where, len(self.keys) - 1)] != hashed) if len(self.keys) else np.arange(len(hashed))
+        if len(new):
+            raw = data.tobytes()
+            self._learn(hashed[new], [raw[a:b] for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist())])
+            where = np.searchsorted(self.keys, hashed)
+        n = self.n[where][word]
+        upto = np.cumsum(n)
+        out = self.pool[np.repeat(self.at[where][word] - upto + n, n) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        cuts = np.r_[0, upto][np.searchsorted(s, ends)]  # ids before each text's end
+        return np.insert(out, cuts, end_id).astype("<u4"), np.r_[0, cuts + np.arange(1, len(ends) + 1)]
 
 
 @functools.lru_cache(maxsize=2)
@@ -91,25 +122,26 @@ def _word_ids(path: str) -> WordIds:
 def pieces(docs: DataFrame, *, path: str | None = None, seq_len: int = SEQ_LEN, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every piece of every text."""
     path = path or tokenizer_path()
-    end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(path)
-        for big in batches:
-            for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
-                cols: list[list] = [[] for _ in names]
-                for doc, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1).to_pylist())):
-                    ids += end
-                    for k, lo in enumerate(range(0, len(ids), 4 * seq_len)):
-                        own = ids[lo : lo + 4 * seq_len]
-                        for c, v in zip(cols, (doc, k, lo // 4, len(own) // 4, zlib.crc32(own))):
-                            c.append(v)
-                        if with_ids:
-                            cols[5].append(np.frombuffer(own, "<u4").astype(np.int32))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+        for b in batches:
+            for lo, data, ends in blocks(b, 1, BLOCK):
+                ids, bounds = words.ids(data, ends, end_id)
+                n = np.diff(bounds)
+                per = -(-n // seq_len)
+                of = np.repeat(np.arange(len(n)), per)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(per) - per, per)
+                begins = bounds[of] + nth * seq_len
+                stops = np.minimum(begins + seq_len, bounds[of + 1])
+                raw = ids.tobytes()
+                crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(begins.tolist(), stops.tolist())]
+                cols = [b.column(0).slice(lo, len(ends)).take(pa.array(of)), *(pa.array(v, t) for v, t in zip((nth, nth * seq_len, stops - begins, crc), kinds[1:]))]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(np.r_[begins, stops[-1:]].astype(np.int32), ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)

@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import learns, materialize, table
+from .words import SPACE, blocks, hashes, spans
 
 #: Bound of the sample that the ensemble is fitted on (smallest hashes of the ids).
 SAMPLE_ROWS = 12_000
 TREES, DEPTH, LEAST, CUTS = 60, 3, 20, 32
 PENALTY, PASSES = 2e-3, 300
 THRESHOLD = 0.7
-BLOCK = 1 << 20
 
 _U = np.uint64
 
@@ -40,9 +40,8 @@ def _bytes(*spans: tuple[int, int]) -> np.ndarray:
     return out
 
 
-_SPACE = _bytes((9, 13), (32, 32))
 _KINDS = {
-    "upper": _bytes((65, 90)), "lower": _bytes((97, 122)), "digit": _bytes((48, 57)), "space": _SPACE,
+    "upper": _bytes((65, 90)), "lower": _bytes((97, 122)), "digit": _bytes((48, 57)), "space": SPACE,
     "stop": _bytes((46, 46)), "comma": _bytes((44, 44)), "bang": _bytes((33, 33), (63, 63)), "bar": _bytes((124, 124)),
     "mark": _bytes((35, 38), (42, 43), (60, 62), (64, 64), (94, 96), (126, 126)), "other": _bytes((128, 255)), "line": _bytes((10, 10)),
 }
@@ -52,15 +51,6 @@ STATS = [
 ]
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    from .near_dedup import _BYTE, _powers, mixed
-
-    up, down = _powers.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
 def _repeats(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Per text the number of distinct hashes and the count of its most frequent one."""
     order = np.lexsort((hashes, text))
@@ -84,21 +74,14 @@ def statistics(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return (total[ends] - total[begins]).astype(float)
 
     cols = [per_text(k[data]) / size for k in _KINDS.values()]
-    space = _SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[begins] = True
-    first = ~space
-    first[1:] &= space[:-1] | edge[1:-1]
-    last = ~space
-    last[:-1] &= space[1:] | edge[1:-1]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+    s, e = spans(data, ends)
     text = np.searchsorted(ends, s, "right")
     count = np.bincount(text, minlength=n)
     words = np.maximum(count, 1).astype(float)
     length = (e - s).astype(float)
     mean = np.bincount(text, length, n) / words
     spread = np.sqrt(np.maximum(np.bincount(text, length * length, n) / words - mean * mean, 0))
-    h = _hashes(data, s, e)
+    h = hashes(data, s, e)
     distinct, top = _repeats(h, text, n)
     pair = (h[:-1] * _U(3) + h[1:])[text[:-1] == text[1:]] if len(h) > 1 else h[:0]
     pair_text = text[:-1][text[:-1] == text[1:]] if len(h) > 1 else text[:0]
@@ -109,7 +92,7 @@ def statistics(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     after = np.searchsorted(breaks, line_s)
     line_e = np.minimum(np.r_[breaks, len(data)][after], ends[line_text])
     lines = np.maximum(np.bincount(line_text, minlength=n), 1).astype(float)
-    distinct_lines, _ = _repeats(_hashes(data, line_s, line_e), line_text, n)
+    distinct_lines, _ = _repeats(hashes(data, line_s, line_e), line_text, n)
     upper = np.r_[0, np.cumsum(_KINDS["upper"][data])]
     lower = np.r_[0, np.cumsum(_KINDS["lower"][data])]
     mark = np.r_[0, np.cumsum(_KINDS["mark"][data])]
@@ -126,11 +109,9 @@ def statistics(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the STATS columns of every row of ``docs`` (doc_id, text)."""
-    from .near_dedup import _blocks
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, data, ends in _blocks(b, 1):
+            for lo, data, ends in blocks(b, 1):
                 values = statistics(data, ends)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ends)), *(pa.array(v) for v in values.T)], ["doc_id", *STATS])
 
