@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import reach_workers
@@ -33,6 +36,17 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object | None:
+    """``fit`` of all ``rows``, a sample or table of bounded size, run in one executor
+    task, where numpy has one thread; None if there are no rows."""
+
+    def run(t: pa.Table) -> pa.Table:
+        return pa.table({"model": pa.array([pickle.dumps(fit(t))], pa.binary())})
+
+    got = rows.groupBy().applyInArrow(run, "model binary").collect()  # one row
+    return pickle.loads(bytes(got[0]["model"])) if got else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reach_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

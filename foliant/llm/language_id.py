@@ -19,8 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import learns, table
+from .common import fit_in_task, learns, table
+from .words import BLOCK
 
 HIDDEN = 8
 WINDOW = 48
@@ -235,9 +237,9 @@ def train(texts: list[bytes], labels: list[str], *, hidden: int = HIDDEN, steps:
     return net
 
 
-def sample(docs: DataFrame, may_learn: Column) -> tuple[list[bytes], list[str]]:
-    """Windows of at most SAMPLE_DOCS documents a language (those with the smallest
-    hashes of their ids), cut at hashed places."""
+def sample(docs: DataFrame, may_learn: Column) -> DataFrame:
+    """lang, cuts: windows, at hashed places, of at most SAMPLE_DOCS documents a language
+    (those with the smallest hashes of their ids)."""
     n = F.char_length("text")
     cut = [
         F.substring("text", (F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.greatest(n - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
@@ -246,23 +248,20 @@ def sample(docs: DataFrame, may_learn: Column) -> tuple[list[bytes], list[str]]:
     rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", F.xxhash64("doc_id").alias("h"), F.array(*cut).alias("cuts"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "cuts"))
-    kept = rows.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS).orderBy("lang", "rank").collect()
-    both = [(c.encode()[:WINDOW], r["lang"]) for r in kept for c in r["cuts"] if c]
-    return [t for t, _ in both], [x for _, x in both]
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS)
 
 
-def predict(docs: DataFrame, net: Network | None) -> DataFrame:
-    """doc_id, lang_pred, score for every row of ``docs`` (doc_id, text)."""
+def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of every row of ``docs``, the predicted language and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few hundred kB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            lo = 0
-            texts = b.column(1).to_pylist()
+            lo, texts = 0, b.column(0).to_pylist()
             while lo < len(texts):
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < (1 << 20)):
+                while hi < len(texts) and (hi == lo or size < BLOCK):
                     size += len(texts[hi] or "")
                     hi += 1
                 part = texts[lo:hi]
@@ -274,15 +273,24 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
                     at = p.argmax(axis=1)
                     langs = [own.langs[i] if k else UND for i, k in zip(at, known)]
                     scores = np.where(known, np.clip(p[np.arange(len(p)), at], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+                cols = [b.column(i).slice(lo, hi - lo) for i in range(1, b.num_columns)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores)], [*keep, *names])
                 lo = hi
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    schema = StructType([*rows.schema.fields[1:], StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def fitted(docs: DataFrame) -> Network | None:
-    texts, labels = sample(docs, learns(F.col("doc_id"), 3, 1))
-    return train(texts, labels) if texts else None
+    """The network trained on the sample of ``docs`` (doc_id, text, lang)."""
+
+    def fit(t: pa.Table) -> Network:
+        rows = sorted(t.select(["lang", "rank", "cuts"]).to_pylist(), key=lambda r: (r["lang"], r["rank"]))
+        both = [(c.encode()[:WINDOW], r["lang"]) for r in rows for c in r["cuts"] if c]
+        return train([t for t, _ in both], [x for _, x in both])
+
+    return fit_in_task(sample(docs, learns(F.col("doc_id"), 3, 1)), fit)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

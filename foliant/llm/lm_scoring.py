@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import learns, materialize, table
+from .common import fit_in_task, learns, materialize, table
 
 MODULUS, LEFT_OUT = 7, 2
 OWN_CLASSES = 103
@@ -133,9 +133,9 @@ def class_sizes(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
     return out
 
 
-def trigrams(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
-    """(CLASSES, CLASSES, CLASSES) counts over all rows of ``docs``; END stands before
-    a text too. At most CLASSES^3 numbers, however many documents there are."""
+def trigrams(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """code, n: counts of class trigrams over all rows of ``docs``; END stands before a
+    text too. At most CLASSES^3 rows, however many documents there are."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,9 +158,13 @@ def trigrams(docs: DataFrame, vocab: Vocabulary) -> np.ndarray:
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["code", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def dense(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The counts as (CLASSES, CLASSES, CLASSES)."""
     out = np.zeros(CLASSES**3, np.int64)
-    out[rows.column("code").to_numpy()] = rows.column("n").to_numpy()
+    out[codes] = n
     return out.reshape(CLASSES, CLASSES, CLASSES)
 
 
@@ -227,7 +231,10 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     sizes = np.log10(class_sizes(counts, vocab))
     sizes[:OWN_CLASSES] = 0
     sizes[END] = 0
-    return Model(vocab, train(trigrams(docs, vocab)) / np.float32(np.log(10)), sizes), counts
+    log_class = fit_in_task(trigrams(docs, vocab), lambda t: train(dense(t.column("code").to_numpy(), t.column("n").to_numpy())))
+    if log_class is None:
+        log_class = train(np.zeros((CLASSES,) * 3, np.int64))
+    return Model(vocab, log_class / np.float32(np.log(10)), sizes), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:

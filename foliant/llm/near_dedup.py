@@ -15,7 +15,8 @@ of bounded size, and return a spanning forest of what is close. The trees are fa
 a family's shingle sets meet once, again in cells of bounded size, and return a
 spanning forest of the confirmed links. So rows stay in proportion to documents while
 no link between different texts is lost.
-Components come from star contractions (Kiveris et al., 2014) on stored tables.
+Components of many edges come from star contractions (Kiveris et al., 2014) on
+stored tables.
 
 Defined results: a null or empty text, or one without words, has no shingles and
 is linked with nothing; a row whose doc_id is null too (component_id null, kept true);
@@ -42,8 +43,12 @@ REACH = 2 * CHUNKS - 1
 #: Candidates at a larger signature distance aren't compared in full: at similarity
 #: 0.8 one pair in 10^8 lies beyond it.
 SCREEN = 35
-#: Leaders with which a class is compared before components are first formed.
-LEADERS = 2
+#: Leaders with which a class is compared before components are first formed, and keys
+#: it shares with them at least (28 on average at similarity 0.8). What this leaves
+#: apart is compared later, so it decides no link.
+LEADERS, SHARED_KEYS = 2, 8
+#: Up to so many edges, components are found in one task; beyond, by star contractions.
+ONE_TASK_EDGES = 50_000
 #: Members of a bucket or family, and shingles of a family, that one part of it holds at
 #: most on average; larger ones are compared part by part. Pairs compared at a time.
 PART, LOAD, PAIRS = 1024, 1_000_000, 1 << 16
@@ -155,21 +160,6 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
 
-def _distances(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with their signatures' distance, where it is SCREEN or less."""
-    one = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
-    two = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
-            d = (x != y).sum(axis=1).astype(np.int32)
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], ["a", "b", "distance"])
-            yield out.filter(pa.array(d <= SCREEN))
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, distance int")
-
-
 def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, set): the sorted shingle hashes of the documents that ``ids`` names, stored."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi")
@@ -355,12 +345,31 @@ def _linked_trees(families: DataFrame) -> DataFrame:
     return cells.select("family", "lo", "hi", "label", "part", "signature", "set").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node with an edge reaches.
+def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """(node, label): the smallest node that each node with an edge reaches, where that
+    is another one. ``edges`` (a, b).
 
-    ``edges`` (a, b). Large-star and small-star steps in turn until nothing changes.
+    Few edges are joined in one task, more by large-star and small-star steps in turn
+    until nothing changes.
     """
     edges = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-edges")
+    if edges.count() <= one_task:
+        return _joined(edges)
+    return contracted(edges)
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if both:
+            label, node = _forest(*(np.concatenate(x) for x in zip(*both)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], ["node", "label"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, label long")
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """``components`` of distinct edges (u, v) with u > v by star contractions."""
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -393,9 +402,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = index.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("top")).filter("leader <> top").select("key", "leader")
     buckets = materialize(index.join(shared, "key"), "near-buckets")
 
-    stars = buckets.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    near = _distances(stars, reps).groupBy("b").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "a"))), 1, LEADERS).alias("l"))
-    first = materialize(near.select("b", F.explode("l.a").alias("a")).select("a", "b"), "near-first")
+    stars = buckets.filter("rep <> leader").groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED_KEYS)
+    best = stars.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "leader"))), 1, LEADERS).alias("l"))
+    first = materialize(best.select(F.explode("l.leader").alias("a"), F.col("rep").alias("b")), "near-first")
     links = materialize(_confirmed(first, docs), "near-links")
     labels = materialize(components(links), "near-labels")
 
@@ -422,6 +431,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest doc_id, once also
+    where its row repeats. Rows without a doc_id stay."""
+    found = materialize(near_duplicates(docs), "near-found")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return out
+    once = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(out.filter("doc_id is null"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

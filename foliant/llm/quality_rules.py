@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import learns, materialize, table
+from .common import fit_in_task, learns, materialize, table
 from .words import SPACE, blocks, hashes, spans
 
 #: Bound of the sample that the ensemble is fitted on (smallest hashes of the ids).
@@ -247,9 +247,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
 def fitted(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ensemble:
     """The ensemble fitted to at most ``rows`` labelled rows, by hash of their ids."""
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
-    got = stats.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), *STATS).limit(rows).select(*STATS, "_y").toArrow()
-    values = np.stack([c.to_numpy() for c in got.columns], 1).astype(float).reshape(-1, len(STATS) + 1)
-    return fit(values[:, :-1], values[:, -1])
+    picked = stats.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), *STATS).limit(rows)
+
+    def learn(t: pa.Table) -> Ensemble:
+        values = np.stack([t.column(c).to_numpy() for c in [*STATS, "_y"]], 1).astype(float)
+        values = values[np.lexsort(values.T)]
+        return fit(values[:, :-1], values[:, -1])
+
+    return fit_in_task(picked.select(*STATS, "_y"), learn) or Ensemble(0.0, [], [])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
