@@ -52,6 +52,50 @@ def lzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def lzw_encode(data: bytes) -> bytes:
+    """LZW codes that ``lzw`` reads."""
+    known, width, held, bits, out = {bytes([i]): i for i in range(256)}, 9, 0, 0, bytearray()
+
+    def put(code: int) -> None:
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+            held &= (1 << bits) - 1
+
+    put(256)
+    own, size = b"", 258
+    for i in range(len(data)):
+        longer = own + data[i : i + 1]
+        if longer in known:
+            own = longer
+            continue
+        put(known[own])
+        known[longer], size = size, size + 1
+        if size >= (1 << width) and width < 12:
+            width += 1
+        if size >= 4094:
+            put(256)
+            known, width, size = {bytes([i]): i for i in range(256)}, 9, 258
+        own = data[i : i + 1]
+    if own:
+        put(known[own])
+        if size + 1 >= (1 << width) and width < 12:
+            width += 1
+    put(257)
+    if bits:
+        out.append(held << (8 - bits) & 255)
+    return bytes(out)
+
+
+def up_rows(data: bytes, columns: int) -> bytes:
+    """PNG rows of ``columns`` bytes, each as its difference from the one above."""
+    rows = np.frombuffer(data, np.uint8).reshape(-1, columns)
+    up = np.diff(rows, axis=0, prepend=np.zeros((1, columns), np.uint8))
+    return np.concatenate([np.full((len(rows), 1), 2, np.uint8), up], 1).tobytes()
+
+
 def ascii85(data: bytes, compat: bool = True) -> bytes:
     """Base-85 groups up to ``~>``. A last group of under five digits is lost, unless
     not ``compat``."""
