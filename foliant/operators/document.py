@@ -40,16 +40,17 @@ def xref_pointer(buf: bytes) -> int:
 
 
 def nearest_xref(buf: bytes, at: int) -> int | None:
-    """The ``xref`` nearest to ``at``; the one before it if both are as near."""
+    """Where the ``xref`` nearest to ``at`` is, that word and a blank, or one before it
+    between blanks; the latter if both are as near."""
     ahead = _XREF.search(buf, at)
-    behind = None
-    for m in re.finditer(rb"xref\s", buf[: at + 1]):
-        if at > 0 and m.start() > 0 and buf[m.start() - 1 : m.start()].isspace():
-            behind = m.start()
-    if ahead is None:
-        return behind
-    if behind is None:
-        return ahead.start()
+    behind, end = None, at + 1
+    while (i := buf.rfind(b"xref", 0, end)) > 0:
+        if i + 4 <= at and buf[i - 1 : i].isspace() and buf[i + 4 : i + 5].isspace():
+            behind = i - 1
+            break
+        end = i + 3
+    if ahead is None or behind is None:
+        return behind if ahead is None else ahead.start()
     return ahead.start() if ahead.start() - at < at - behind else behind
 
 
@@ -163,6 +164,7 @@ class Document:
         self.recovered = False
         at = skip(buf, xref_pointer(buf))
         near = nearest_xref(buf, at)
+        near = near if near is None else skip(buf, near)
         first_dictionary = buf.find(b"<<", at)
         if near is None and first_dictionary < 0:
             raise Malformed("no cross references")

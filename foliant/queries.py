@@ -133,7 +133,7 @@ def pdf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positioned chunks of all documents: how many, and the first one's corners."""
     got = extract.chunks(as_pdfs(_table(spark, sf_dir, "documents")))
     got = _doubles(got).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-    return got.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("string_len").alias("n_chars"), F.min("x0").alias("x0"), F.max(F.round((F.col("x1") - F.col("x0")) / 6)).cast("long").alias("widest"))
+    return got.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("string_len").alias("n_chars"), F.min("x0").alias("x0"), F.max("string_len").cast("long").alias("longest"))
 
 
 def pdf_relational_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,7 +368,7 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT doc_id, 'Td', CAST(pages + n AS BIGINT) FROM p UNION ALL SELECT doc_id, 'Tj', CAST(shown AS BIGINT) FROM p WHERE shown > 0""",
     "pdf_fonts": f"""SELECT doc_id, 'Any' AS base_font, 'Type0' AS subtype, '/Identity-H' AS encoding, 'ToUnicode' AS unicode_source,
                      CAST(ceil(count(*) / {LINES_A_PAGE}.0) AS BIGINT) AS n_pages, 1000.0::DOUBLE * 0.6 AS default_width FROM ({_SPLIT}) GROUP BY doc_id""",
-    "pdf_chunks": f"""SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(line)) AS BIGINT) AS n_chars, 36.0::DOUBLE AS x0, max(length(line)) AS widest
+    "pdf_chunks": f"""SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(line)) AS BIGINT) AS n_chars, 36.0::DOUBLE AS x0, max(length(line)) AS longest
                       FROM ({_SPLIT}) WHERE line <> '' GROUP BY doc_id""",
     "objects_first_wins": "SELECT obj_id, event_id FROM (SELECT user_id AS obj_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1",
     "recovery_scan": "SELECT l_orderkey, count(DISTINCT l_linenumber) AS n_objects, max(l_linenumber) AS last_id FROM lineitem GROUP BY l_orderkey",
