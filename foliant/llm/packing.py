@@ -30,8 +30,8 @@ from .words import EXACT, blocks, hashes, spans
 SEQ_LEN = 4096
 END_ID = 1
 SALTS = 1024
-#: Words whose ids a worker remembers at most, and bytes of text it handles at a time.
-CACHE_WORDS, BLOCK = 2_000_000, 4 << 20
+#: Words and units whose ids a worker remembers at most; bytes of text handled at a time.
+CACHE_WORDS, CACHE_UNITS, BLOCK = 1_500_000, 400_000, 4 << 20
 
 #: The tokenizer's own split, for text that is ASCII and lower case.
 _UNITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -78,7 +78,7 @@ class WordIds:
         """Ids of words; of ASCII words through their units."""
         plain = [w.isascii() and b"<|" not in w for w in words]
         split = [_UNITS.findall(w.lower()) if p else () for w, p in zip(words, plain)]
-        if len(self.units) > self.most:
+        if len(self.units) > CACHE_UNITS:
             self.units.clear()
         self._learn_units(list({u for found in split for u in found if u not in self.units}))
         get = self.units.__getitem__
