@@ -28,8 +28,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that at least 10 documents share."""
-    done = line_dedup.dedup_lines(docs)
-    return done.withColumns({"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}).select(*docs.columns)
+    done = line_dedup.dedup_lines(docs, ("_kept", "_n_lines", "_n_dropped"))
+    return done.withColumns({"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast("long")}).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,9 @@ HIDDEN = 8
 WINDOW = 48
 #: Bound of the training sample: documents a language, windows of a document.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 4
+#: Languages that are learned at most (the most frequent), and how many times the sample
+#: is ranked.
+MOST_LANGS, SPARE = 256, 4
 STEPS, BATCH, RATE = 260, 256, 0.02
 #: Windows that are labelled side by side.
 LANES = 2048
@@ -239,14 +242,25 @@ def train(texts: list[bytes], labels: list[str], *, hidden: int = HIDDEN, steps:
 
 def sample(docs: DataFrame, may_learn: Column) -> DataFrame:
     """lang, cuts: windows, at hashed places, of at most SAMPLE_DOCS documents a language
-    (those with the smallest hashes of their ids)."""
+    (those with the smallest hashes of their ids).
+
+    Languages are counted first, and only documents whose hash falls into the share that
+    gives SPARE times the sample are ranked, so that no task ranks more than a sample.
+    """
+    labelled = may_learn & F.col("lang").isNotNull()
+    counts = docs.filter(labelled).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    if not counts:
+        counts = [("", 1)]
+    share = F.create_map(*[F.lit(v) for lang, c in counts for v in (lang, min(1.0, SPARE * SAMPLE_DOCS / c))])
+    h = F.xxhash64("doc_id")
+    in_share = F.pmod(h, F.lit(1 << 32)) < F.try_element_at(share, F.col("lang")) * (1 << 32)
     n = F.char_length("text")
     cut = [
         F.substring("text", (F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.greatest(n - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
         for i in range(SAMPLE_WINDOWS)
     ]
-    rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", F.xxhash64("doc_id").alias("h"), F.array(*cut).alias("cuts"))
+    rows = docs.filter(labelled & in_share).filter(F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", h.alias("h"), F.array(*cut).alias("cuts"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "cuts"))
     return rows.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS)
 

@@ -101,8 +101,9 @@ def dropped_lines(
     return hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with ``kept`` (the text without its frequent lines), n_lines, n_dropped."""
+def dedup_lines(docs: DataFrame, names: tuple[str, str, str] = ("kept", "n_lines", "n_dropped"), **options) -> DataFrame:
+    """``docs`` with three columns more: the text without its frequent lines, the lines
+    before and the lines dropped. ``names`` are to differ from the columns of ``docs``."""
     drop = dropped_lines(docs, **options).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop"))
     lines = lines_of(F.col("text"))
     left = F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), key_hash(line_key(x))))
@@ -111,9 +112,9 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     n = F.size(lines)
     return out.select(
         *[docs[c] for c in docs.columns],
-        F.coalesce(F.array_join("_left", "\n"), F.col("text"), F.lit("")).alias("kept"),
-        n.cast("long").alias("n_lines"),
-        F.when(F.col("_left").isNull(), F.lit(0)).otherwise(n - F.size("_left")).cast("long").alias("n_dropped"),
+        F.coalesce(F.array_join("_left", "\n"), F.col("text"), F.lit("")).alias(names[0]),
+        n.cast("long").alias(names[1]),
+        F.when(F.col("_left").isNull(), F.lit(0)).otherwise(n - F.size("_left")).cast("long").alias(names[2]),
     )
 
 

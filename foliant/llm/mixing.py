@@ -205,7 +205,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     where = at.filter("size > 0").join(epochs, ["sid", "start"])
     numbered = at.filter("size > 0").withColumn("_copy", F.row_number().over(same)).select("sid", "start", "_copy")
     where = where.join(numbered, ["sid", "start"]).select(
-        F.col("doc_id").alias("_id"), F.col("_h").alias("_h2"), "_copy", F.col("size").alias("_size"), "epoch", "_spans", "_n"
+        F.col("doc_id").alias("_id"), F.col("_h").alias("_h2"), "_copy", F.col("size").alias("_size"), F.col("epoch").alias("_epoch"), "_spans", "_n"
     )
     rows = marked.withColumn("_copy2", F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("_h")))
     hit = rows.join(where, rows["doc_id"].eqNullSafe(where["_id"]) & (F.col("_h") == F.col("_h2")) & (F.col("_copy2") == F.col("_copy")))
