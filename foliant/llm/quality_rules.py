@@ -247,7 +247,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ensemble:
 def fitted(stats: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ensemble:
     """The ensemble fitted to at most ``rows`` labelled rows, by hash of their ids."""
     marks = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("_y"))
-    picked = stats.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), *STATS).limit(rows)
+    share = min(1.0, 2 * rows / max(1, marks.count()))  # so no task orders more than about twice the sample
+    near = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < share * (1 << 32))
+    picked = stats.join(near, "doc_id").orderBy(F.xxhash64("doc_id"), *STATS).limit(rows)
 
     def learn(t: pa.Table) -> Ensemble:
         values = np.stack([t.column(c).to_numpy() for c in [*STATS, "_y"]], 1).astype(float)
