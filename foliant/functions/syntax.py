@@ -34,6 +34,7 @@ _TOKEN_END = re.compile(rb"[ \r\n\t/\[(<]")
 _ESCAPE = re.compile(rb"\\(\d{1,3}|.|\Z)", re.S)
 _REAL = re.compile(rb"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)")
 _PAIR = re.compile(rb"(\d+)[ \r\n\t]\D*?(\d+)[ \r\n\t]")
+_CONTINUED = bytes(range(0x80, 0xC0))
 _NAMED = {ord("n"): b"\n", ord("r"): b"\r", ord("t"): b"\t", ord("b"): b"\b", ord("f"): b"\f"}
 
 
@@ -235,4 +236,4 @@ def token(buf: bytes, at: int) -> tuple[bytes, int]:
 
 
 def code_points(text: bytes) -> int:
-    return sum(1 for b in text if b & 0xC0 != 0x80)
+    return len(text.translate(None, _CONTINUED))

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from ..functions import charmaps, encodings
-from ..functions.syntax import ARRAY, DICTIONARY, NAME, REFERENCE, VALUE, Dictionary, Malformed, Object, array, dictionary, real, reference, unsigned
+from ..functions.syntax import ARRAY, DICTIONARY, NAME, REFERENCE, VALUE, Dictionary, Malformed, Object, array, code_points, dictionary, real, reference, unsigned
 from .document import Document
 
 _F = np.float32
@@ -19,6 +19,11 @@ def float_of(props: Dictionary, key: bytes, default: float) -> np.float32:
     return real(props[key][1]) if key in props else _F(default)
 
 
+def summed(values: np.ndarray) -> np.float32:
+    """The sum from left to right, each step rounded."""
+    return np.cumsum(values, dtype=_F)[-1] if len(values) else _F(0)
+
+
 @dataclass
 class Font:
     """What showing text needs to know of one font."""
@@ -29,6 +34,7 @@ class Font:
     ascent: np.float32 = _F(0)
     descent: np.float32 = _F(0)
     scale: tuple[np.float32, np.float32] = (_THOUSANDTH, _THOUSANDTH)
+    bytes_width: np.ndarray | None = None
 
     @property
     def subtype(self) -> bytes:
@@ -42,10 +48,12 @@ class Font:
         return _F(self.widths.get(code, self.default_width)) * self.scale[0]
 
     def width_of(self, codes) -> np.float32:
-        total = _F(0)
-        for c in codes:
-            total = total + self.width(c)
-        return total
+        """The widths' sum, added one by one in single precision."""
+        if isinstance(codes, bytes):
+            if self.bytes_width is None:
+                self.bytes_width = np.array([self.width(c) for c in range(256)], _F)
+            return summed(self.bytes_width[np.frombuffer(codes, np.uint8)])
+        return summed(np.array([self.width(c) for c in codes], _F))
 
 
 def _cid_widths(doc: Document, value: Object) -> dict[int, float]:
@@ -141,7 +149,7 @@ class Decoder:
     """Bytes of shown strings to UTF-8, with their width in text space."""
 
     def __init__(self, doc: Document, props: Dictionary, cache: dict[int, charmaps.CharMap]):
-        self.compat = doc.compat
+        self.compat, self.known_font, self.known = doc.compat, None, {}
         encoding = doc.resolve(props[b"/Encoding"]) if b"/Encoding" in props else None
         if encoding and encoding[0] not in (DICTIONARY, NAME):
             raise Malformed("/Encoding has a wrong type")
@@ -220,7 +228,7 @@ class Decoder:
             return self._mapped(raw, font)
         if self.differences is not None:
             shown = [c for c in raw if self.differences.get(c)]
-            return "".join(self.differences[c] for c in shown).encode(), len(raw), font.width_of(shown)
+            return "".join(self.differences[c] for c in shown).encode(), len(raw), font.width_of(bytes(shown))
         if self.single:
             return "".join(self.table.get(c, "") for c in raw).encode(), len(raw), font.width_of(raw)
         if self.codec is None:
@@ -232,7 +240,23 @@ class Decoder:
         codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw), 2)] if self.two_bytes else raw
         return text, len(raw), font.width_of(codes)
 
+    def _even(self, raw: bytes, font: Font) -> tuple[bytes, int, np.float32] | None:
+        """What ``_mapped`` gives where all codes have one length and all are known."""
+        n = self.map.sizes[0]
+        if self.known_font is not font:
+            self.known_font, self.known = font, {}
+        known, codes = self.known, [raw[i : i + n] for i in range(0, len(raw), n)]
+        for code in set(codes).difference(known):
+            text = self.map.text.get(code)
+            if not text:
+                return None
+            known[code] = text, code_points(text), font.width(int.from_bytes(code, "big"))
+        found = [known[c] for c in codes]
+        return b"".join([f[0] for f in found]), sum([f[1] for f in found]), summed(np.array([f[2] for f in found], _F))
+
     def _mapped(self, raw: bytes, font: Font) -> tuple[bytes, int, np.float32]:
+        if len(self.map.sizes) == 1 and self.map.sizes[0] and (even := self._even(raw, font)):
+            return even
         table = self.table if self.differences is None else self.differences
         out, length, width, at = [], 0, _F(0), 0
         while at < len(raw):
@@ -240,7 +264,7 @@ class Decoder:
             if hit and hit[1]:
                 code, text = hit
                 width = width + font.width(int.from_bytes(code, "big"))
-                length += sum(1 for b in text if b & 0xC0 != 0x80)
+                length += code_points(text)
                 out.append(text)
                 at += len(code)
                 continue

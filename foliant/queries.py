@@ -32,7 +32,8 @@ def as_pdfs(docs: DataFrame) -> DataFrame:
                 texts = b.column(1).slice(lo, 16).to_pylist()
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 16), pa.array([text_pdf(t or "") for t in texts], pa.binary())], ["path", "content"])
 
-    return docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, "path string, content binary")
+    spread = docs.select(F.col("doc_id").cast("string"), "text").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInArrow(run, "path string, content binary")
 
 
 def as_chunks(docs: DataFrame) -> DataFrame:
