@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SPACES, ascii_lower, scratch, table
+from .common import SPACES, ascii_lower, materialize, scratch, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -97,7 +97,9 @@ def dropped_lines(
     runs = LineRuns(spark, f"{path}/runs", min_docs, fanout)
     for b in range(batches):
         runs.add(stored.filter(F.col("batch") == b))
-    hits = stored.join(runs.frequent(), ["h1", "h2"])
+    # stored first: Spark then knows its size and can split a line that a third of all documents hold
+    often = materialize(runs.frequent(), "lines-frequent")
+    hits = stored.join(often, ["h1", "h2"])
     return hits.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
 

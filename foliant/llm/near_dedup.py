@@ -400,7 +400,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     index = _keys(classes)
     shared = index.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("top")).filter("leader <> top").select("key", "leader")
-    buckets = materialize(index.join(shared, "key"), "near-buckets")
+    # stored first: of two plain shuffles Spark can split a key that very many share
+    buckets = materialize(index.join(materialize(shared, "near-shared"), "key"), "near-buckets")
 
     stars = buckets.filter("rep <> leader").groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED_KEYS)
     best = stars.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "leader"))), 1, LEADERS).alias("l"))
@@ -410,7 +411,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     marked = materialize(_labelled(buckets.select("key", "rep"), labels), "near-marked")
     counts = marked.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n")).filter("l <> h")
-    split = marked.join(counts.select("key", "n"), "key").join(reps, "rep")
+    split = marked.join(materialize(counts.select("key", "n"), "near-split"), "key").join(reps, "rep")
     trees = materialize(_candidate_trees(split), "near-trees")
     if trees.isEmpty():
         final = labels
