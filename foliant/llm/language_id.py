@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import fit_in_task, learns, table
-from .words import BLOCK
+from .words import blocks
 
 HIDDEN = 8
 WINDOW = 48
@@ -272,24 +272,19 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            lo, texts = 0, b.column(0).to_pylist()
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < BLOCK):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                part = texts[lo:hi]
-                known = [own is not None and t is not None and any(map(str.isalpha, t)) for t in part]
-                raw = [t.encode() if k else b"" for t, k in zip(part, known)]
-                langs, scores = [UND] * len(part), np.zeros(len(part))
-                if own is not None:
-                    p = pooled(own, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(r) for r in raw]))
-                    at = p.argmax(axis=1)
-                    langs = [own.langs[i] if k else UND for i, k in zip(at, known)]
-                    scores = np.where(known, np.clip(p[np.arange(len(p)), at], 0, 1), 0.0)
-                cols = [b.column(i).slice(lo, hi - lo) for i in range(1, b.num_columns)]
+            absent = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            for lo, data, ends in blocks(b, 0):
+                begins, n = np.r_[0, ends[:-1]], len(ends)
+                known = np.zeros(n, bool)
+                for i in np.flatnonzero(~absent[lo : lo + n]) if own is not None else ():
+                    known[i] = any(map(str.isalpha, data[begins[i] : ends[i]].tobytes().decode("utf-8", "replace")))
+                langs, scores = np.full(n, UND, object), np.zeros(n)
+                if known.any():
+                    p = pooled(own, data, ends)[known]
+                    langs[known] = np.array(own.langs, object)[p.argmax(axis=1)]
+                    scores[known] = np.clip(p.max(axis=1), 0, 1)
+                cols = [b.column(i).slice(lo, n) for i in range(1, b.num_columns)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(langs, pa.string()), pa.array(scores)], [*keep, *names])
-                lo = hi
 
     rows = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in keep])
     schema = StructType([*rows.schema.fields[1:], StructField(names[0], StringType()), StructField(names[1], DoubleType())])

@@ -30,8 +30,8 @@ from .words import EXACT, blocks, hashes, spans
 SEQ_LEN = 4096
 END_ID = 1
 SALTS = 1024
-#: Words and units whose ids a worker remembers at most; bytes of text handled at a time.
-CACHE_WORDS, CACHE_UNITS, BLOCK = 1_500_000, 400_000, 4 << 20
+#: Words and units whose ids a worker remembers at most.
+CACHE_WORDS, CACHE_UNITS = 700_000, 150_000
 
 #: The tokenizer's own split, for text that is ASCII and lower case.
 _UNITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -128,7 +128,7 @@ def pieces(docs: DataFrame, *, path: str | None = None, seq_len: int = SEQ_LEN,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(path)
         for b in batches:
-            for lo, data, ends in blocks(b, 1, BLOCK):
+            for lo, data, ends in blocks(b, 1):
                 ids, bounds = words.ids(data, ends, end_id)
                 n = np.diff(bounds)
                 per = -(-n // seq_len)

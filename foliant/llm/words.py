@@ -38,7 +38,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = 1 << max(16, (n - 1).bit_length())
+            size = n + n // 8
             inverse = pow(_BASE, -1, 1 << 64)
             self.up = np.multiply.accumulate(np.r_[_U(1), np.full(size - 1, _BASE, np.uint64)])
             self.down = np.multiply.accumulate(np.r_[_U(1), np.full(size - 1, inverse, np.uint64)])
