@@ -193,31 +193,67 @@ def decoded(raw: bytes, codec: str) -> str:
     return raw.decode(codec, "ignore")
 
 
-# Widths of codes 32 to 126 in the core fonts, and their descents.
+# Widths of codes 32 to 126 in the core fonts.
 _HELVETICA = [278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556, 556, 278, 556, 556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584]
 _HELVETICA_BOLD = [278, 333, 474, 556, 556, 889, 722, 238, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556, 556, 556, 333, 333, 584, 584, 584, 611, 975, 722, 722, 722, 722, 667, 611, 778, 722, 278, 556, 722, 611, 833, 722, 778, 667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 333, 278, 333, 584, 556, 333, 556, 611, 556, 611, 556, 333, 611, 611, 278, 278, 556, 278, 889, 611, 611, 611, 611, 389, 556, 333, 611, 556, 778, 556, 556, 500, 389, 280, 389, 584]
 _TIMES = [250, 333, 408, 500, 500, 833, 778, 180, 333, 333, 500, 564, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 278, 278, 564, 564, 564, 444, 921, 722, 667, 667, 722, 611, 556, 722, 722, 333, 389, 722, 611, 889, 722, 722, 556, 722, 667, 556, 611, 722, 722, 944, 722, 722, 611, 333, 278, 333, 469, 500, 333, 444, 500, 444, 500, 444, 333, 500, 500, 278, 278, 500, 278, 778, 500, 500, 500, 500, 333, 389, 278, 500, 500, 722, 500, 500, 444, 480, 200, 480, 541]
 _TIMES_BOLD = [250, 333, 555, 500, 500, 1000, 833, 278, 333, 333, 500, 570, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 333, 333, 570, 570, 570, 500, 930, 722, 667, 722, 722, 667, 611, 778, 778, 389, 500, 778, 667, 944, 722, 778, 611, 778, 722, 556, 667, 722, 722, 1000, 722, 722, 667, 333, 278, 333, 581, 500, 333, 500, 556, 444, 556, 444, 333, 500, 556, 278, 333, 556, 278, 833, 556, 500, 556, 556, 444, 389, 333, 556, 500, 722, 500, 500, 444, 394, 220, 394, 520]
 _TIMES_ITALIC = [250, 333, 420, 500, 500, 833, 778, 214, 333, 333, 500, 675, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 333, 333, 675, 675, 675, 500, 920, 611, 611, 667, 722, 611, 611, 722, 722, 333, 444, 667, 556, 833, 667, 722, 611, 722, 611, 500, 556, 722, 611, 833, 611, 556, 556, 389, 278, 389, 422, 500, 333, 500, 500, 444, 500, 444, 278, 500, 500, 278, 278, 444, 278, 722, 500, 500, 500, 500, 389, 389, 278, 500, 444, 667, 444, 444, 389, 400, 275, 400, 541]
 _TIMES_BOLD_ITALIC = [250, 389, 555, 500, 500, 833, 778, 278, 333, 333, 500, 570, 250, 333, 250, 278, 500, 500, 500, 500, 500, 500, 500, 500, 500, 500, 333, 333, 570, 570, 570, 500, 832, 667, 667, 667, 722, 667, 667, 722, 778, 389, 500, 667, 611, 889, 722, 722, 611, 722, 667, 556, 611, 722, 667, 889, 667, 611, 611, 333, 278, 333, 570, 500, 333, 500, 500, 444, 500, 444, 333, 500, 556, 278, 278, 500, 278, 778, 556, 500, 500, 500, 389, 389, 278, 556, 444, 667, 500, 444, 389, 348, 220, 348, 570]
-_CORE = {
-    "Courier": ([600] * 95, -194), "Courier-Bold": ([600] * 95, -194), "Courier-BoldOblique": ([600] * 95, -194), "Courier-Oblique": ([600] * 95, -194),
-    "Helvetica": (_HELVETICA, -207), "Helvetica-Bold": (_HELVETICA_BOLD, -207), "Helvetica-BoldOblique": (_HELVETICA_BOLD, -207), "Helvetica-Oblique": (_HELVETICA, -207),
-    "Symbol": ([], 0), "Times-Bold": (_TIMES_BOLD, -217), "Times-BoldItalic": (_TIMES_BOLD_ITALIC, -217), "Times-Italic": (_TIMES_ITALIC, -217),
-    "Times-Roman": (_TIMES, -217), "ZapfDingbats": ([], 0),
+# Widths of codes 0xA1 to 0xBF (0: none), then of letters that aren't as
+# wide as a base letter.
+_HELVETICA_UPPER = [333, 556, 556, 556, 556, 260, 556, 333, 737, 370, 556, 584, 0, 737, 333, 400, 584, 333, 333, 333, 556, 537, 278, 333, 333, 365, 556, 834, 834, 834, 611]
+_HELVETICA_BOLD_UPPER = [333, 556, 556, 556, 556, 280, 556, 333, 737, 370, 556, 584, 0, 737, 333, 400, 584, 333, 333, 333, 611, 556, 278, 333, 333, 365, 556, 834, 834, 834, 611]
+_TIMES_UPPER = [333, 500, 500, 500, 500, 200, 500, 333, 760, 276, 500, 564, 0, 760, 333, 400, 564, 300, 300, 333, 500, 453, 250, 333, 300, 310, 500, 750, 750, 750, 444]
+_TIMES_BOLD_UPPER = [333, 500, 500, 500, 500, 220, 500, 333, 747, 300, 500, 570, 0, 747, 333, 400, 570, 300, 300, 333, 556, 540, 250, 333, 300, 330, 500, 750, 750, 750, 500]
+_TIMES_ITALIC_UPPER = [389, 500, 500, 500, 500, 275, 500, 333, 760, 276, 500, 675, 0, 760, 333, 400, 675, 300, 300, 333, 500, 523, 250, 333, 300, 310, 500, 750, 750, 750, 500]
+_TIMES_BOLD_ITALIC_UPPER = [389, 500, 500, 500, 500, 220, 500, 333, 747, 266, 500, 606, 0, 747, 333, 400, 570, 300, 300, 333, 576, 500, 250, 333, 300, 300, 500, 750, 750, 750, 500]
+_HELVETICA_OTHER = {"Æ": 1000, "Ð": 722, "×": 584, "Ø": 778, "Þ": 667, "ß": 611, "æ": 889, "ì": 278, "í": 278, "î": 278, "ï": 278, "ð": 556, "÷": 584, "ø": 611, "þ": 556}
+_HELVETICA_BOLD_OTHER = {"Æ": 1000, "Ð": 722, "×": 584, "Ø": 778, "Þ": 667, "ß": 611, "æ": 889, "ð": 611, "÷": 584, "ø": 611, "þ": 611}
+_TIMES_OTHER = {"Æ": 889, "Ð": 722, "×": 564, "Ø": 722, "Þ": 556, "ß": 500, "æ": 667, "ð": 500, "÷": 564, "ø": 500, "þ": 500}
+_TIMES_BOLD_OTHER = {"Æ": 1000, "Ð": 722, "×": 570, "Ø": 778, "Þ": 611, "ß": 556, "æ": 722, "ð": 500, "÷": 570, "ø": 500, "þ": 556}
+_TIMES_ITALIC_OTHER = {"Æ": 889, "Ð": 722, "×": 675, "Ø": 722, "Þ": 611, "ß": 500, "æ": 667, "ð": 500, "÷": 675, "ø": 500, "þ": 500}
+_TIMES_BOLD_ITALIC_OTHER = {"Æ": 944, "Ð": 722, "×": 570, "Ø": 722, "Þ": 611, "ß": 500, "æ": 722, "ð": 500, "÷": 570, "ø": 500, "þ": 500}
+# Widths of Symbol below 256, by code.
+_SYMBOL = {
+    32: 250, 33: 333, 35: 500, 37: 833, 38: 778, 40: 333, 41: 333, 43: 549, 44: 250, 46: 250, 47: 278, 48: 500, 49: 500, 50: 500, 51: 500, 52: 500, 53: 500, 54: 500,
+    55: 500, 56: 500, 57: 500, 58: 278, 59: 278, 60: 549, 61: 549, 62: 549, 63: 444, 91: 333, 93: 333, 95: 500, 123: 480, 124: 200, 125: 480, 172: 713, 176: 400, 177: 549,
+    181: 576, 215: 549, 247: 549,
+}
+_H, _HB = (_HELVETICA, _HELVETICA_UPPER, _HELVETICA_OTHER), (_HELVETICA_BOLD, _HELVETICA_BOLD_UPPER, _HELVETICA_BOLD_OTHER)
+_FACES = {
+    "Helvetica": _H, "Helvetica-Oblique": _H, "Helvetica-Bold": _HB, "Helvetica-BoldOblique": _HB, "Times-Roman": (_TIMES, _TIMES_UPPER, _TIMES_OTHER),
+    "Times-Bold": (_TIMES_BOLD, _TIMES_BOLD_UPPER, _TIMES_BOLD_OTHER), "Times-Italic": (_TIMES_ITALIC, _TIMES_ITALIC_UPPER, _TIMES_ITALIC_OTHER),
+    "Times-BoldItalic": (_TIMES_BOLD_ITALIC, _TIMES_BOLD_ITALIC_UPPER, _TIMES_BOLD_ITALIC_OTHER),
+}
+#: Fixed values: (ascent, descent, height) of the core fonts.
+_METRICS = {
+    "Courier": (627, -194, 1052), "Courier-Bold": (627, -194, 1060), "Courier-BoldOblique": (627, -194, 1060), "Courier-Oblique": (627, -194, 1052),
+    "Helvetica": (718, -207, 1156), "Helvetica-Bold": (718, -207, 1190), "Helvetica-BoldOblique": (718, -207, 1190), "Helvetica-Oblique": (718, -207, 1156),
+    "Symbol": (0, 0, 1303), "Times-Bold": (683, -217, 1153), "Times-BoldItalic": (683, -217, 1139), "Times-Italic": (683, -217, 1100),
+    "Times-Roman": (683, -217, 1116), "ZapfDingbats": (0, 0, 963),
 }
 
 
 @functools.cache
-def core_font(name: str) -> tuple[dict[int, float], float] | None:
-    """(widths, descent) of one of the 14 core fonts. Accented letters are as wide as
-    their base letters; Symbol and ZapfDingbats have no widths here."""
-    if name not in _CORE:
+def core_font(name: str, compat: bool = True) -> tuple[dict[int, float], tuple[int, int, int]] | None:
+    """(widths, (ascent, descent, height)) of one of the 14 core fonts. Accented letters
+    are as wide as their base letters; ZapfDingbats has no widths here. ``compat``:
+    Courier has no space."""
+    if name not in _METRICS:
         return None
-    row, descent = _CORE[name]
-    widths = {32 + i: float(w) for i, w in enumerate(row)}
-    for code in range(0xC0, 0x180) if row else ():
-        base = unicodedata.normalize("NFD", chr(code))[0]
-        if ord(base) in widths:
-            widths[code] = widths[ord(base)]
-    return widths, float(descent)
+    if name in _FACES:
+        row, upper, other = _FACES[name]
+        widths = {32 + i: float(w) for i, w in enumerate(row)} | {0xA1 + i: float(w) for i, w in enumerate(upper) if w}
+        for code in range(0xC0, 0x180):
+            base = ord(unicodedata.normalize("NFD", chr(code))[0])
+            if base < 127:
+                widths[code] = widths[base]
+        widths |= {ord(c): float(w) for c, w in other.items()}
+    elif name.startswith("Courier"):
+        widths = {c: 600.0 for c in [*range(32, 127), *range(0xA1, 0x180)] if c != 0xAD}
+        if compat and name == "Courier":
+            del widths[32]
+    else:
+        widths = {c: float(w) for c, w in _SYMBOL.items()} if name == "Symbol" else {}
+    return widths, _METRICS[name]

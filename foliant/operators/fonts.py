@@ -33,6 +33,7 @@ class Font:
     default_width: np.float32 = _F(0)
     ascent: np.float32 = _F(0)
     descent: np.float32 = _F(0)
+    height: np.float32 = _F(0)
     scale: tuple[np.float32, np.float32] = (_THOUSANDTH, _THOUSANDTH)
     bytes_width: np.ndarray | None = None
 
@@ -100,7 +101,7 @@ def load_font(doc: Document, value: Object) -> Font:
             raise Malformed("a composite font needs one descendant")
         font.props = props = doc.dictionary(inner[0]) | props
     described = doc.dictionary(props[b"/FontDescriptor"]) if b"/FontDescriptor" in props else {}
-    core = encodings.core_font(font.base)
+    core = encodings.core_font(font.base, doc.compat)
     if subtype in (b"/CIDFontType0", b"/CIDFontType2", b"/Type0"):
         font.default_width = float_of(props, b"/DW", 1000)
         if b"/W" in props:
@@ -115,13 +116,18 @@ def load_font(doc: Document, value: Object) -> Font:
         elif core:
             font.widths = core[0]
     box = doc.array(props[b"/FontBBox"]) if subtype == b"/Type3" and b"/FontBBox" in props else None
-    for name, corner, index in (("descent", b"/Descent", 1), ("ascent", b"/Ascent", 3)):
+    metrics = core[1] if core else (0, 0, 0)
+    font.height = _F(metrics[2])
+    if b"/FontBBox" in described:
+        corners = doc.array(described[b"/FontBBox"])
+        font.height = real(corners[3][1]) - real(corners[1][1])
+    for name, corner, index, known in (("descent", b"/Descent", 1, metrics[1]), ("ascent", b"/Ascent", 3, metrics[0])):
         if corner in described:
             metric = real(described[corner][1])
         elif box is not None:
             metric = real(box[index][1])
         else:
-            metric = _F(core[1] if core and name == "descent" else 0)
+            metric = _F(known)
         setattr(font, name, metric)
     return font
 

@@ -26,7 +26,7 @@ _VALUE = "struct<raw:binary,type:tinyint>"
 _NESTED = {
     "objects": f"array<struct<obj_id:int,offset:bigint,source:string,type:tinyint,raw:binary,dict:map<string,{_VALUE}>>>",
     "pages": "array<struct<page_no:int,page_id:int,media_box:array<float>,rotate:int,ctm:array<float>>>",
-    "fonts": "array<struct<page_no:int,font_name:string,base_font:string,subtype:string,encoding:string,unicode_source:string,descent:float,ascent:float,default_width:float,widths:map<int,float>,scale_x:float,scale_y:float>>",
+    "fonts": "array<struct<page_no:int,font_name:string,base_font:string,subtype:string,encoding:string,unicode_source:string,descent:float,ascent:float,height:float,default_width:float,widths:map<int,float>,scale_x:float,scale_y:float>>",
     "content_ops": "array<struct<page_no:int,part:tinyint,seq:int,op:string,operands:array<struct<type:tinyint,raw:binary>>>>",
     "chunks": "array<struct<page_no:int,part:tinyint,layer_no:int,seq:int,font_name:string,x0:float,y0:float,x1:float,y1:float,text:string,text_bytes:binary,string_len:int>>",
     "page_text": "array<struct<page_no:int,part:tinyint,layer_no:int,text:string,text_bytes:binary>>",
@@ -39,7 +39,7 @@ _V = pa.struct([("raw", pa.binary()), ("type", pa.int8())])
 _ARROW = {
     "objects": pa.list_(pa.struct([("obj_id", pa.int32()), ("offset", pa.int64()), ("source", pa.string()), ("type", pa.int8()), ("raw", pa.binary()), ("dict", pa.map_(pa.string(), _V))])),
     "pages": pa.list_(pa.struct([("page_no", pa.int32()), ("page_id", pa.int32()), ("media_box", pa.list_(pa.float32())), ("rotate", pa.int32()), ("ctm", pa.list_(pa.float32()))])),
-    "fonts": pa.list_(pa.struct([("page_no", pa.int32()), ("font_name", pa.string()), ("base_font", pa.string()), ("subtype", pa.string()), ("encoding", pa.string()), ("unicode_source", pa.string()), ("descent", pa.float32()), ("ascent", pa.float32()), ("default_width", pa.float32()), ("widths", pa.map_(pa.int32(), pa.float32())), ("scale_x", pa.float32()), ("scale_y", pa.float32())])),
+    "fonts": pa.list_(pa.struct([("page_no", pa.int32()), ("font_name", pa.string()), ("base_font", pa.string()), ("subtype", pa.string()), ("encoding", pa.string()), ("unicode_source", pa.string()), ("descent", pa.float32()), ("ascent", pa.float32()), ("height", pa.float32()), ("default_width", pa.float32()), ("widths", pa.map_(pa.int32(), pa.float32())), ("scale_x", pa.float32()), ("scale_y", pa.float32())])),
     "content_ops": pa.list_(pa.struct([("page_no", pa.int32()), ("part", pa.int8()), ("seq", pa.int32()), ("op", pa.string()), ("operands", pa.list_(pa.struct([("type", pa.int8()), ("raw", pa.binary())])))])),
     "chunks": pa.list_(pa.struct([("page_no", pa.int32()), ("part", pa.int8()), ("layer_no", pa.int32()), ("seq", pa.int32()), ("font_name", pa.string()), ("x0", pa.float32()), ("y0", pa.float32()), ("x1", pa.float32()), ("y1", pa.float32()), ("text", pa.string()), ("text_bytes", pa.binary()), ("string_len", pa.int32())])),
     "page_text": pa.list_(pa.struct([("page_no", pa.int32()), ("part", pa.int8()), ("layer_no", pa.int32()), ("text", pa.string()), ("text_bytes", pa.binary())])),
@@ -82,7 +82,7 @@ def _font_rows(i: int, page: Page) -> list[dict]:
         out.append(
             {
                 "page_no": i, "font_name": _named(name), "base_font": f.base, "subtype": _named(f.subtype), "encoding": encoding and _text(encoding[1]), "unicode_source": source,
-                "descent": f.descent, "ascent": f.ascent, "default_width": f.default_width, "widths": [(int(c), float(w)) for c, w in f.widths.items() if c < 1 << 31],
+                "descent": f.descent, "ascent": f.ascent, "height": f.height, "default_width": f.default_width, "widths": [(int(c), float(w)) for c, w in f.widths.items() if c < 1 << 31],
                 "scale_x": f.scale[0], "scale_y": f.scale[1],
             }
         )

@@ -157,9 +157,11 @@ def test_charsets():
 
 
 def test_core_widths():
-    widths, descent = encodings.core_font("Helvetica")
-    assert (widths[ord("A")], widths[0xC4], descent) == (667, 667, -207)
+    widths, metrics = encodings.core_font("Helvetica")
+    assert (widths[ord("A")], widths[0xC4], widths[0xEC], widths[0xB1], metrics) == (667, 667, 278, 584, (718, -207, 1156))
     assert encodings.core_font("Courier")[0][ord("i")] == 600 and encodings.core_font("Any") is None
+    assert 32 not in encodings.core_font("Courier")[0] and encodings.core_font("Courier", compat=False)[0][32] == 600
+    assert encodings.core_font("Symbol")[0][44] == 250
 
 
 def test_to_unicode():
