@@ -78,12 +78,16 @@ _NAMES = {
     "product": "∏", "radical": "√", "approxequal": "≈", "Delta": "∆", "Omega": "Ω", "nbspace": " ", "sfthyphen": "­", "Dcroat": "Đ", "dcroat": "đ",
     "Hbar": "Ħ", "hbar": "ħ", "Tbar": "Ŧ", "tbar": "ŧ", "Eng": "Ŋ", "eng": "ŋ", "IJ": "Ĳ", "ij": "ĳ", "kgreenlandic": "ĸ", "longs": "ſ", "arrowleft": "←",
     "arrowup": "↑", "arrowright": "→", "arrowdown": "↓", "element": "∈", "emptyset": "∅", "universal": "∀", "existential": "∃", "proportional": "∝",
+    "angle": "∠", "logicaland": "∧", "logicalor": "∨", "intersection": "∩", "union": "∪", "therefore": "∴", "similar": "∼", "congruent": "≅", "equivalence": "≡",
+    "propersubset": "⊂", "propersuperset": "⊃", "notsubset": "⊄", "reflexsubset": "⊆", "reflexsuperset": "⊇", "circleplus": "⊕", "circlemultiply": "⊗",
+    "perpendicular": "⊥", "dotmath": "⋅", "gradient": "∇", "aleph": "ℵ", "weierstrass": "℘", "Ifraktur": "ℑ", "Rfraktur": "ℜ", "spade": "♠", "club": "♣",
+    "heart": "♥", "diamond": "♦", "arrowboth": "↔", "sigma1": "ς", "theta1": "ϑ", "phi1": "ϕ", "omega1": "ϖ", "Upsilon1": "ϒ",
 }
 
 _ACCENTS = {
     "grave": "̀", "acute": "́", "circumflex": "̂", "tilde": "̃", "macron": "̄", "breve": "̆", "dotaccent": "̇",
     "dieresis": "̈", "ring": "̊", "hungarumlaut": "̋", "caron": "̌", "cedilla": "̧", "commaaccent": "̧", "ogonek": "̨",
-    "dot": "̇", "dotbelow": "̣", "hookabove": "̉", "horn": "̛",
+    "tonos": "́", "dot": "̇", "dotbelow": "̣", "hookabove": "̉", "horn": "̛",
 }
 _SCRIPTS = {
     "cyrillic": "CYRILLIC {case} LETTER {}", "armenian": "ARMENIAN {case} LETTER {}", "hebrew": "HEBREW LETTER {}", "hiragana": "HIRAGANA LETTER {}",
@@ -115,6 +119,19 @@ def glyph(name: str) -> str | None:
         code = name[len(prefix) :]
         if name.startswith(prefix) and least <= len(code) <= 6 and not code.strip("0123456789ABCDEF"):
             return chr(int(code, 16)) if int(code, 16) < 0x110000 else None
+    base = name.removesuffix("small")
+    if base != name and (t := glyph(base)) and len(t) == 1 and ord(t) < 256:  # small capitals and signs in the private area
+        return chr(0xF700 + ord(t.lower()))
+    base = name.removesuffix("oldstyle")
+    if base != name and base in _DIGITS:
+        return chr(0xF730 + _DIGITS.index(base))
+    base = name.removesuffix("katakanahalfwidth")
+    if base != name:
+        return _lookup(f"HALFWIDTH KATAKANA LETTER {base.upper()}")
+    for suffix, first in (("circle", 0x24D0), ("paren", 0x249C)):
+        base = name.removesuffix(suffix)
+        if base != name and len(base) == 1 and base.isalpha() and (base.islower() or suffix == "circle"):
+            return chr(first + ord(base) - ord("a")) if base.islower() else chr(0x24B6 + ord(base) - ord("A"))
     for suffix, mark in _ACCENTS.items():
         base = name.removesuffix(suffix)
         if base != name and base:
@@ -131,6 +148,7 @@ def glyph(name: str) -> str | None:
     for suffix, pattern in _SCRIPTS.items():
         base = name.removesuffix(suffix)
         if base != name and base:
+            base = f"final {base[5:]}" if base.startswith("final") else base
             return _lookup(pattern.format(base.upper(), case="CAPITAL" if base[0].isupper() else "SMALL"))
     base = name.removesuffix("monospace")
     if base != name and (t := glyph(base)) and len(t) == 1 and "!" <= t <= "~":

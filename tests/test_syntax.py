@@ -143,7 +143,7 @@ def test_single_byte_encodings():
 
 @pytest.mark.parametrize(
     "name, text",
-    [("aacute", "á"), ("Alpha", "Α"), ("afii10017", "А"), ("afii10023", "Ё"), ("guhiragana", "ぐ"), ("uni0416", "Ж"), ("comma", ","), ("onesuperior", "¹"), (".notdef", ""), ("amonospace", "ａ"), ("nosuchglyph", None)],
+    [("aacute", "á"), ("Alpha", "Α"), ("afii10017", "А"), ("afii10023", "Ё"), ("guhiragana", "ぐ"), ("uni0416", "Ж"), ("comma", ","), ("onesuperior", "¹"), (".notdef", ""), ("amonospace", "ａ"), ("alphatonos", "ά"), ("iotadieresistonos", "ΐ"), ("Asmall", "\uf761"), ("Aacutesmall", "\uf7e1"), ("sevenoldstyle", "\uf737"), ("kekatakanahalfwidth", "ｹ"), ("finalkafhebrew", "ך"), ("bcircle", "ⓑ"), ("nosuchglyph", None)],
 )
 def test_glyph_names(name, text):
     assert encodings.glyph(name) == text
