@@ -13,16 +13,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from foliant.llm import language_id, line_dedup, mixing, near_dedup, packing
 from foliant.llm.common import materialize, table
 
-#: Least mean probability of a document's language. Clean text of a learned language
-#: scores far above it; with four languages, text of none of them scores about 0.25.
-MIN_LANGUAGE = 0.3
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a learned language; a null ``lang`` gets the predicted one."""
+    """Documents with text in some language: those without a letter go. A null ``lang``
+    gets the predicted one. Every learned language is wanted, so none is dropped."""
     names = ("_lang_pred", "_lang_score")
     found = language_id.predict(docs, language_id.fitted(docs), tuple(docs.columns), names)
-    kept = found.filter((F.col(names[0]) != language_id.UND) & (F.col(names[1]) >= MIN_LANGUAGE))
+    kept = found.filter(F.col(names[0]) != language_id.UND)
     return kept.withColumn("lang", F.coalesce("lang", names[0])).drop(*names)
 
 

@@ -31,7 +31,7 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 4
 #: Languages that are learned at most (the most frequent), and how many times the sample
 #: is ranked.
 MOST_LANGS, SPARE = 256, 4
-STEPS, BATCH, RATE = 260, 256, 0.02
+STEPS, BATCH, RATE, SHORT = 300, 256, 0.02, 0.3
 #: Windows that are labelled side by side.
 LANES = 2048
 UND = "und"
@@ -229,7 +229,9 @@ def train(texts: list[bytes], labels: list[str], *, hidden: int = HIDDEN, steps:
     first, second = [np.zeros_like(w) for w in ws], [np.zeros_like(w) for w in ws]
     for step in range(1, steps + 1):
         own = np.concatenate([rng.choice(b, max(1, BATCH // len(by))) for b in by])
-        _, grads = net.loss_gradients(steps_of(data, starts[own], lengths[own]), lengths[own], label[own])
+        short = np.minimum(lengths[own], rng.integers(4, WINDOW + 1, len(own)))
+        size = np.where(rng.random(len(own)) < SHORT, short, lengths[own])  # short texts must be told apart too
+        _, grads = net.loss_gradients(steps_of(data, starts[own], size), size, label[own])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = RATE * (1 - step / (steps + 1)) ** 0.5
         for w, g, m, v in zip(ws, grads, first, second):
