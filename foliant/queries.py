@@ -140,7 +140,7 @@ def pdf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_relational_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The relational path: parsed chunks to lines, boxes and order by DataFrame plans."""
     chunks = extract.chunks(as_pdfs(_table(spark, sf_dir, "documents")))
-    text = layout.document_text(layout.layer_text(layout.boxes(layout.lines(chunks))))
+    text = layout.document_text(layout.layer_text(layout.lines(chunks)))
     return text.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
@@ -335,7 +335,7 @@ def layout_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plane_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, boxes, reading order and text of all documents (no SQL)."""
-    return layout.document_text(layout.layer_text(layout.boxes(_lines(spark, sf_dir))))
+    return layout.document_text(layout.layer_text(_lines(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -135,11 +135,13 @@ def chunks(spark):
 
 def test_relations_agree_with_the_task_functions(chunks):
     lines = layout.lines(chunks).cache()
-    text = {(r["doc_id"], r["page_no"]): r["text"] for r in layout.layer_text(layout.boxes(lines)).collect()}
+    text = {(r["doc_id"], r["page_no"]): r["text"] for r in layout.layer_text(lines).collect()}
     pages: dict = {}
     for r in chunks.orderBy("seq").collect():
         pages.setdefault((r["doc_id"], r["page_no"]), []).append(Chunk(f(r["x0"]), f(r["y0"]), f(r["x1"]), f(r["y1"]), r["text"].encode(), r["string_len"]))
     assert text == {k: task.render(v).decode() for k, v in pages.items()}
+    placed = {(r["doc_id"], r["page_no"], r["box_no"]): r["place"] for r in layout.reading_order(layout.boxes(lines)).collect()}
+    assert placed == {(r["doc_id"], r["page_no"], r["box_no"]): r["place"] for r in layout.ordered_boxes(lines).collect()}
     by_line = {(r["doc_id"], r["page_no"], r["line_no"]): r["text"] for r in lines.collect()}
     assert by_line == {(*k, i): r.text.decode() for k, v in pages.items() for i, r in enumerate(task.lines(v))}
     grouped = layout.flat_groups(lines, "line_no").groupBy(*layout.LAYER, "group_no").agg(F.count("*").alias("n"))
