@@ -35,7 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import materialize, table
 from .words import blocks, hashes, mixed, spans
 
-SHINGLE = 4
+#: Words of a shingle: the default, and the most there can be.
+SHINGLE, LONGEST = 5, 16
 SIMILARITY = (80, 100)
 CHUNKS, PER_CHUNK = 14, 5
 SYMBOLS = CHUNKS * PER_CHUNK
@@ -52,15 +53,16 @@ ONE_TASK_EDGES = 50_000
 #: Members of a bucket or family, and shingles of a family, that one part of it holds at
 #: most on average; larger ones are compared part by part. Pairs compared at a time.
 PART, LOAD, PAIRS = 1024, 1_000_000, 1 << 16
+
 _U = np.uint64
 _rng = np.random.default_rng(90)
-_STEP = _rng.integers(1, 1 << 62, SHINGLE, dtype=np.uint64) * _U(2) + _U(1)
-_SHORT = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64)
+_STEP = _rng.integers(1, 1 << 62, LONGEST, dtype=np.uint64) * _U(2) + _U(1)
+_SHORT = _rng.integers(1, 1 << 63, LONGEST, dtype=np.uint64)
 _XOR = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
 _MUL = _rng.integers(1, 1 << 62, SYMBOLS, dtype=np.uint64) * _U(2) + _U(1)
 
 
-def shingle_sets(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Of texts laid one after the other in ``data`` (UTF-8 bytes; text i ends at
     ``ends[i]``): all their sorted distinct shingle hashes, and where each text's end."""
     docs = len(ends)
@@ -73,13 +75,13 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     n_words = upto - at
     m = len(word)
     g = np.zeros(m, np.uint64)
-    for k in range(SHINGLE):
+    for k in range(shingle):
         if m > k:
             g[: m - k] += word[k:] * _STEP[k]
     g = mixed(g)
     doc = np.repeat(np.arange(docs), n_words)
-    keep = np.arange(m) + SHINGLE <= upto[doc]
-    for i in np.flatnonzero((n_words > 0) & (n_words < SHINGLE)):  # too short: the whole sequence is one
+    keep = np.arange(m) + shingle <= upto[doc]
+    for i in np.flatnonzero((n_words > 0) & (n_words < shingle)):  # too short: the whole sequence is one
         own = word[at[i] : upto[i]]
         g[at[i]] = mixed((own * _STEP[: len(own)]).sum(dtype=np.uint64, keepdims=True) ^ _SHORT[len(own)])[0]
         keep[at[i]] = True
@@ -119,14 +121,14 @@ def chunk_keys(signs: np.ndarray) -> np.ndarray:
     return keys.reshape(len(signs), -1)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (128 bits of the set's hash; null without
     shingles) and signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, data, ends in blocks(b, 1):
-                g, upto = shingle_sets(data, ends)
+                g, upto = shingle_sets(data, ends, shingle)
                 n = np.diff(np.r_[0, upto])
                 signs = minwise(g, upto)
                 sums = []
@@ -160,14 +162,14 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
 
-def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+def _sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(id, set): the sorted shingle hashes of the documents that ``ids`` names, stored."""
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, data, ends in blocks(b, 1):
-                g, upto = shingle_sets(data, ends)
+                g, upto = shingle_sets(data, ends, shingle)
                 each = [g[s:e].tobytes() for s, e in zip(np.r_[0, upto[:-1]], upto)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ends)), pa.array(each, pa.binary())], ["id", "set"])
 
@@ -185,9 +187,9 @@ def alike(p: np.ndarray, q: np.ndarray) -> bool:
     return den * both >= num * (len(p) + len(q) - both)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. ``pairs`` is stored."""
-    found = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs)
+    found = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -391,9 +393,9 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
-    signed = materialize(signatures(docs), "near-signed")
+    signed = materialize(signatures(docs, shingle), "near-signed")
     linked = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n_shingles")), "near-classes")
     reps = classes.select("rep", "signature").dropDuplicates(["rep"])
@@ -406,7 +408,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = buckets.filter("rep <> leader").groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED_KEYS)
     best = stars.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "leader"))), 1, LEADERS).alias("l"))
     first = materialize(best.select(F.explode("l.leader").alias("a"), F.col("rep").alias("b")), "near-first")
-    links = materialize(_confirmed(first, docs), "near-links")
+    links = materialize(_confirmed(first, docs, shingle), "near-links")
     labels = materialize(components(links), "near-labels")
 
     marked = materialize(_labelled(buckets.select("key", "rep"), labels), "near-marked")
@@ -422,7 +424,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sized = classes.groupBy("rep").agg(F.max("n_shingles").alias("size"))
         members = materialize(_labelled(sized, labels).join(family, "label"), "near-members")
         load = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / LOAD), F.ceil(F.count(F.lit(1)) / PART)).cast("int").alias("parts"))
-        sets = _sets(members.select(F.col("rep").alias("id")), docs).withColumnRenamed("id", "rep")
+        sets = _sets(members.select(F.col("rep").alias("id")), docs, shingle).withColumnRenamed("id", "rep")
         more = _linked_trees(members.join(load, "family").join(reps, "rep").join(sets, "rep"))
         final = materialize(components(links.union(more)), "near-labels")
 
@@ -432,10 +434,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest doc_id, once also
     where its row repeats. Rows without a doc_id stay."""
-    found = materialize(near_duplicates(docs), "near-found")
+    found = materialize(near_duplicates(docs, shingle), "near-found")
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     repeated = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -447,4 +449,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)

@@ -256,11 +256,11 @@ def test_line_dedup_sql(spark, sf):
 # ---- near-dedup
 
 
-def _brute_components(rows):
+def _brute_components(rows, k=5):
     sets = {}
     for d, t in rows:
         w = (t or "").encode().lower().split()
-        sets[d] = frozenset(zip(w, w[1:], w[2:], w[3:])) if len(w) > 3 else frozenset([tuple(w)] if w else [])
+        sets[d] = frozenset(zip(*[w[i:] for i in range(k)])) if len(w) >= k else frozenset([tuple(w)] if w else [])
     label = {d: d for d in sets}
     ids = sorted(sets)
     changed = True
@@ -300,10 +300,10 @@ def test_near_dedup_against_brute_force(spark, seed, monkeypatch):
         near_dedup.components.__defaults__ = (0,)
     try:
         docs = _docs(spark, texts)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()}
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, shingle=4 + seed % 2).collect()}
     finally:
         near_dedup.components.__defaults__ = (50_000,)
-    want = _brute_components(list(enumerate(texts)))
+    want = _brute_components(list(enumerate(texts)), 4 + seed % 2)
     assert got == {d: (n, c, c == d) for d, (n, c) in want.items()}
 
 
