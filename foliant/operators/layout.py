@@ -16,6 +16,8 @@ from .interpreter import Chunk
 _F = np.float32
 LINE_OVERLAP, CHAR_MARGIN, WORD_MARGIN, LINE_MARGIN, BOXES_FLOW = (_F(v) for v in (0.5, 2.0, 0.1, 0.5, 0.5))
 MOST_BOXES = 300
+#: Lines whose pairs are compared at once; of more, line by line.
+MOST_AT_ONCE = 1000
 
 
 @dataclass
@@ -89,14 +91,15 @@ def joined_flat(regions: list[Region]) -> list[Region]:
     return [r for r in out if r.length]
 
 
-def neighbours(box: np.ndarray, i: int) -> np.ndarray:
-    """Which rows of ``box`` (x0, y0, x1, y1) are next to row i."""
+def neighbours(box: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """(members, rows): which rows of ``box`` (x0, y0, x1, y1) are next to the members."""
     x0, y0, x1, y1 = box.T
-    height = y1 - y0
-    d = LINE_MARGIN * np.maximum(height, height[i])
+    mx0, my0, mx1, my1 = box[members].T[:, :, None]
+    height, own = y1 - y0, my1 - my0
+    d = LINE_MARGIN * np.maximum(height, own)
     return (
-        (np.abs(height - height[i]) < d) & (x1[i] > x0) & (x0[i] < x1) & (y0[i] < y1 + d) & (y1[i] > y0 - d)
-        & ((np.abs(x0 - x0[i]) < d) | (np.abs(x1 - x1[i]) < d))
+        (np.abs(height - own) < d) & (mx1 > x0) & (mx0 < x1) & (my0 < y1 + d) & (my1 > y0 - d)
+        & ((np.abs(x0 - mx0) < d) | (np.abs(x1 - mx1) < d))
     )
 
 
@@ -107,14 +110,15 @@ def _corners(regions: list[Region]) -> np.ndarray:
 def components(regions: list[Region]) -> list[list[int]]:
     """Lines next to one another, from each first line outwards, breadth first."""
     corners, free = _corners(regions), np.ones(len(regions), bool)
-    out = []
+    n, out = len(regions), []
+    near = neighbours(corners, np.arange(n)) if 0 < n <= MOST_AT_ONCE else None
     for seed in range(len(regions)):
         if not free[seed]:
             continue
         free[seed] = False
         members = [seed]
         for i in members:
-            found = np.flatnonzero(free & neighbours(corners, i))
+            found = np.flatnonzero(free & (near[i] if near is not None else neighbours(corners, np.array([i]))[0]))
             free[found] = False
             members += found.tolist()
         out.append(members)
@@ -149,27 +153,37 @@ def reading_order(regions: list[Region]) -> list[int]:
     heap: list = []
     count = 0
 
+    def inside(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Which live boxes lie in the unions from low to high (one, or one a row)."""
+        x0, y0, x1, y1 = corners.T
+        lx, ly, hx, hy = low[..., :1], low[..., 1:], high[..., :1], high[..., 1:]
+        return (x0 >= lx) & (y0 >= ly) & (x1 <= hx) & (y1 <= hy) & alive
+
     def add(i: int, others: np.ndarray) -> None:
+        """Pairs of i with others. Boxes only grow, so a pair between which nothing lies
+        now needs no look later."""
         nonlocal count
-        both = np.concatenate([np.minimum(corners[i, :2], corners[others, :2]), np.maximum(corners[i, 2:], corners[others, 2:])], 1)
-        waste = area(both) - area(corners[i]) - area(corners[others])
-        for j, w in zip(others.tolist(), waste.tolist()):
-            heapq.heappush(heap, (0, w, count, i, j, version[i], version[j]))
+        low, high = np.minimum(corners[i, :2], corners[others, :2]), np.maximum(corners[i, 2:], corners[others, 2:])
+        waste = area(np.concatenate([low, high], 1)) - area(corners[i]) - area(corners[others])
+        third = inside(low, high)
+        third[:, i] = False
+        third[np.arange(len(others)), others] = False
+        for j, w, look in zip(others.tolist(), waste.tolist(), third.any(axis=1).tolist()):
+            heapq.heappush(heap, (0, w, count, i, j, version[i], version[j], look))
             count += 1
 
     for i in range(n):
         if i + 1 < n:
             add(i, np.arange(i + 1, n))
     while heap:
-        later, waste, nth, i, j, vi, vj = heapq.heappop(heap)
+        later, waste, nth, i, j, vi, vj, look = heapq.heappop(heap)
         if not (alive[i] and alive[j]) or version[i] != vi or version[j] != vj:
             continue
         low, high = np.minimum(corners[i, :2], corners[j, :2]), np.maximum(corners[i, 2:], corners[j, 2:])
-        if not later:
-            between = alive & (corners[:, :2] >= low).all(1) & (corners[:, 2:] <= high).all(1)
-            between &= ~(corners == corners[i]).all(1) & ~(corners == corners[j]).all(1)
+        if look and not later:
+            between = inside(low, high) & ~(corners == corners[i]).all(1) & ~(corners == corners[j]).all(1)
             if between.any():
-                heapq.heappush(heap, (1, waste, nth, i, j, vi, vj))
+                heapq.heappush(heap, (1, waste, nth, i, j, vi, vj, look))
                 continue
         key = [(_F(1) - BOXES_FLOW) * corners[k, 0] - (_F(1) + BOXES_FLOW) * (corners[k, 1] + corners[k, 3]) for k in (i, j)]
         first, second = (i, j) if key[0] <= key[1] else (j, i)
