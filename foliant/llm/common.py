@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
 import pickle
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,12 +22,17 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+@functools.cache
+def _local_root() -> str:
+    root = os.path.join(tempfile.gettempdir(), "checkpoints", str(os.getpid()))
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``; a local
-    one is made only where that setting is absent (single-machine tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = os.path.join(tempfile.gettempdir(), "checkpoints")
+    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``. Where that
+    setting is absent (one machine, tests) it is a local one, removed as Python ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
