@@ -37,8 +37,9 @@ SHAPES = 24
 CLASSES = OWN_CLASSES + SHAPES + 1  # and the end
 END = CLASSES - 1
 #: Words that are looked up without a shuffle: the most frequent of those that make up
-#: one in SPARE * FREQUENT tokens or more.
-FREQUENT, SPARE = 30_000, 20
+#: one in SPARE * FREQUENT tokens or more and have at most WIDEST bytes, so that what is
+#: broadcast has a bound.
+FREQUENT, SPARE, WIDEST = 30_000, 20, 64
 DIMENSIONS, NOISE, STEPS, BATCH, RATE = 24, 12, 1500, 1024, 0.05
 #: Words a counting task holds before it passes their counts on, and words whose class
 #: a worker remembers.
@@ -111,7 +112,7 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     least = n / (SPARE * frequent)  # so at most SPARE * frequent words are ordered, however many there are
-    top = counts.filter((F.col("word") != F.lit(b"")) & (F.col("c") >= least)).orderBy(F.col("c").desc(), "word").limit(frequent).collect()
+    top = counts.filter((F.col("word") != F.lit(b"")) & (F.col("c") >= least) & (F.octet_length("word") <= WIDEST)).orderBy(F.col("c").desc(), "word").limit(frequent).collect()
     return Vocabulary({bytes(r["word"]): r["c"] for r in top}, n, v)
 
 
