@@ -258,3 +258,25 @@ def test_any_text_survives_the_writer():
 
 def test_render_is_empty_without_chunks():
     assert render([]) == b""
+
+
+def test_mutated_documents_raise_known_errors_only():
+    import random
+
+    from foliant.plans.extract import ERRORS
+
+    rng = random.Random(0)
+    samples = [simple_pdf([HELLO]), simple_pdf([HELLO], xref="stream", flate=True, pack=True), text_pdf("ab\ncd"), _encrypted("aes"), _form_pdf(HELLO, b"/X Do " + HELLO, annots=HELLO)]
+    want = ("objects", "pages", "fonts", "content_ops", "chunks", "page_text")
+    for _ in range(1500):
+        buf = bytearray(rng.choice(samples))
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(len(buf))
+            if rng.random() < 0.6:
+                buf[at] = rng.randrange(256)
+            else:
+                buf[at : at + rng.randint(0, 6)] = bytes(rng.choice(b"<>[]()/0123456789 R\n") for _ in range(rng.randint(0, 6)))
+        try:
+            read_document(bytes(buf), want, compat=rng.random() < 0.7, partial=rng.random() < 0.3)
+        except ERRORS:
+            pass
