@@ -31,7 +31,7 @@ SEQ_LEN = 4096
 END_ID = 1
 SALTS = 1024
 #: Words and units whose ids a worker remembers at most.
-CACHE_WORDS, CACHE_UNITS = 700_000, 150_000
+CACHE_WORDS, CACHE_UNITS = 1_000_000, 200_000
 
 #: The tokenizer's own split, for text that is ASCII and lower case.
 _UNITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -57,12 +57,17 @@ class WordIds:
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.units: dict[bytes, bytes] = {}
-        self.forget()
+        #: Known words: sorted hashes, where in ``pool`` their ids are, and how often met.
+        self.keys, self.at, self.n, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
     def forget(self) -> None:
-        #: Known words: sorted hashes, and where in ``pool`` their ids are.
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        """Keeps the half of the words that were met most often."""
+        keep = np.sort(np.argpartition(-self.met, self.most // 2)[: self.most // 2])
+        n = self.n[keep]
+        at = np.cumsum(n) - n
+        self.pool = self.pool[np.repeat(self.at[keep] - at, n) + np.arange(int(n.sum()))]
+        self.keys, self.at, self.n, self.met = self.keys[keep], at, n, self.met[keep] // 2
 
     def _learn_units(self, units: list[bytes]) -> None:
         """Units are encoded side by side in one text; an id that ends a word ends one."""
@@ -92,7 +97,8 @@ class WordIds:
         at = len(self.pool) + np.cumsum(n) - n
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), "<u4")])
         where = np.searchsorted(self.keys, hashed)
-        self.keys, self.at, self.n = np.insert(self.keys, where, hashed), np.insert(self.at, where, at), np.insert(self.n, where, n)
+        self.keys, self.at = np.insert(self.keys, where, hashed), np.insert(self.at, where, at)
+        self.n, self.met = np.insert(self.n, where, n), np.insert(self.met, where, 0)
 
     def ids(self, data: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of texts laid end to end, ``end_id`` after each; text i
@@ -107,6 +113,7 @@ class WordIds:
             raw = data.tobytes()
             self._learn(hashed[new], [raw[a:b] for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist())])
             where = np.searchsorted(self.keys, hashed)
+        self.met[where] += np.bincount(word, minlength=len(where))
         n = self.n[where][word]
         upto = np.cumsum(n)
         out = self.pool[np.repeat(self.at[where][word] - upto + n, n) + np.arange(int(upto[-1]) if len(upto) else 0)]
