@@ -2,10 +2,16 @@
 
 Every token belongs to one of a fixed number of classes: the most frequent words are
 classes of their own, other words fall into classes by shape, and a text's end is one.
-A log-bilinear model gives the next class from the two before it; a word within its
-class has its smoothed relative frequency. The model is trained in numpy on the class
-trigram counts of all training documents, and batched matrix products over all pairs
-of preceding classes give normalised log-probabilities.
+Classes only factorise the model: a shape class is split into groups of words, so that
+class, group and word are each normalised exactly over a small set. A base model gives
+the next class from the two before it (log-bilinear, from draws of the class trigram
+counts), and smoothed frequencies within a class. Over it, every word of a vocabulary
+that grows with the training tokens has vectors of its own, and the two words before
+shift the log-probabilities of class, group and word. These vectors are trained by
+noise-contrastive estimation, the base being the noise, in passes over all trigrams of
+all training documents: every partition trains from the same start, and the vectors are
+averaged by how often each was met. Words outside the vocabulary share their class's
+vector and have their smoothed frequency within what is left of the class.
 
 Word counts cover all training documents and stay distributed: frequent words (a
 bounded list) are looked up where texts are read; only rarer words, summed per
@@ -40,11 +46,17 @@ END = CLASSES - 1
 #: one in SPARE * FREQUENT tokens or more and have at most WIDEST bytes, so that what is
 #: broadcast has a bound.
 FREQUENT, SPARE, WIDEST = 30_000, 20, 64
+#: The vocabulary has up to GROWTH * sqrt(N) words, and FREQUENT at least.
+GROWTH = 10
 DIMENSIONS, NOISE, STEPS, BATCH, RATE = 24, 12, 1500, 1024, 0.05
 #: Words a counting task holds before it passes their counts on, and words whose class
 #: a worker remembers.
 HELD = 300_000
-
+#: Word vectors: dimensions, noise words a decision, passes over all trigrams, trigrams a
+#: step, rate, and what damps the rate of vectors that were met little.
+WIDTH, DRAWN, PASSES, TOGETHER, WORD_RATE, DAMPING = 16, 4, 1, 8192, 0.15, 0.02
+#: Vectors of a row as they are averaged, tokens that are scored at a time.
+SLAB, SCORED = 1024, 1 << 15
 
 def shape(word: bytes) -> int:
     """The class, of SHAPES, of a word that has none of its own: length, last byte, and
@@ -111,6 +123,7 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    frequent = max(frequent, int(GROWTH * n**0.5))
     least = n / (SPARE * frequent)  # so at most SPARE * frequent words are ordered, however many there are
     top = counts.filter((F.col("word") != F.lit(b"")) & (F.col("c") >= least) & (F.octet_length("word") <= WIDEST)).orderBy(F.col("c").desc(), "word").limit(frequent).collect()
     return Vocabulary({bytes(r["word"]): r["c"] for r in top}, n, v)
@@ -220,54 +233,277 @@ def train(counts: np.ndarray, *, steps: int = STEPS, seed: int = 2) -> np.ndarra
     return s.reshape(counts.shape).astype(np.float32)
 
 
+@dataclass
+class Tree:
+    """The vocabulary's words, by id: their order in the vocabulary, then what is left of
+    each shape class, then the end. Nodes are a class's rest and groups (scope: the class)
+    and a group's words (scope: the group); a scope's nodes lie side by side."""
+
+    ids: dict[bytes, int]
+    cls: np.ndarray  # (ids,)
+    node: np.ndarray  # (2, ids): group or rest, word; -1 for none
+    scope: np.ndarray  # (2, ids): the nodes' scopes
+    bounds: np.ndarray  # (scopes + 1,)
+    prior: np.ndarray  # (nodes,) natural log of the smoothed share within the scope
+    cumulated: np.ndarray  # (nodes,) scope + the share of its nodes up to this one
+    log_rest: np.ndarray  # (ids,) log10 of the smoothed size of a rest; 0 for others
+
+    @classmethod
+    def of(cls, vocab: Vocabulary, sizes: np.ndarray) -> "Tree":
+        words = list(vocab.counts)
+        c, v = np.array(list(vocab.counts.values()), np.float64) + 1, len(words)
+        n, by = v + SHAPES + 1, [[] for _ in range(SHAPES)]
+        for i in range(len(vocab.own), v):
+            by[shape(words[i])].append(i)
+        of, node, scope = np.full(n, END, np.int32), np.full((2, n), -1, np.int32), np.zeros((2, n), np.int32)
+        of[: len(vocab.own)], log_rest = np.arange(len(vocab.own)), np.zeros(n)
+        shares, groups = [], []
+        for k, own in enumerate(by):
+            own = sorted(own, key=words.__getitem__)  # words with the same beginning meet
+            width = int(np.ceil(len(own) ** 0.5)) or 1
+            parts = [np.array(own[i : i + width]) for i in range(0, len(own), width)]
+            rest = max(sizes[OWN_CLASSES + k] - sum(c[p].sum() for p in parts), 1.0)
+            at = sum(map(len, shares))
+            shares.append(np.array([rest, *[c[p].sum() for p in parts]]))
+            of[v + k], node[0, v + k], scope[0, v + k], log_rest[v + k] = OWN_CLASSES + k, at, k, np.log10(rest)
+            for g, p in enumerate(parts):
+                of[p], node[0, p], scope[0, p], scope[1, p] = OWN_CLASSES + k, at + 1 + g, k, SHAPES + len(groups)
+                groups.append(p)
+        shares += [c[p] for p in groups]
+        bounds = np.r_[0, np.cumsum([len(x) for x in shares])]
+        for g, p in enumerate(groups):
+            node[1, p] = bounds[SHAPES + g] + np.arange(len(p))
+        cumulated = [i + np.cumsum(x) / x.sum() for i, x in enumerate(shares)]
+        for i, x in enumerate(cumulated):
+            x[-1] = i + 1
+        return cls({w: i for i, w in enumerate(words)}, of, node, scope, bounds, np.concatenate([np.log(x / x.sum()) for x in shares]).astype(np.float32), np.concatenate(cumulated), log_rest)
+
+    @property
+    def end(self) -> int:
+        return len(self.cls) - 1
+
+    def ids_of(self, words: list[bytes]) -> list[int]:
+        known, rest = self.ids, len(self.ids)
+        return [i if (i := known.get(w)) is not None else rest + shape(w) for w in words]
+
+
+@dataclass
+class Vectors:
+    """before: (ids, WIDTH) of words as context, factors (2, WIDTH) of the word two and
+    one before; classes (CLASSES, WIDTH) and nodes (nodes, WIDTH) as what follows."""
+
+    before: np.ndarray
+    factors: np.ndarray
+    classes: np.ndarray
+    nodes: np.ndarray
+
+    @classmethod
+    def start(cls, tree: Tree, seed: int = 2) -> "Vectors":
+        rng = np.random.default_rng(seed)
+        zeros = lambda n: np.zeros((n, WIDTH), np.float32)
+        return cls(rng.normal(0, 0.5, (len(tree.cls), WIDTH)).astype(np.float32), np.ones((2, WIDTH), np.float32) * np.float32([[0.5], [1]]), zeros(CLASSES), zeros(len(tree.prior)))
+
+    def all(self) -> list[np.ndarray]:
+        return [self.before, self.factors, self.classes, self.nodes]
+
+    def ahead(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.before[a] * self.factors[0] + self.before[b] * self.factors[1]
+
+
+def _picked_log(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log-probability of ``at`` under the scores ``z``, normalised by row."""
+    picked = z[np.arange(len(z)), at]
+    most = z.max(axis=1)
+    z -= most[:, None]
+    np.exp(z, out=z)
+    return picked - most - np.log(z.sum(axis=1))
+
+
+def log_next(tree: Tree, vectors: Vectors, log_class: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """log10 of the class, group and word of ids ``c`` after ``a`` and ``b``; of a rest it
+    is that of the whole rest. log_class: the base, log10."""
+    x = vectors.ahead(a, b)
+    out = _picked_log(log_class[tree.cls[a], tree.cls[b]] * np.float32(np.log(10)) + x @ vectors.classes.T, tree.cls[c]).astype(np.float64)
+    for node, scope in zip(tree.node, tree.scope):
+        rows = np.flatnonzero(node[c] >= 0)
+        rows = rows[np.argsort(scope[c[rows]], kind="stable")]
+        own = scope[c[rows]]
+        cuts = np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), len(rows)] if len(rows) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            r, first, last = rows[lo:hi], tree.bounds[own[lo]], tree.bounds[own[lo] + 1]
+            if last - first > 1:
+                out[r] += _picked_log(x[r] @ vectors.nodes[first:last].T + tree.prior[first:last], node[c[r]] - first)
+    return out / np.log(10)
+
+
+class Trainer:
+    """Noise-contrastive estimation with rates by row (AdaGrad)."""
+
+    def __init__(self, tree: Tree, vectors: Vectors, log_class: np.ndarray, seed: int):
+        self.tree, self.rng = tree, np.random.default_rng(seed)
+        self.vectors = Vectors(*[x.copy() for x in vectors.all()])
+        self.base = np.exp(log_class * np.float32(np.log(10)))
+        self.met = [np.zeros(len(x), np.float32) for x in self.vectors.all()]
+        self.squares = [np.full(len(x), DAMPING, np.float32) for x in self.vectors.all()]
+
+    def _move(self, which: int, at: np.ndarray | slice, gradient: np.ndarray, n: np.ndarray | float) -> None:
+        squares = self.squares[which]
+        squares[at] += (gradient * gradient).mean(axis=1)
+        self.vectors.all()[which][at] -= WORD_RATE * gradient / np.sqrt(squares[at])[:, None]
+        self.met[which][at] += n
+
+    def _scatter(self, which: int, at: np.ndarray, gradient: np.ndarray) -> None:
+        order = np.argsort(at, kind="stable")
+        sorted_at = at[order]
+        first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
+        self._move(which, sorted_at[first], np.add.reduceat(gradient[order], first, axis=0), np.diff(np.r_[first, len(at)]))
+
+    def step(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
+        tree, v = self.tree, self.vectors
+        x = v.ahead(a, b)
+        # classes: the noise's expectation is summed over all of them instead of drawn
+        p = 1 / (1 + np.exp(np.float32(np.log(NOISE)) - np.clip(x @ v.classes.T, -30, 30)))
+        at = (np.arange(len(c)), tree.cls[c])
+        hit = p[at]
+        p *= self.base[tree.cls[a], tree.cls[b]]
+        p *= NOISE
+        p[at] += hit - 1
+        d_x, d_classes = p @ v.classes, p.T @ x
+        todo = []
+        for node, scope in zip(tree.node, tree.scope):
+            rows = np.flatnonzero(node[c] >= 0)
+            if not len(rows):
+                continue
+            own = scope[c[rows]]
+            drawn = np.searchsorted(tree.cumulated, own[:, None] + self.rng.random((len(rows), DRAWN)), "right")
+            each = np.concatenate([node[c[rows]][:, None], np.minimum(drawn, tree.bounds[own + 1][:, None] - 1)], 1)
+            q, ahead = v.nodes[each], x[rows]
+            d = 1 / (1 + np.exp(np.float32(np.log(DRAWN)) - np.clip(np.matmul(q, ahead[:, :, None])[..., 0], -30, 30)))
+            d[:, 0] -= 1
+            d_x[rows] += np.matmul(d[:, None, :], q)[:, 0]
+            todo.append((each.ravel(), (d[:, :, None] * ahead[:, None, :]).reshape(-1, WIDTH)))
+        d_factors = np.stack([(d_x * v.before[a]).sum(axis=0), (d_x * v.before[b]).sum(axis=0)])
+        self._scatter(0, np.r_[a, b], np.concatenate([d_x * v.factors[0], d_x * v.factors[1]]))
+        self._move(1, slice(None), d_factors, len(c))
+        self._move(2, slice(None), d_classes, len(c))
+        if todo:
+            self._scatter(3, np.concatenate([t[0] for t in todo]), np.concatenate([t[1] for t in todo]))
+
+
+def _laid(texts: pa.Array, tree: Tree, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]]:
+    """(first text, ids with two ends before every text and one after, where each text's
+    tokens start, their numbers, words) of consecutive texts of ``size`` tokens or more."""
+    first, seq, starts, lengths, kept = 0, [], [], [], []
+    for i, t in enumerate(texts):
+        words = tokens(t.as_py())
+        starts.append(len(seq) + 2)
+        seq += [tree.end, tree.end]
+        seq += tree.ids_of(words)
+        seq.append(tree.end)
+        lengths.append(len(words) + 1)
+        kept.append(words)
+        if len(seq) >= size or i == len(texts) - 1:
+            yield first, np.array(seq), np.array(starts), np.array(lengths), kept
+            first, seq, starts, lengths, kept = i + 1, [], [], [], []
+
+
+def _targets(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+
+
+def learn(docs: DataFrame, tree: Tree, log_class: np.ndarray, passes: int = PASSES) -> Vectors:
+    """Vectors trained on all trigrams of all rows of ``docs``, ``passes`` times."""
+    vectors = Vectors.start(tree)
+    for n in range(passes):
+        shared = docs.sparkSession.sparkContext.broadcast((tree, vectors, log_class))
+
+        def run(batches: Iterator[pa.RecordBatch], n: int = n, shared=shared) -> Iterator[pa.RecordBatch]:
+            part, trainer = TaskContext.get().partitionId(), None
+            for b in batches:
+                for _, seq, starts, lengths, _ in _laid(b.column(0).cast(pa.binary()), shared.value[0], TOGETHER * 8):
+                    trainer = trainer or Trainer(*shared.value, seed=part * 1000 + n)
+                    at = trainer.rng.permutation(_targets(starts, lengths))
+                    for lo in range(0, len(at), TOGETHER):
+                        own = at[lo : lo + TOGETHER]
+                        trainer.step(seq[own - 2], seq[own - 1], seq[own])
+            for which, (x, met) in enumerate(zip(trainer.vectors.all(), trainer.met) if trainer else ()):
+                for slab in range(0, len(x), SLAB):
+                    m = met[slab : slab + SLAB]
+                    if m.any():
+                        both = np.concatenate([x[slab : slab + SLAB] * m[:, None], m[:, None]], 1)
+                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([which], pa.int32()), pa.array([slab], pa.int64()), pa.array([both.tobytes()], pa.binary())], ["part", "which", "slab", "sums"])
+
+        def added(t: pa.Table) -> pa.Table:
+            t = t.sort_by("part")  # so that sums are the same each time
+            total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in t.column("sums"))
+            return pa.table({"which": t.column("which")[:1], "slab": t.column("slab")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        rows = docs.select("text").mapInArrow(run, "part int, which int, slab long, sums binary")
+        new = Vectors(*[x.copy() for x in vectors.all()])
+        for r in rows.groupBy("which", "slab").applyInArrow(added, "which int, slab long, sums binary").collect():
+            both = np.frombuffer(bytes(r["sums"]), np.float64).reshape(-1, WIDTH + 1)
+            met = both[:, -1] > 0
+            new.all()[r["which"]][r["slab"] : r["slab"] + SLAB][met] = both[met, :-1] / both[met, -1:]
+        vectors = new
+        shared.destroy()
+    return vectors
+
+
 @dataclass
 class Model:
     vocab: Vocabulary
-    log_class: np.ndarray  # log10 of a class after two others
+    log_class: np.ndarray  # base: log10 of a class after two others
     log_size: np.ndarray  # log10 of the class's smoothed size; 0 for a single word
+    tree: Tree
+    vectors: Vectors
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of ``docs`` and its stored word counts."""
     counts = materialize(word_counts(docs), "lm-counts")
     vocab = vocabulary(counts)
-    sizes = np.log10(class_sizes(counts, vocab))
+    sizes = class_sizes(counts, vocab)
+    tree = Tree.of(vocab, sizes)
+    sizes = np.log10(sizes)
     sizes[:OWN_CLASSES] = 0
     sizes[END] = 0
     log_class = fit_in_task(trigrams(docs, vocab), lambda t: train(dense(t.column("code").to_numpy(), t.column("n").to_numpy())))
     if log_class is None:
         log_class = train(np.zeros((CLASSES,) * 3, np.int64))
-    return Model(vocab, log_class / np.float32(np.log(10)), sizes), counts
+    log_class = log_class / np.float32(np.log(10))
+    return Model(vocab, log_class, sizes, tree, learn(docs, tree, log_class)), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # FREQUENT words and CLASSES^3 floats
+    shared = spark.sparkContext.broadcast(model)  # the vocabulary with its vectors, and CLASSES^3 floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        freq = {w: np.log10(c + 1) for w, c in m.vocab.counts.items()}
-        own = np.zeros(CLASSES)  # a single word's class: its frequency within it is 1
-        for w, i in m.vocab.own.items():
-            own[i] = freq[w]
+        tree, v = m.tree, len(m.tree.ids)
+        freq = np.zeros(len(tree.cls))  # log10 of smoothed counts; rarer words' are joined
+        freq[:v] = np.log10(np.fromiter(m.vocab.counts.values(), np.float64, v) + 1)
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             ids, rows, n, known, logs, lm, rare, times = b.column(0), [], [], [], [], [], [], []
-            for t in b.column(1).cast(pa.binary()):
-                words = tokens(t.as_py())
-                got = [freq.get(w) for w in words]
-                few = Counter([w for w, x in zip(words, got) if x is None]) if None in got else {}
-                s = np.array([END, END, *m.vocab.class_of(words), END])
-                k = s[2:]
-                rows.append(row)
-                row += 1
-                n.append(len(words) + 1)
-                known.append(len(words) - sum(few.values()))
-                logs.append(float(sum(x for x in got if x is not None)))
-                lm.append(float(m.log_class[s[:-2], s[1:-1], k].sum(dtype=np.float64) - m.log_size[k].sum() - own[k].sum()))
-                rare.append(list(few))
-                times.append(list(few.values()))
+            for _, seq, starts, lengths, texts in _laid(b.column(1).cast(pa.binary()), tree, SCORED):
+                at = _targets(starts, lengths)
+                c = seq[at]
+                each = -tree.log_rest[c] - freq[c]
+                for lo in range(0, len(at), SCORED):
+                    own = at[lo : lo + SCORED]
+                    each[lo : lo + SCORED] += log_next(tree, m.vectors, m.log_class, seq[own - 2], seq[own - 1], seq[own])
+                begins, is_rare = np.cumsum(lengths) - lengths, (c >= v) & (c < tree.end)
+                few = [Counter([w for w, x in zip(words, is_rare[lo : lo + len(words)].tolist()) if x]) if is_rare[lo : lo + len(words)].any() else {} for lo, words in zip(begins, texts)]
+                rows += range(row, row + len(texts))
+                row += len(texts)
+                n += lengths.tolist()
+                known += [len(words) - sum(x.values()) for words, x in zip(texts, few)]
+                logs += np.add.reduceat(freq[c], begins).tolist()
+                lm += np.add.reduceat(each, begins).tolist()
+                rare += [list(x) for x in few]
+                times += [list(x.values()) for x in few]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int64()), ids, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(lm, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
                 ["row", "doc_id", "n_tokens", "known", "logs", "lm", "rare", "times"],

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foliant.llm import language_id, lm_scoring, quality_rules
 from foliant.llm.language_id import Network
@@ -123,6 +124,38 @@ def test_lm_without_documents(spark, none, hard):
     assert {r["n_known"] for r in got} == {0} and {r["train_tokens"] for r in got} == {0}
 
 
+def test_lm_learns_the_order_of_rarer_words(spark):
+    # 110 words are more frequent than the rarer ones, which all have one shape
+    common = " ".join(f"f{i:03d}" for i in range(110))
+    rarer = [f"rare{i:02d}x" for i in range(40)]
+    pairs = [f"{a} {b}" for a, b in zip(rarer[:20], rarer[20:])]
+    texts = [common] * 200 + [" ".join(pairs[(i + j * 7) % 20] for j in range(20)) for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    model, counts = lm_scoring.fit(docs)
+    assert not set(w.encode() for w in rarer) & set(model.vocab.own) and len({lm_scoring.shape(w.encode()) for w in rarer}) == 1
+    crossed = [f"{a} {b}" for a, b in zip(rarer[:20], rarer[21:] + rarer[20:21])]
+    asked = spark.createDataFrame([(0, " ".join(pairs)), (1, " ".join(crossed))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_scoring.score(asked, model, counts).collect()}
+    assert abs(got[0]["base_score"] - got[1]["base_score"]) < 1e-9 and got[0]["score"] > got[1]["score"] + 1
+
+
+def test_lm_words_are_normalised_after_any_two_others(spark):
+    texts = [" ".join(f"w{(i * j) % 300}{'.' * (j % 2)}" for j in range(60)) for i in range(40)]
+    model, counts = lm_scoring.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    tree = model.tree
+    assert len(tree.ids) == counts.count() - 1 and np.abs(model.vectors.nodes).sum() > 0  # all but the end
+    every = np.arange(len(tree.cls))
+    real = np.r_[every[: tree.end][tree.node[0, : tree.end] >= 0], np.arange(len(model.vocab.own)), tree.end]
+    for a, b in ((0, 5), (tree.end, tree.end), (len(tree.ids) - 1, 150), (len(tree.ids), 3)):
+        p = 10 ** lm_scoring.log_next(tree, model.vectors, model.log_class, np.full(len(real), a), np.full(len(real), b), real)
+        assert abs(p.sum() - 1) < 1e-3
+
+
+def test_lm_vocabulary_grows_with_the_training_tokens(spark):
+    counts = spark.range(5000).select(F.concat(F.lit("w"), "id").cast("binary").alias("word"), F.lit(10).cast("long").alias("c"))
+    assert len(lm_scoring.vocabulary(counts, frequent=1000).counts) == int(lm_scoring.GROWTH * 50_000**0.5)
+
+
 def test_statistics_by_hand():
     data, ends = _laid(["Ab ab\nAB! #x", "", "one"])
     s = dict(zip(quality_rules.STATS, quality_rules.statistics(data, ends)[0]))
