@@ -410,6 +410,25 @@ def test_licenses_and_inheritance(spark):
     assert all(got[i] == (None, "none", None) for i in (4, 6, 8, 10)) and got[7][1] in ("none", "inherited")
 
 
+def test_licenses_of_headers_and_full_texts(spark):
+    full = license_scan.full_texts()
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n\nint main() { return 0; }\n"
+    asl = "\n".join("# " + x for x in license_scan.HEADERS["Apache-2.0"].replace("; ", ";\n").split("\n")) + "\nimport os\n" * 50
+    mit = full["MIT"].replace(full["MIT"].split("\n")[2], "Copyright (c) 2031 Some Body and Others")
+    prose = "Here is how to build it.\n\n" * 30
+    files = [(i, f"all/{n}/LICENSE", t) for i, (n, t) in enumerate(full.items())] + [(i + 100, f"all/{n}/src/x.py", "pass") for i, n in enumerate(full)] + [
+        (50, "m/x.c", mpl), (51, "m/y.c", "code"), (52, "a/x.py", asl), (53, "o/any.txt", mit), (54, "o/p/q.py", "code"), (55, "r/README", prose + mit + "\n\n" + prose),
+        (56, "r/z.py", "code"), (57, "k/COPYING", mpl.split("\n\n")[0] + "\n\n" + prose), (58, "k/z.py", "code"), (59, "n/x.c", "/*\n" + "\n".join(" * " + x for x in full["BSD-2-Clause"].split("\n")) + "\n */\ncode();" * 9),
+        (60, "q/x.py", "".join(f"# {x}\n" for x in full["MIT"].split("\n")) + "print(1)\n"), (61, "q/y.py", "code"),
+    ]
+    got = {r["id"]: (r["license"], r["origin"]) for r in license_scan.scan(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    assert len(full) == 9
+    for i, n in enumerate(full):
+        assert got[i] == (n, "file") and got[i + 100] == (n, "inherited")
+    want = {50: ("MPL-2.0", "file"), 51: (None, "none"), 52: ("Apache-2.0", "file"), 53: ("MIT", "file"), 54: ("MIT", "inherited"), 55: ("MIT", "file"), 56: (None, "none"), 57: ("MPL-2.0", "file"), 58: ("MPL-2.0", "inherited"), 59: ("BSD-2-Clause", "file"), 60: ("MIT", "file"), 61: (None, "none")}
+    assert {k: got[k] for k in want} == want
+
+
 def test_licenses_on_hard_rows(spark, hard, none, sf):
     def files(d):
         return d.select(F.col("doc_id").alias("id"), license_scan.document_path(F.col("source"), F.col("doc_id")).alias("path"), "text")
