@@ -1,7 +1,7 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage reads all that the one before it kept, and its decisions take effect:
-language ID drops documents without a language, line dedup cuts frequent lines,
+language ID drops documents in no learned language and noise, line dedup cuts frequent lines,
 near-dedup keeps one document of each group, mixing repeats and cuts documents to the
 sources' targets, and packing puts what is left into sequences.
 """
@@ -14,10 +14,11 @@ from foliant.llm import language_id, line_dedup, mixing, near_dedup, packing
 from foliant.llm.common import materialize, table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with text in some language: those without a letter go. A null ``lang``
-    gets the predicted one. Every learned language is wanted, so none is dropped."""
+    """Documents with text in a learned language: those without a letter and those that
+    the network rejects go. A null ``lang`` gets the predicted one. Every learned language
+    is wanted, so none is dropped."""
     names = ("_lang_pred", "_lang_score")
-    found = language_id.predict(docs, language_id.fitted(docs), tuple(docs.columns), names)
+    found = language_id.predict(docs, language_id.fitted(docs, reject=True), tuple(docs.columns), names)
     kept = found.filter(F.col(names[0]) != language_id.UND)
     return kept.withColumn("lang", F.coalesce("lang", names[0])).drop(*names)
 

@@ -6,8 +6,11 @@ probabilities into the document's. It is trained in numpy by backpropagation thr
 time on a bounded sample of labelled documents and then labels every window of every
 whole text.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; all
-other texts get a learned language; an empty table, or one without labelled rows,
+A network may also learn noise as a class: then texts whose pooled probability of that
+class reaches a limit by length are rejected.
+
+Defined results: a null text, or one without a letter, is ``und`` with score 0; so is a
+rejected one, with the reject class's score; all other texts get a learned language; an empty table, or one without labelled rows,
 gives ``und`` for every row; repeated rows get equal values; extra columns are ignored.
 """
 
@@ -35,6 +38,13 @@ STEPS, BATCH, RATE, SHORT = 300, 256, 0.02, 0.3
 #: Windows that are labelled side by side.
 LANES = 2048
 UND = "und"
+#: Noise that a network with a reject class learns: letters of scripts, by first and last
+#: code; a script that stands in a SEEN share of a learned language's windows is no noise.
+SCRIPTS = [(0x370, 0x3FF), (0x400, 0x45F), (0x531, 0x586), (0x5D0, 0x5EA), (0x621, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x30FE), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+SEEN = 0.3
+#: Least mean probability of the reject class that rejects a text of so many bytes or more;
+#: shorter ones say too little. Clean short texts of numbers and addresses come to 0.75.
+REJECT = [(8, 0.95), (16, 0.9), (256, 0.75), (1024, 0.5)]
 
 _F = np.float32
 
@@ -242,6 +252,37 @@ def train(texts: list[bytes], labels: list[str], *, hidden: int = HIDDEN, steps:
     return net
 
 
+def noise(texts: list[bytes], labels: list[str], n: int, seed: int = 5) -> list[bytes]:
+    """``n`` windows that are in no language: base64, hexadecimals, keyboard noise, digits
+    and marks with a letter or two, and letters of scripts that no language of ``texts`` uses."""
+    rng = np.random.default_rng(seed)
+    by: dict[str, list[set[int]]] = {}
+    for t, x in zip(texts, labels):
+        by.setdefault(x, []).append(set(map(ord, t.decode("utf-8", "ignore"))))
+    unused = [(a, z) for a, z in SCRIPTS if all(sum(any(a <= c <= z for c in t) for t in own) < SEEN * len(own) for own in by.values())]
+    lower, digits, marks = "abcdefghijklmnopqrstuvwxyz", "0123456789", "!?.,;:-_/#&%$()[]{}=+*@<>|~^"
+    out = []
+    for i in range(n):
+        kind = i % 6 if unused else i % 5
+        if kind == 0:
+            t = rng.choice(list(lower + lower.upper() + digits + "+/"), WINDOW)
+        elif kind == 1:
+            t = rng.choice(list("0123456789abcdef" if i % 2 else "0123456789ABCDEF") + [" "] * int(rng.integers(0, 4)), WINDOW)
+        elif kind == 2:
+            t = rng.choice(list(lower + ";") + [" "] * int(rng.integers(0, 7)), WINDOW)
+        elif kind == 3:
+            t = rng.choice(list("asdfghjklqwertyuiop;'") + [" "] * int(rng.integers(0, 4)), WINDOW)
+        elif kind == 4:
+            t = rng.choice(list(digits + marks) + [" "] * 12, WINDOW)
+            t[np.r_[0, rng.integers(0, WINDOW, int(rng.integers(0, 3)))]] = rng.choice(list(lower + lower.upper()))
+            t[1] = " " if i % 2 else t[1]
+        else:
+            a, z = unused[int(rng.integers(len(unused)))]
+            t = [chr(c) if rng.random() > 0.12 else " " for c in rng.integers(a, z + 1, WINDOW)]
+        out.append("".join(t).encode()[:WINDOW])
+    return out
+
+
 def sample(docs: DataFrame, may_learn: Column) -> DataFrame:
     """lang, cuts: windows, at hashed places, of at most SAMPLE_DOCS documents a language
     (those with the smallest hashes of their ids).
@@ -268,7 +309,8 @@ def sample(docs: DataFrame, may_learn: Column) -> DataFrame:
 
 
 def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs``, the predicted language and its score."""
+    """The columns ``keep`` of every row of ``docs``, the predicted language and its score.
+    A network with a reject class gives UND, and that class's score, for texts it rejects."""
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few hundred kB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,6 +325,14 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_
                 langs, scores = np.full(n, UND, object), np.zeros(n)
                 if known.any():
                     p = pooled(own, data, ends)[known]
+                    if UND in own.langs and len(own.langs) > 1:
+                        at = own.langs.index(UND)
+                        size, limit = (ends - begins)[known], np.full(len(p), 2.0)
+                        for least, x in REJECT:
+                            limit[size >= least] = x
+                        rejects = p[:, at] >= limit
+                        p[~rejects, at] = -1
+                        p[rejects] *= np.arange(p.shape[1]) == at
                     langs[known] = np.array(own.langs, object)[p.argmax(axis=1)]
                     scores[known] = np.clip(p.max(axis=1), 0, 1)
                 cols = [b.column(i).slice(lo, n) for i in range(1, b.num_columns)]
@@ -293,12 +343,15 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_
     return rows.mapInArrow(run, schema)
 
 
-def fitted(docs: DataFrame) -> Network | None:
-    """The network trained on the sample of ``docs`` (doc_id, text, lang)."""
+def fitted(docs: DataFrame, reject: bool = False) -> Network | None:
+    """The network trained on the sample of ``docs`` (doc_id, text, lang); reject: with
+    noise as a class of its own."""
 
     def fit(t: pa.Table) -> Network:
         rows = sorted(t.select(["lang", "rank", "cuts"]).to_pylist(), key=lambda r: (r["lang"], r["rank"]))
         both = [(c.encode()[:WINDOW], r["lang"]) for r in rows for c in r["cuts"] if c]
+        if reject and both:
+            both += [(t, UND) for t in noise([t for t, _ in both], [x for _, x in both], SAMPLE_DOCS * SAMPLE_WINDOWS)]
         return train([t for t, _ in both], [x for _, x in both])
 
     return fit_in_task(sample(docs, learns(F.col("doc_id"), 3, 1)), fit)

@@ -28,6 +28,18 @@ def test_language_stage_keeps_clean_documents(spark, docs, sf, monkeypatch):
     assert {r["doc_id"] for r in got.collect()} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_language_stage_drops_noise(spark, docs, sf):
+    import base64
+    import random
+
+    rng = random.Random(3)
+    noise = [base64.b64encode(rng.randbytes(n)).decode() for n in (30, 100, 900)] + ["".join(rng.choice("asdfghjkl qwertyuiop") for _ in range(n)) for n in (60, 300, 900)]
+    noise += ["Сегодня хорошая погода, и мы идём гулять в парк.", "今日は天気がいいので公園へ散歩に行きます。", rng.randbytes(80).hex()]
+    extra = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(noise)], docs.schema)
+    got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.union(extra), sf).collect()}
+    assert got == {r["doc_id"] for r in docs.collect()}
+
+
 def test_line_stage(spark, docs, sf):
     got = {r["doc_id"]: r for r in corpus_pipeline.drop_frequent_lines(spark, docs, sf).collect()}
     want = {r["doc_id"]: r["kept"] for r in line_dedup.dedup_lines(docs).collect()}
