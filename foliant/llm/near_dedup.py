@@ -13,15 +13,20 @@ bucket's smallest member; what the confirmed links connect is one component. Buc
 that hold several components are then compared in full by their signatures, in cells
 of bounded size, and return a spanning forest of what is close. The trees are families;
 a family's shingle sets meet once, again in cells of bounded size, and return a
-spanning forest of the confirmed links. So rows stay in proportion to documents while
-no link between different texts is lost.
+spanning forest of the confirmed links. So what is returned stays in proportion to
+documents while no link between different texts is lost; a family of F classes is
+copied to F / PART cells a class and compared in full.
 Components of many edges come from star contractions (Kiveris et al., 2014) on
 stored tables.
 
+A shingle is 64 bits chained from its words' BLAKE2b hashes; words are told apart by
+their bytes.
+
 Defined results: a null or empty text, or one without words, has no shingles and
 is linked with nothing; a row whose doc_id is null too (component_id null, kept true);
-repeated rows are copies; rows that share a doc_id but not a text follow their texts;
-an empty table gives no rows; extra columns are ignored.
+repeated rows are copies; rows that share a doc_id but not a text are documents of
+their own, each linked as its text says; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import materialize, table
-from .words import blocks, hashes, mixed, spans
+from .words import LOWER, blocks, grouped, mixed, spans, strong_hashes
 
 #: Words of a shingle: the default, and the most there can be.
 SHINGLE, LONGEST = 5, 16
@@ -51,12 +56,13 @@ LEADERS, SHARED_KEYS = 2, 8
 #: Up to so many edges, components are found in one task; beyond, by star contractions.
 ONE_TASK_EDGES = 50_000
 #: Members of a bucket or family, and shingles of a family, that one part of it holds at
-#: most on average; larger ones are compared part by part. Pairs compared at a time.
-PART, LOAD, PAIRS = 1024, 1_000_000, 1 << 16
+#: most on average; those of over WHOLE members are compared part by part, in PARTS parts
+#: at least. Pairs compared at a time.
+PART, LOAD, WHOLE, PARTS, PAIRS = 1024, 1_000_000, 256, 4, 1 << 16
 
 _U = np.uint64
 _rng = np.random.default_rng(90)
-_STEP = _rng.integers(1, 1 << 62, LONGEST, dtype=np.uint64) * _U(2) + _U(1)
+_STEP = _U(int(_rng.integers(1, 1 << 62)) * 2 + 1)
 _SHORT = _rng.integers(1, 1 << 63, LONGEST, dtype=np.uint64)
 _XOR = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
 _MUL = _rng.integers(1, 1 << 62, SYMBOLS, dtype=np.uint64) * _U(2) + _U(1)
@@ -67,23 +73,26 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.n
     ``ends[i]``): all their sorted distinct shingle hashes, and where each text's end."""
     docs = len(ends)
     starts_at = np.r_[0, ends[:-1]]
+    data = LOWER[data]
     s, e = spans(data, ends)
-    word = hashes(data, s, e)
+    first, group = grouped(data, s, e)
+    word = strong_hashes(data, s[first], e[first])[group]
 
     at = np.searchsorted(s, starts_at)  # each text's first word
     upto = np.r_[at[1:], len(s)]
     n_words = upto - at
     m = len(word)
-    g = np.zeros(m, np.uint64)
-    for k in range(shingle):
+    g = word.copy()
+    for k in range(1, shingle):
         if m > k:
-            g[: m - k] += word[k:] * _STEP[k]
-    g = mixed(g)
+            g[: m - k] = mixed(g[: m - k] * _STEP + word[k:])
     doc = np.repeat(np.arange(docs), n_words)
     keep = np.arange(m) + shingle <= upto[doc]
     for i in np.flatnonzero((n_words > 0) & (n_words < shingle)):  # too short: the whole sequence is one
-        own = word[at[i] : upto[i]]
-        g[at[i]] = mixed((own * _STEP[: len(own)]).sum(dtype=np.uint64, keepdims=True) ^ _SHORT[len(own)])[0]
+        own = _SHORT[n_words[i] : n_words[i] + 1]
+        for w in word[at[i] : upto[i]]:
+            own = mixed(own * _STEP + w)
+        g[at[i]] = own[0]
         keep[at[i]] = True
     g, doc = g[keep], doc[keep]
     bounds = np.searchsorted(doc, np.arange(docs + 1))
@@ -122,8 +131,8 @@ def chunk_keys(signs: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128 bits of the set's hash; null without
-    shingles) and signature of every row."""
+    """doc_id, text_hash, n_shingles, set_a, set_b (128 bits of the set's hash; null
+    without shingles) and signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,13 +147,19 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 none = n == 0
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(lo, len(ends)), pa.array(n), pa.array(sums[0], mask=none), pa.array(sums[1], mask=none),
+                        b.column(0).slice(lo, len(ends)), b.column(2).slice(lo, len(ends)), pa.array(n), pa.array(sums[0], mask=none), pa.array(sums[1], mask=none),
                         pa.array([None if x else s.tobytes() for x, s in zip(none, signs)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
+                    ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "signature"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
+    schema = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, signature binary"
+    return docs.select(F.col("doc_id").cast("long"), "text", _text_hash()).mapInArrow(run, schema)
+
+
+def _text_hash() -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64("text").alias("text_hash")
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -162,18 +177,19 @@ def _keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "key long, rep long")
 
 
-def _sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, set): the sorted shingle hashes of the documents that ``ids`` names, stored."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi")
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(rep, set): the sorted shingle hashes of the classes that ``wanted`` names, stored."""
+    rows = classes.select("rep", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).join(wanted.distinct(), "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), _text_hash().alias("_h"), "text").join(rows, ["_id", "_h"]).select("rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, data, ends in blocks(b, 1):
                 g, upto = shingle_sets(data, ends, shingle)
                 each = [g[s:e].tobytes() for s, e in zip(np.r_[0, upto[:-1]], upto)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ends)), pa.array(each, pa.binary())], ["id", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ends)), pa.array(each, pa.binary())], ["rep", "set"])
 
-    return materialize(texts.mapInArrow(run, "id long, set binary").dropDuplicates(["id"]), "near-sets")
+    return materialize(texts.mapInArrow(run, "rep long, set binary").dropDuplicates(["rep"]), "near-sets")
 
 
 def alike(p: np.ndarray, q: np.ndarray) -> bool:
@@ -187,20 +203,24 @@ def alike(p: np.ndarray, q: np.ndarray) -> bool:
     return den * both >= num * (len(p) + len(q) - both)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough. ``pairs`` is stored."""
-    found = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, shingle)
+    found = _sets(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))), classes, docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    one = found.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    two = found.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+    one = found.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
+    two = found.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _parts(n: Column) -> Column:
+    return F.when(n <= WHOLE, 1).otherwise(F.greatest(F.lit(PARTS), F.ceil(n / PART))).cast("int")
+
+
 def _celled(rows: DataFrame, group: str) -> DataFrame:
     """``rows`` with a column ``parts`` dealt to the cells (lo, hi) of their group: a group
     of one part is one cell; of more, every two parts meet in a cell and no cell holds
@@ -276,7 +296,7 @@ def _signs(column: pa.ChunkedArray) -> np.ndarray:
 def _candidate_trees(split: DataFrame) -> DataFrame:
     """(a, b): edges that connect the labels which close signatures of a bucket connect.
     ``split``: key, rep, label, n (members of the bucket), signature."""
-    cells = _celled(split.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")), "key")
+    cells = _celled(split.withColumn("parts", _parts(F.col("n"))), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in _whole_cells(batches, 3):
@@ -393,12 +413,17 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
+def _resolved(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component (a number; null if linked with nothing
+    by definition) and component_id of every row of ``docs`` (doc_id, text).
+
+    ``rep`` numbers the classes: ids would mix up the texts of one doc_id."""
     signed = materialize(signatures(docs, shingle), "near-signed")
     linked = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialize(linked.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n_shingles")), "near-classes")
-    reps = classes.select("rep", "signature").dropDuplicates(["rep"])
+    first = F.min(F.struct("doc_id", "text_hash")).alias("row")
+    classes = linked.groupBy("set_a", "set_b").agg(first, F.first("signature").alias("signature"), F.max("n_shingles").alias("n_shingles"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("rep"), "set_a", "set_b", "row.*", "signature", "n_shingles"), "near-classes")
+    signs = classes.select("rep", "signature")
 
     index = _keys(classes)
     shared = index.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("top")).filter("leader <> top").select("key", "leader")
@@ -407,13 +432,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     stars = buckets.filter("rep <> leader").groupBy("leader", "rep").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= SHARED_KEYS)
     best = stars.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "leader"))), 1, LEADERS).alias("l"))
-    first = materialize(best.select(F.explode("l.leader").alias("a"), F.col("rep").alias("b")), "near-first")
-    links = materialize(_confirmed(first, docs, shingle), "near-links")
+    pairs = materialize(best.select(F.explode("l.leader").alias("a"), F.col("rep").alias("b")), "near-first")
+    links = materialize(_confirmed(pairs, classes, docs, shingle), "near-links")
     labels = materialize(components(links), "near-labels")
 
     marked = materialize(_labelled(buckets.select("key", "rep"), labels), "near-marked")
     counts = marked.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("n")).filter("l <> h")
-    split = marked.join(materialize(counts.select("key", "n"), "near-split"), "key").join(reps, "rep")
+    split = marked.join(materialize(counts.select("key", "n"), "near-split"), "key").join(signs, "rep")
     trees = materialize(_candidate_trees(split), "near-trees")
     if trees.isEmpty():
         final = labels
@@ -421,30 +446,47 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         family = components(trees).select(F.col("node").alias("label"), F.col("label").alias("family"))
         ids = trees.select(F.col("a").alias("label")).union(trees.select(F.col("b").alias("label"))).distinct()
         family = ids.join(family, "label", "left").withColumn("family", F.coalesce("family", "label"))
-        sized = classes.groupBy("rep").agg(F.max("n_shingles").alias("size"))
+        sized = classes.select("rep", F.col("n_shingles").alias("size"))
         members = materialize(_labelled(sized, labels).join(family, "label"), "near-members")
-        load = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / LOAD), F.ceil(F.count(F.lit(1)) / PART)).cast("int").alias("parts"))
-        sets = _sets(members.select(F.col("rep").alias("id")), docs, shingle).withColumnRenamed("id", "rep")
-        more = _linked_trees(members.join(load, "family").join(reps, "rep").join(sets, "rep"))
+        load = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / LOAD).cast("int"), _parts(F.count(F.lit(1)))).alias("parts"))
+        sets = _sets(members.select("rep"), classes, docs, shingle)
+        more = _linked_trees(members.join(load, "family").join(signs, "rep").join(sets, "rep"))
         final = materialize(components(links.union(more)), "near-labels")
 
-    named = _labelled(classes.select("rep", "set_a", "set_b"), final).select("set_a", "set_b", F.col("label").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = materialize(_labelled(classes.select("rep", "set_a", "set_b", "doc_id"), final), "near-named")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(least, "label").select("set_a", "set_b", F.col("label").alias("component"), "component_id")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
+    alone = F.col("doc_id").isNull()
+    return out.select(
+        "doc_id", "text_hash", "n_shingles", F.when(~alone, F.col("component")).alias("component"),
+        F.when(~alone, F.coalesce("component_id", "doc_id")).alias("component_id"),
+    )
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text)."""
+    found = _resolved(docs, shingle).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group: that of the smallest doc_id, once also
-    where its row repeats. Rows without a doc_id stay."""
-    found = materialize(near_duplicates(docs, shingle), "near-found")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if repeated.isEmpty():
+    """``docs`` with one row of each group: of the rows with its smallest doc_id the one
+    whose text has the smallest hash, once also where it repeats. Rows without a doc_id
+    or words stay."""
+    found = materialize(_resolved(docs, shingle), "near-found")
+    rows = found.filter("component is not null").groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows, "near-rows")
+    stays = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("r.*")
+    gone = materialize(rows.join(stays, ["doc_id", "text_hash"], "left_anti").select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash")), "near-gone")
+    own = [docs["doc_id"].cast("long") == F.col("_near_id"), F.xxhash64(docs["text"]) == F.col("_near_hash")]
+    out = docs.join(gone, own, "left_anti")
+    again = rows.filter("n > 1").select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash"))
+    if again.isEmpty():
         return out
-    once = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(out.filter("doc_id is null"))
+    marked = out.join(again, own, "left")
+    once = marked.filter(F.col("_near_id").isNotNull()).dropDuplicates(["_near_id", "_near_hash"])
+    return once.unionByName(marked.filter(F.col("_near_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import materialize, table
-from .words import EXACT, blocks, hashes, spans
+from .words import blocks, grouped, spans
 
 SEQ_LEN = 4096
 END_ID = 1
@@ -45,8 +45,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 class WordIds:
     """Ids of texts, word by word. The vocabulary's pre-tokenizer never joins text over
-    white space, so a text's ids are those of its words, one after the other. Words are
-    told apart by 64-bit hashes; those met before aren't encoded again."""
+    white space, so a text's ids are those of its words, one after the other. Words met
+    before, which are known by their bytes, aren't encoded again."""
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -57,8 +57,9 @@ class WordIds:
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.units: dict[bytes, bytes] = {}
-        #: Known words: sorted hashes, where in ``pool`` their ids are, and how often met.
-        self.keys, self.at, self.n, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        #: Known words by number, where in ``pool`` their ids are, and how often met.
+        self.known: dict[bytes, int] = {}
+        self.at, self.n, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
     def forget(self) -> None:
@@ -67,7 +68,9 @@ class WordIds:
         n = self.n[keep]
         at = np.cumsum(n) - n
         self.pool = self.pool[np.repeat(self.at[keep] - at, n) + np.arange(int(n.sum()))]
-        self.keys, self.at, self.n, self.met = self.keys[keep], at, n, self.met[keep] // 2
+        words = list(self.known)
+        self.known = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.at, self.n, self.met = at, n, self.met[keep] // 2
 
     def _learn_units(self, units: list[bytes]) -> None:
         """Units are encoded side by side in one text; an id that ends a word ends one."""
@@ -91,28 +94,27 @@ class WordIds:
         others = iter(rest)
         return [b"".join(map(get, found)) if p else np.array(next(others).ids, "<u4").tobytes() for p, found in zip(plain, split)]
 
-    def _learn(self, hashed: np.ndarray, words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         found = self._encode(words)
         n = np.array([len(f) // 4 for f in found], np.int64)
-        at = len(self.pool) + np.cumsum(n) - n
+        self.at = np.r_[self.at, len(self.pool) + np.cumsum(n) - n]
+        self.n, self.met = np.r_[self.n, n], np.r_[self.met, np.zeros(len(n), np.int64)]
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), "<u4")])
-        where = np.searchsorted(self.keys, hashed)
-        self.keys, self.at = np.insert(self.keys, where, hashed), np.insert(self.at, where, at)
-        self.n, self.met = np.insert(self.n, where, n), np.insert(self.met, where, 0)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
 
     def ids(self, data: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of texts laid end to end, ``end_id`` after each; text i
         has those from bounds[i] to bounds[i + 1]."""
         s, e = spans(data, ends)
-        hashed, first, word = np.unique(hashes(data, s, e, EXACT), return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        first, word = grouped(data, s, e)
+        if len(self.known) > self.most:
             self.forget()
-        where = np.searchsorted(self.keys, hashed)
-        new = np.flatnonzero(self.keys[np.minimum(where, len(self.keys) - 1)] != hashed) if len(self.keys) else np.arange(len(hashed))
-        if len(new):
-            raw = data.tobytes()
-            self._learn(hashed[new], [raw[a:b] for a, b in zip(s[first[new]].tolist(), e[first[new]].tolist())])
-            where = np.searchsorted(self.keys, hashed)
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
+        new = [w for w in words if w not in self.known]
+        if new:
+            self._learn(new)
+        where = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         self.met[where] += np.bincount(word, minlength=len(where))
         n = self.n[where][word]
         upto = np.cumsum(n)

@@ -1,7 +1,8 @@
-"""Words of many texts at a time: spans and 64-bit hashes in numpy."""
+"""Words of many texts at a time: spans, exact groups and 64-bit hashes in numpy."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,10 @@ FOLDED = EXACT.copy()
 FOLDED[65:91] = EXACT[97:123]
 _BASE = int(_rng.integers(1, 1 << 62)) * 2 + 1
 
+#: Bytes with A-Z as a-z.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
 #: ASCII white space: 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -75,8 +80,38 @@ def spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte: np.ndarray = FOLDED) -> np.ndarray:
-    """64-bit hashes of the spans: polynomials in the bytes' numbers, finalised."""
+    """64-bit hashes of the spans: polynomials in the bytes' numbers, finalised. Quick, but
+    different long words can be built that collide: ``grouped`` compares the bytes."""
     up, down = _powers.get(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(byte[data] * up[: len(data)], out=total[1:])
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, group): spans of equal bytes are one group; ``first`` has a span of each.
+    Hashes only propose the groups: the bytes of every span are compared."""
+    _, first, group = np.unique(hashes(data, starts, ends, EXACT), return_index=True, return_inverse=True)
+    n = ends - starts
+    same = n == n[first[group]]
+    own = np.where(same, n, 0)
+    upto = np.cumsum(own)
+    step = np.arange(int(upto[-1]) if len(upto) else 0)
+    differs = data[np.repeat(starts - upto + own, own) + step] != data[np.repeat(starts[first[group]] - upto + own, own) + step]
+    if differs.any():
+        same[np.searchsorted(upto, np.flatnonzero(differs), "right")] = False
+    for g in np.unique(group[~same]).tolist():  # one hash, several words
+        known: dict[bytes, int] = {}
+        for i in np.flatnonzero(group == g).tolist():
+            at = known.setdefault(data[starts[i] : ends[i]].tobytes(), len(first) if known else g)
+            first = np.append(first, i) if at == len(first) else first
+            group[i] = at
+    return first, group
+
+
+def strong_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b of each span: none that collide can be built short of trying
+    some 2^32."""
+    raw, digest = data.tobytes(), hashlib.blake2b
+    out = b"".join([digest(raw[s:e], digest_size=8).digest() for s, e in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(out, np.uint64)

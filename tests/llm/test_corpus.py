@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from foliant.llm import bitslice_topk, license_scan, line_dedup, mixing, near_dedup, packing
+from foliant.llm import bitslice_topk, license_scan, line_dedup, mixing, near_dedup, packing, words
 from foliant.llm.words import blocks, hashes, spans
 
 
@@ -124,6 +124,28 @@ def test_word_ids_equal_the_tokenizer_and_survive_forgetting(spark):
         assert ids.tolist() == [*words.tokenizer.encode(t, add_special_tokens=False).ids, 1] and bounds.tolist() == [0, len(ids)]
 
 
+def _twins():
+    """Two words that polynomial hashes modulo 2^64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << 11)]
+    return ["".join("ba"[b ^ flip] for b in bits) for flip in (0, 1)]
+
+
+def test_words_are_told_apart_by_their_bytes():
+    a, b = _twins()
+    data = np.frombuffer(" ".join([a, "x", b, a, "x", b, a[:-1], "y"]).encode(), np.uint8)
+    s, e = words.spans(data, np.array([len(data)]))
+    h = words.hashes(data, s, e, words.EXACT)
+    assert h[0] == h[2]  # else this tests nothing
+    first, group = words.grouped(data, s, e)
+    raw = [data[i:j].tobytes() for i, j in zip(s, e)]
+    assert [raw[first[g]] for g in group] == raw and len(first) == len(set(raw))
+    known = packing.WordIds(packing.tokenizer_path())
+    for t in (f"{a} {b}", f"{b} {a} {b}", b, a):
+        r = t.encode()
+        ids, _ = known.ids(np.frombuffer(r, np.uint8), np.array([len(r)]), 1)
+        assert ids.tolist() == [*known.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
 # ---- mixing
 
 
@@ -351,6 +373,30 @@ def test_near_dedup_on_hard_rows(spark, hard, none):
     assert sorted(k for k in kept if k is not None) == sorted(d for d, (_, c) in want.items() if c == d) and kept.count(None) == 2
 
 
+def test_near_dedup_tells_texts_of_one_id_and_colliding_words_apart(spark):
+    rng = random.Random(7)
+    a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(60)] for x in "ab")
+    one, two = _twins()
+    rows = [(1, a), (1, b), (2, [*b, "z"]), (3, [*a, "z"]), (5, ["c", *a]), (5, b), (7, [one]), (8, [two]), (9, [one])]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == Counter([(1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (5, 57, 1), (5, 56, 1), (7, 1, 7), (8, 1, 8), (9, 1, 7)])
+    kept = near_dedup.deduplicated(docs.union(docs.filter("doc_id in (1, 8)")))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter({(1, " ".join(a)): 1, (1, " ".join(b)): 1, (7, one): 1, (8, two): 1})
+
+
+def test_near_dedup_with_ids_of_several_texts_against_brute_force(spark):
+    rng = random.Random(11)
+    texts = _family(rng, 30, 40, 5) + _family(rng, 20, 25, 3)
+    rows = [(rng.randrange(25), t) for t in texts]
+    want = _brute_components(list(enumerate(texts)), 5)
+    least: dict = {}
+    for i, (d, _) in enumerate(rows):
+        least[want[i][1]] = min(d, least.get(want[i][1], d))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter((d, want[i][0], least[want[i][1]]) for i, (d, _) in enumerate(rows))
+
+
 # ---- exact top-k
 
 
