@@ -1,7 +1,6 @@
-"""Single-byte encodings, glyph names, multi-byte charsets and core font widths.
+"""Single-byte encodings, multi-byte charsets and core font widths.
 
-Most tables are built from Python's codecs and Unicode's names; what these can't give
-is listed as fixed values. ``compat`` keeps the known deviations from the published
+Most tables are built from Python's codecs; what these can't give is listed as fixed values. ``compat`` keeps the known deviations from the published
 encodings, listed apart.
 """
 
@@ -53,114 +52,14 @@ def single_byte(name: str, compat: bool = True) -> dict[int, str]:
     elif name == MAC:
         out = {c: bytes([c]).decode("mac_roman") for c in range(32, 256) if c != 127} | {202: " "}
     else:
-        out = {48 + i: str(i) for i in range(10)} | {c: chr(c) for c in range(97, 123)} | {218 + i: str((1 + i) % 10) for i in range(9)}
+        # small capitals lie at the lower-case letters; superior digits from 1 to 8, then 0
+        out = {48 + i: str(i) for i in range(10)} | {97 + i: chr(65 + i) for i in range(26)} | {218 + i: str(1 + i) for i in range(8)} | {226: "0"}
         # accented small capitals lie where MacRoman has the accented letters
         out |= {c: chr(0xF700 + ord(bytes([c]).decode("mac_roman"))) for c in range(135, 160)}
         out |= _EXPERT | {44: "" if False else ","}
     return out | (_DEVIATIONS[name] if compat else {})
 
 
-# Glyph names that follow no rule below.
-_NAMES = {
-    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(",
-    "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "colon": ":", "semicolon": ";", "less": "<",
-    "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_",
-    "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~", "exclamdown": "¡", "cent": "¢", "sterling": "£", "currency": "¤", "yen": "¥",
-    "brokenbar": "¦", "section": "§", "dieresis": "¨", "copyright": "©", "ordfeminine": "ª", "guillemotleft": "«", "logicalnot": "¬", "registered": "®",
-    "macron": "¯", "degree": "°", "plusminus": "±", "twosuperior": "²", "threesuperior": "³", "acute": "´", "mu": "µ", "paragraph": "¶", "periodcentered": "·",
-    "cedilla": "¸", "onesuperior": "¹", "ordmasculine": "º", "guillemotright": "»", "onequarter": "¼", "onehalf": "½", "threequarters": "¾", "questiondown": "¿",
-    "AE": "Æ", "ae": "æ", "Eth": "Ð", "eth": "ð", "Oslash": "Ø", "oslash": "ø", "Thorn": "Þ", "thorn": "þ", "germandbls": "ß", "multiply": "×", "divide": "÷",
-    "OE": "Œ", "oe": "œ", "Lslash": "Ł", "lslash": "ł", "dotlessi": "ı", "florin": "ƒ", "circumflex": "ˆ", "caron": "ˇ", "breve": "˘", "dotaccent": "˙",
-    "ring": "˚", "ogonek": "˛", "tilde": "˜", "hungarumlaut": "˝", "endash": "–", "emdash": "—", "quoteleft": "‘", "quoteright": "’", "quotesinglbase": "‚",
-    "quotedblleft": "“", "quotedblright": "”", "quotedblbase": "„", "dagger": "†", "daggerdbl": "‡", "bullet": "•", "ellipsis": "…", "perthousand": "‰",
-    "guilsinglleft": "‹", "guilsinglright": "›", "fraction": "⁄", "Euro": "€", "trademark": "™", "minus": "−", "fi": "ﬁ", "fl": "ﬂ", "ff": "ﬀ", "ffi": "ﬃ",
-    "ffl": "ﬄ", "infinity": "∞", "integral": "∫", "lozenge": "◊", "notequal": "≠", "lessequal": "≤", "greaterequal": "≥", "partialdiff": "∂", "summation": "∑",
-    "product": "∏", "radical": "√", "approxequal": "≈", "Delta": "∆", "Omega": "Ω", "nbspace": " ", "sfthyphen": "­", "Dcroat": "Đ", "dcroat": "đ",
-    "Hbar": "Ħ", "hbar": "ħ", "Tbar": "Ŧ", "tbar": "ŧ", "Eng": "Ŋ", "eng": "ŋ", "IJ": "Ĳ", "ij": "ĳ", "kgreenlandic": "ĸ", "longs": "ſ", "arrowleft": "←",
-    "arrowup": "↑", "arrowright": "→", "arrowdown": "↓", "element": "∈", "emptyset": "∅", "universal": "∀", "existential": "∃", "proportional": "∝",
-    "angle": "∠", "logicaland": "∧", "logicalor": "∨", "intersection": "∩", "union": "∪", "therefore": "∴", "similar": "∼", "congruent": "≅", "equivalence": "≡",
-    "propersubset": "⊂", "propersuperset": "⊃", "notsubset": "⊄", "reflexsubset": "⊆", "reflexsuperset": "⊇", "circleplus": "⊕", "circlemultiply": "⊗",
-    "perpendicular": "⊥", "dotmath": "⋅", "gradient": "∇", "aleph": "ℵ", "weierstrass": "℘", "Ifraktur": "ℑ", "Rfraktur": "ℜ", "spade": "♠", "club": "♣",
-    "heart": "♥", "diamond": "♦", "arrowboth": "↔", "sigma1": "ς", "theta1": "ϑ", "phi1": "ϕ", "omega1": "ϖ", "Upsilon1": "ϒ",
-}
-
-_ACCENTS = {
-    "grave": "̀", "acute": "́", "circumflex": "̂", "tilde": "̃", "macron": "̄", "breve": "̆", "dotaccent": "̇",
-    "dieresis": "̈", "ring": "̊", "hungarumlaut": "̋", "caron": "̌", "cedilla": "̧", "commaaccent": "̧", "ogonek": "̨",
-    "tonos": "́", "dot": "̇", "dotbelow": "̣", "hookabove": "̉", "horn": "̛",
-}
-_SCRIPTS = {
-    "cyrillic": "CYRILLIC {case} LETTER {}", "armenian": "ARMENIAN {case} LETTER {}", "hebrew": "HEBREW LETTER {}", "hiragana": "HIRAGANA LETTER {}",
-    "katakana": "KATAKANA LETTER {}", "deva": "DEVANAGARI LETTER {}", "bengali": "BENGALI LETTER {}", "gurmukhi": "GURMUKHI LETTER {}",
-    "gujarati": "GUJARATI LETTER {}", "bopomofo": "BOPOMOFO LETTER {}", "arabic": "ARABIC LETTER {}",
-}
-_DIGITS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
-
-
-def _lookup(name: str) -> str | None:
-    try:
-        return unicodedata.lookup(name)
-    except KeyError:
-        return None
-
-
-@functools.lru_cache(maxsize=1 << 14)
-def glyph(name: str) -> str | None:
-    """The text of a glyph name (without /), or None if it is unknown."""
-    if name == ".notdef":
-        return ""
-    if name in _NAMES:
-        return _NAMES[name]
-    if len(name) == 1 and name.isascii():
-        return name
-    if name in _DIGITS:
-        return str(_DIGITS.index(name))
-    for prefix, least in (("uni", 4), ("u", 4)):
-        code = name[len(prefix) :]
-        if name.startswith(prefix) and least <= len(code) <= 6 and not code.strip("0123456789ABCDEF"):
-            return chr(int(code, 16)) if int(code, 16) < 0x110000 else None
-    base = name.removesuffix("small")
-    if base != name and (t := glyph(base)) and len(t) == 1 and ord(t) < 256:  # small capitals and signs in the private area
-        return chr(0xF700 + ord(t.lower()))
-    base = name.removesuffix("oldstyle")
-    if base != name and base in _DIGITS:
-        return chr(0xF730 + _DIGITS.index(base))
-    base = name.removesuffix("katakanahalfwidth")
-    if base != name:
-        return _lookup(f"HALFWIDTH KATAKANA LETTER {base.upper()}")
-    for suffix, first in (("circle", 0x24D0), ("paren", 0x249C)):
-        base = name.removesuffix(suffix)
-        if base != name and len(base) == 1 and base.isalpha() and (base.islower() or suffix == "circle"):
-            return chr(first + ord(base) - ord("a")) if base.islower() else chr(0x24B6 + ord(base) - ord("A"))
-    for suffix, mark in _ACCENTS.items():
-        base = name.removesuffix(suffix)
-        if base != name and base:
-            letter = "ı" if base == "dotlessi" else base if len(base) == 1 else glyph(base)
-            composed = unicodedata.normalize("NFC", letter + mark) if letter else ""
-            if len(composed) == 1:
-                return composed
-    if name.startswith("afii") and name[4:].isdigit():
-        n = int(name[4:])
-        if 10017 <= n <= 10049:  # Cyrillic capitals, with IO after IE
-            return "Ё" if n == 10023 else chr(0x410 + n - 10017 - (n > 10023))
-        if 10065 <= n <= 10097:
-            return "ё" if n == 10071 else chr(0x430 + n - 10065 - (n > 10071))
-    for suffix, pattern in _SCRIPTS.items():
-        base = name.removesuffix(suffix)
-        if base != name and base:
-            base = f"final {base[5:]}" if base.startswith("final") else base
-            return _lookup(pattern.format(base.upper(), case="CAPITAL" if base[0].isupper() else "SMALL"))
-    base = name.removesuffix("monospace")
-    if base != name and (t := glyph(base)) and len(t) == 1 and "!" <= t <= "~":
-        return chr(ord(t) + 0xFEE0)
-    for suffix, words in (("superior", "SUPERSCRIPT {}"), ("inferior", "SUBSCRIPT {}"), ("circle", "CIRCLED DIGIT {}")):
-        base = name.removesuffix(suffix)
-        if base != name and base in _DIGITS:
-            return _lookup(words.format(base.upper()))
-    greek = _lookup(f"GREEK {'CAPITAL' if name[:1].isupper() else 'SMALL'} LETTER {name.upper()}")
-    return greek
-
-
 #: Charsets by what the name of a predefined character map says: (pieces, codec).
 #: None: the bytes are UTF-8. Absent codecs make an error.
 _UNICODE = {"UCS2": "utf-16-be", "UTF8": None, "UTF16": "utf-16-be", "UTF32": "utf-32-be"}
@@ -206,9 +105,28 @@ def is_vertical(name: str) -> bool:
     return name == "Identity-V" or name in charsets() and name.endswith("V")
 
 
+def _iso2022_cn(raw: bytes) -> str:
+    """ASCII, and GB 2312 between shifts after its designation; other sets' characters, for
+    which there is no table, are left out."""
+    out, at, shifted, known = [], 0, False, False
+    while at < len(raw):
+        if raw[at] == 0x1B and len(raw) - at > 3:
+            known, at = raw[at + 1 : at + 4] == b"$)A", at + 4
+        elif raw[at] in (0x0E, 0x0F):
+            shifted, at = raw[at] == 0x0E, at + 1
+        elif shifted:
+            out.append(bytes(b | 0x80 for b in raw[at : at + 2]).decode("gb2312", "ignore") if known else "")
+            at += 2
+        else:
+            shifted = shifted and raw[at] not in b"\r\n"
+            out.append(chr(raw[at]) if raw[at] < 0x80 else "")
+            at += 1
+    return "".join(out)
+
+
 def decoded(raw: bytes, codec: str) -> str:
     """Text of ``raw``; bytes that don't decode are left out."""
-    return raw.decode(codec, "ignore")
+    return _iso2022_cn(raw) if codec == "iso2022_cn" else raw.decode(codec, "ignore")
 
 
 # Widths of codes 32 to 126 in the core fonts.
@@ -232,12 +150,46 @@ _TIMES_OTHER = {"Æ": 889, "Ð": 722, "×": 564, "Ø": 722, "Þ": 556, "ß": 500
 _TIMES_BOLD_OTHER = {"Æ": 1000, "Ð": 722, "×": 570, "Ø": 778, "Þ": 611, "ß": 556, "æ": 722, "ð": 500, "÷": 570, "ø": 500, "þ": 556}
 _TIMES_ITALIC_OTHER = {"Æ": 889, "Ð": 722, "×": 675, "Ø": 722, "Þ": 611, "ß": 500, "æ": 667, "ð": 500, "÷": 675, "ø": 500, "þ": 500}
 _TIMES_BOLD_ITALIC_OTHER = {"Æ": 944, "Ð": 722, "×": 570, "Ø": 722, "Þ": 611, "ß": 500, "æ": 722, "ð": 500, "÷": 570, "ø": 500, "þ": 500}
-# Widths of Symbol below 256, by code.
+# The codes above 255 of the text faces; accented letters are as wide as their
+# base letters, but for those of _SPECIAL. Spacing accents are 333 wide.
+_EXTENDED = [(0x100, 0x107), (0x10C, 0x113), (0x116, 0x11B), (0x11E, 0x11F), (0x122, 0x123), (0x12A, 0x12B), (0x12E, 0x131), (0x136, 0x137), (0x139, 0x13E), (0x141, 0x148), (0x14C, 0x14D), (0x150, 0x15B), (0x15E, 0x165), (0x16A, 0x16B), (0x16E, 0x173), (0x178, 0x17E), (0x192, 0x192), (0x218, 0x219), (0x2C6, 0x2C7), (0x2D8, 0x2DD)]
+_SPECIAL = [0x10F, 0x110, 0x111, 0x131, 0x13D, 0x13E, 0x141, 0x142, 0x152, 0x153, 0x165, 0x192]
+_SIGNS = [0x2013, 0x2014, 0x2018, 0x2019, 0x201A, 0x201C, 0x201D, 0x201E, 0x2020, 0x2021, 0x2022, 0x2026, 0x2030, 0x2039, 0x203A, 0x2044, 0x2122, 0x2202, 0x2206, 0x2211, 0x2212, 0x221A, 0x2260, 0x2264, 0x2265, 0x25CA, 0xF6C3, 0xFB01, 0xFB02]
+# Widths of the codes of _SPECIAL and _SIGNS, by face.
+_BEYOND = {
+    "Helvetica": ([643, 722, 556, 278, 556, 299, 556, 222, 1000, 944, 317, 556], [556, 1000, 222, 222, 222, 333, 333, 333, 556, 556, 350, 1000, 1000, 333, 333, 167, 1000, 476, 612, 600, 584, 453, 549, 549, 549, 471, 250, 500, 500]),
+    "Helvetica-Bold": ([743, 722, 611, 278, 611, 400, 611, 278, 1000, 944, 389, 556], [556, 1000, 278, 278, 278, 500, 500, 500, 556, 556, 350, 1000, 1000, 333, 333, 167, 1000, 494, 612, 600, 584, 549, 549, 549, 549, 494, 250, 611, 611]),
+    "Times-Roman": ([588, 722, 500, 278, 611, 344, 611, 278, 889, 722, 326, 500], [500, 1000, 333, 333, 333, 444, 444, 444, 500, 500, 350, 1000, 1000, 333, 333, 167, 980, 476, 612, 600, 564, 453, 549, 549, 549, 471, 250, 556, 556]),
+    "Times-Bold": ([672, 722, 556, 278, 667, 394, 667, 278, 1000, 722, 416, 500], [500, 1000, 333, 333, 333, 500, 500, 500, 500, 500, 350, 1000, 1000, 333, 333, 167, 1000, 494, 612, 600, 570, 549, 549, 549, 549, 494, 250, 556, 556]),
+    "Times-Italic": ([544, 722, 500, 278, 611, 300, 556, 278, 944, 667, 300, 500], [500, 889, 333, 333, 333, 556, 556, 556, 500, 500, 350, 889, 1000, 333, 333, 167, 980, 476, 612, 600, 675, 453, 549, 549, 549, 471, 250, 500, 500]),
+    "Times-BoldItalic": ([608, 722, 500, 278, 611, 382, 611, 278, 944, 722, 366, 500], [500, 1000, 333, 333, 333, 500, 500, 500, 500, 500, 350, 1000, 1000, 333, 333, 167, 1000, 494, 612, 600, 606, 549, 549, 549, 549, 494, 250, 556, 556]),
+}
+# Widths of Symbol, by code.
 _SYMBOL = {
     32: 250, 33: 333, 35: 500, 37: 833, 38: 778, 40: 333, 41: 333, 43: 549, 44: 250, 46: 250, 47: 278, 48: 500, 49: 500, 50: 500, 51: 500, 52: 500, 53: 500, 54: 500,
     55: 500, 56: 500, 57: 500, 58: 278, 59: 278, 60: 549, 61: 549, 62: 549, 63: 444, 91: 333, 93: 333, 95: 500, 123: 480, 124: 200, 125: 480, 172: 713, 176: 400, 177: 549,
-    181: 576, 215: 549, 247: 549,
+    181: 576, 215: 549, 247: 549, 0x192: 500,
+    0x391: 722, 0x392: 667, 0x393: 603, 0x395: 611, 0x396: 611, 0x397: 722, 0x398: 741, 0x399: 333, 0x39A: 722, 0x39B: 686, 0x39C: 889, 0x39D: 722, 0x39E: 645, 0x39F: 722,
+    0x3A0: 768, 0x3A1: 556, 0x3A3: 592, 0x3A4: 611, 0x3A5: 690, 0x3A6: 763, 0x3A7: 722, 0x3A8: 795, 0x3B1: 631, 0x3B2: 549, 0x3B3: 411, 0x3B4: 494, 0x3B5: 439, 0x3B6: 494,
+    0x3B7: 603, 0x3B8: 521, 0x3B9: 329, 0x3BA: 549, 0x3BB: 549, 0x3BD: 521, 0x3BE: 493, 0x3BF: 549, 0x3C0: 549, 0x3C1: 549, 0x3C2: 439, 0x3C3: 603, 0x3C4: 439, 0x3C5: 576,
+    0x3C6: 521, 0x3C7: 549, 0x3C8: 686, 0x3C9: 686, 0x3D1: 631, 0x3D2: 620, 0x3D5: 603, 0x3D6: 713, 0x2022: 460, 0x2026: 1000, 0x2032: 247, 0x2033: 411, 0x2044: 167,
+    0x20AC: 750, 0x2111: 686, 0x2118: 987, 0x211C: 795, 0x2126: 768, 0x2135: 823, 0x2190: 987, 0x2191: 603, 0x2192: 987, 0x2193: 603, 0x2194: 1042, 0x21B5: 658, 0x21D0: 987,
+    0x21D1: 603, 0x21D2: 987, 0x21D3: 603, 0x21D4: 1042, 0x2200: 713, 0x2202: 494, 0x2203: 549, 0x2205: 823, 0x2206: 612, 0x2207: 713, 0x2208: 713, 0x2209: 713, 0x220B: 439,
+    0x220F: 823, 0x2211: 713, 0x2212: 549, 0x2217: 500, 0x221A: 549, 0x221D: 713, 0x221E: 713, 0x2220: 768, 0x2227: 603, 0x2228: 603, 0x2229: 768, 0x222A: 768, 0x222B: 274,
+    0x2234: 863, 0x223C: 549, 0x2245: 549, 0x2248: 549, 0x2260: 549, 0x2261: 549, 0x2264: 549, 0x2265: 549, 0x2282: 713, 0x2283: 713, 0x2284: 713, 0x2286: 713, 0x2287: 713,
+    0x2295: 768, 0x2297: 768, 0x22A5: 658, 0x22C5: 250, 0x2320: 686, 0x2321: 686, 0x2329: 329, 0x232A: 329, 0x25CA: 494, 0x2660: 753, 0x2663: 753, 0x2665: 753, 0x2666: 753,
+    0xF6D9: 790, 0xF6DA: 790, 0xF6DB: 890, 0xF8E5: 500, 0xF8E6: 603, 0xF8E7: 1000, 0xF8E8: 790, 0xF8E9: 790, 0xF8EA: 786, 0xF8EB: 384, 0xF8EC: 384, 0xF8ED: 384, 0xF8EE: 384,
+    0xF8EF: 384, 0xF8F0: 384, 0xF8F1: 494, 0xF8F2: 494, 0xF8F3: 494, 0xF8F4: 494, 0xF8F5: 686, 0xF8F6: 384, 0xF8F7: 384, 0xF8F8: 384, 0xF8F9: 384, 0xF8FA: 384, 0xF8FB: 384,
+    0xF8FC: 494, 0xF8FD: 494, 0xF8FE: 494, 0xF8FF: 790,
 }
+# Widths of ZapfDingbats, of codes 1 to 79, 81 to 112, 117 to 119 and 160 to
+# 206; those of 120 to 159 are 788.
+_DINGBATS = [
+    (1, [974, 961, 980, 719, 789, 494, 552, 537, 577, 692, 960, 939, 549, 855, 911, 933, 945, 974, 755, 846, 762, 761, 571, 677, 763, 760, 759, 754, 786, 788, 788, 790, 793, 794, 816, 823, 789, 841, 823, 833, 816, 831, 923, 744, 723, 749, 790, 792, 695, 776, 768, 792, 759, 707, 708, 682, 701, 826, 815, 789, 789, 707, 687, 696, 689, 786, 787, 713, 791, 785, 791, 873, 761, 762, 759, 892, 892, 788, 784]),
+    (81, [438, 138, 277, 415, 509, 410, 234, 234, 390, 390, 276, 276, 317, 317, 334, 334, 392, 392, 668, 668, 732, 544, 544, 910, 911, 667, 760, 760, 626, 694, 595, 776]),
+    (117, [690, 791, 790]),
+    (160, [894, 838, 924, 1016, 458, 924, 918, 927, 928, 928, 834, 873, 828, 924, 917, 930, 931, 463, 883, 836, 867, 696, 874, 760, 946, 865, 967, 831, 873, 927, 970, 918, 748, 836, 771, 888, 748, 771, 888, 867, 696, 874, 974, 762, 759, 509, 410]),
+]
 _H, _HB = (_HELVETICA, _HELVETICA_UPPER, _HELVETICA_OTHER), (_HELVETICA_BOLD, _HELVETICA_BOLD_UPPER, _HELVETICA_BOLD_OTHER)
 _FACES = {
     "Helvetica": _H, "Helvetica-Oblique": _H, "Helvetica-Bold": _HB, "Helvetica-BoldOblique": _HB, "Times-Roman": (_TIMES, _TIMES_UPPER, _TIMES_OTHER),
@@ -256,22 +208,26 @@ _METRICS = {
 @functools.cache
 def core_font(name: str, compat: bool = True) -> tuple[dict[int, float], tuple[int, int, int]] | None:
     """(widths, (ascent, descent, height)) of one of the 14 core fonts. Accented letters
-    are as wide as their base letters; ZapfDingbats has no widths here. ``compat``:
-    Courier has no space."""
+    are as wide as their base letters. ``compat``: Courier has no space."""
     if name not in _METRICS:
         return None
+    extended = [c for a, z in _EXTENDED for c in range(a, z + 1)]
     if name in _FACES:
         row, upper, other = _FACES[name]
         widths = {32 + i: float(w) for i, w in enumerate(row)} | {0xA1 + i: float(w) for i, w in enumerate(upper) if w}
-        for code in range(0xC0, 0x180):
+        for code in [*range(0xC0, 0x100), *extended]:
             base = ord(unicodedata.normalize("NFD", chr(code))[0])
             if base < 127:
                 widths[code] = widths[base]
-        widths |= {ord(c): float(w) for c, w in other.items()}
+        special, signs = _BEYOND[name.replace("Oblique", "").rstrip("-") if name.startswith("Helvetica") else name]
+        widths |= {ord(c): float(w) for c, w in other.items()} | {c: 333.0 for c in extended if c > 0x2C0}
+        widths |= {c: float(w) for c, w in [*zip(_SPECIAL, special), *zip(_SIGNS, signs)]}
     elif name.startswith("Courier"):
-        widths = {c: 600.0 for c in [*range(32, 127), *range(0xA1, 0x180)] if c != 0xAD}
+        widths = {c: 600.0 for c in [*range(32, 127), *range(0xA1, 0x100), *extended, *_SIGNS] if c != 0xAD}
         if compat and name == "Courier":
             del widths[32]
+    elif name == "Symbol":
+        widths = {c: float(w) for c, w in _SYMBOL.items()}
     else:
-        widths = {c: float(w) for c, w in _SYMBOL.items()} if name == "Symbol" else {}
+        widths = {c: 788.0 for c in range(120, 160)} | {first + i: float(w) for first, row in _DINGBATS for i, w in enumerate(row)}
     return widths, _METRICS[name]

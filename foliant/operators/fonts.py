@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..functions import charmaps, encodings
+from ..functions import charmaps, encodings, glyphs
 from ..functions.syntax import ARRAY, DICTIONARY, NAME, REFERENCE, VALUE, Dictionary, Malformed, Object, array, code_points, dictionary, real, reference, unsigned
 from .document import Document
 
@@ -191,7 +191,7 @@ class Decoder:
             if kind == VALUE:
                 code = unsigned(raw)
             elif kind == NAME:
-                text = encodings.glyph(raw[1:].decode("latin-1"))
+                text = glyphs.glyph(raw[1:].decode("latin-1"))
                 if text is not None:
                     table[code] = text
                 code += 1

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.syntax import dictionary
 from ..session import reach_workers
+from ..storage import materialize
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -25,28 +26,6 @@ def lookup(values: DataFrame, objects: DataFrame, key: str) -> DataFrame:
     return values.join(best.withColumnRenamed("obj_id", key), ["doc_id", key], "left")
 
 
-def scan_objects(files: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, obj_id, position): objects by their headers; of repeats, the earliest."""
-    import re
-
-    reach_workers(files.sparkSession)
-    kind = files.schema[key].dataType.simpleString()
-    header = re.compile(rb"(\d+?)\s+?\d+?\s+?obj\s")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found: dict[int, int] = {}
-                for m in header.finditer(raw or b""):
-                    found.setdefault(int(m[1]), m.start())
-                rows += [(k, n, at) for n, at in found.items()]
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], [key, "obj_id", "position"])
-
-    return files.select(key, content).mapInArrow(run, f"{key} {kind}, obj_id int, position long")
-
-
 def dictionary_entries(rows: DataFrame, key: str, raw: str) -> DataFrame:
     """(key, name, value) of one level of dictionaries spelled in a binary column."""
     reach_workers(rows.sparkSession)
@@ -61,23 +40,22 @@ def dictionary_entries(rows: DataFrame, key: str, raw: str) -> DataFrame:
     return rows.select(key, raw).mapInArrow(run, f"{key} {kind}, key string, value string")
 
 
-def running_codes(rows: DataFrame, keys: list[str], order: str, code: str) -> DataFrame:
-    """Names of a differences array with their codes: a row with a code sets it, the rows
-    that follow take it and the next ones. Rows before the first code are dropped."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    island = rows.withColumn("_g", F.count(code).over(w)).filter("_g > 0")
-    inner = Window.partitionBy(*keys, "_g")
-    running = F.max(code).over(inner) + F.row_number().over(inner.orderBy(order)) - 2
-    return island.withColumn("running", running).filter(F.col(code).isNull()).drop("_g")
-
-
 def inherited(nodes: DataFrame, node: str, parent: str, value: str) -> DataFrame:
-    """(node, value): a tree's values, taken from the nearest ancestor where they lack."""
-    spark = nodes.sparkSession
-    nodes.select(F.col(node).alias("id"), F.col(parent).alias("parent"), F.col(value).alias("value")).createOrReplaceTempView("_inherited_nodes")
-    return spark.sql(
-        f"""WITH RECURSIVE tree AS (
-              SELECT id, value FROM _inherited_nodes WHERE parent IS NULL
-              UNION ALL SELECT n.id, coalesce(n.value, t.value) FROM _inherited_nodes n JOIN tree t ON n.parent = t.id)
-            SELECT id AS `{node}`, value AS `{value}` FROM tree"""
-    )
+    """(node, value): a tree's values, taken from the nearest ancestor where they lack.
+
+    Every round looks twice as far up as the one before, so trees of any depth take a
+    round for each doubling. A node keeps null if no ancestor has a value, if its parent
+    isn't there, or if it hangs on a cycle without a value."""
+    pairs = nodes.select(F.col(node).alias("id"), F.col(parent).alias("up"), F.col(value).alias("value"))
+    known = materialize(pairs, "inherited")
+    rounds = known.count().bit_length() + 1
+    for _ in range(rounds):
+        if known.filter("value is null and up is not null").isEmpty():
+            break
+        above = known.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("value").alias("_value"))
+        open_ = F.col("value").isNull()
+        step = known.join(above, "up", "left").select(
+            "id", F.when(open_, F.col("_up")).otherwise(F.col("up")).alias("up"), F.coalesce("value", "_value").alias("value")
+        )
+        known = materialize(step, "inherited")
+    return known.select(F.col("id").alias(node), F.col("value").alias(value))

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import glyphs
 from ..functions.syntax import DICTIONARY, Malformed, dictionary
 from ..operators.document import Document
 from ..operators.interpreter import Chunk, Page, Pages
@@ -142,13 +143,15 @@ def read_document(buf: bytes, want: tuple[str, ...], compat: bool = True, partia
     return out | rows
 
 
-def parse(files: DataFrame, want: tuple[str, ...] = ("pages", "chunks"), *, compat: bool = True, partial: bool = False) -> DataFrame:
+def parse(files: DataFrame, want: tuple[str, ...] = ("pages", "chunks"), *, compat: bool = True, partial: bool = False, glyph_names: dict[str, str] | None = None) -> DataFrame:
     """One row a document of ``files`` (path, content): its properties, the stages in
-    ``want`` as nested columns, or its error."""
+    ``want`` as nested columns, or its error. glyph_names: a published list's names, as
+    ``glyphs.read_glyph_list`` reads them, that come before those known by rule."""
     reach_workers(files.sparkSession)
     names, kinds = [*_META_NAMES, *want], [*_META_ARROW, *(_ARROW[w] for w in want)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        glyphs.use(glyph_names)
         for batch in batches:
             for lo in range(0, batch.num_rows, 16):
                 rows = []

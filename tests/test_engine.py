@@ -84,10 +84,35 @@ def test_queries_match_sql(spark, duck, name):
 
 def test_queries_without_sql_run(spark):
     plain = set(queries.QUERIES) - set(queries.ORACLE_SQL)
-    assert plain == {"layout_boxes", "plane_full"}
+    assert plain == {"between_exists", "layout_boxes", "plane_full"}
     assert queries.layout_boxes(spark, SF).count() == queries.layout_lines(spark, SF).count()
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_inherited_values_in_deep_trees_and_cycles(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, 1.0 if i == 0 else 2.0 if i == 150 else None) for i in range(301)]
+    rows += [("x", "y", None), ("y", "x", None), ("z", "x", None), ("p", "q", None), ("q", "p", 5.0), ("r", "p", None), ("orphan", "gone", None), ("alone", None, None)]
+    got = {r["id"]: r["box"] for r in relational.inherited(spark.createDataFrame(rows, "id string, parent string, box double"), "id", "parent", "box").collect()}
+    want = {f"n{i}": 1.0 if i < 150 else 2.0 for i in range(301)}
+    assert got == want | {"x": None, "y": None, "z": None, "p": 5.0, "q": 5.0, "r": 5.0, "orphan": None, "alone": None}
+
+
+def test_columns_equal_the_engine(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.functions import columns, filters, syntax
+
+    texts = ["[a b", "(x", "<<", "<41", "/Name x", "12 0 R ", "12 0", "plain text/with[marks(and<signs", "  \t12 1 R x", "é漢"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", columns.object_kind(F.col("t")).alias("kind"), columns.utf8_length(F.col("t")).alias("n"), columns.tokens(F.col("t")).alias("tokens")).collect()
+    for r in got:
+        raw = r["t"].encode()
+        assert r["kind"] == syntax.kind_at(raw, 0)[0] and r["n"] == syntax.code_points(raw)
+        assert [x.encode() for x in r["tokens"]] == queries._tokens(raw)
+    digits = spark.createDataFrame([("4 1\n42",), ("414",), ("",), ("aBcD",)], "t string")
+    for r in digits.select("t", columns.hex_string(F.col("t")).alias("h"), columns.ascii_hex(F.concat("t", F.lit(">zz"))).alias("a")).collect():
+        assert bytes(r["h"]) == syntax.hex_string(b"<" + r["t"].encode() + b">") and bytes(r["a"]) == filters.ascii_hex(r["t"].encode() + b">zz")

@@ -163,3 +163,45 @@ def test_neighbour_pairs_agree(chunks):
         for i in range(len(v)):
             want |= {(*k, i, j) for j in np.flatnonzero(task.neighbours(corners, np.array([i]))[0]).tolist() if i < j}
     assert got == want
+
+
+@pytest.fixture(scope="module")
+def scattered(spark):
+    """Regions of very different heights, some flat, on two pages; corners are quarters."""
+    rng, rows = np.random.default_rng(3), []
+    for page in (0, 1):
+        for i in range(60):
+            x, y, w, h = rng.integers(0, 400) / 4, rng.integers(-400, 400) / 4, rng.integers(0, 80) / 4, float(rng.choice([0, 0.25, 1, 1.75, 2, 9, 10, 64, 100]))
+            rows.append(("d", page, 0, 0, i, float(x), float(y), float(x + w), float(y + h), "t", 1))
+    schema = "doc_id string, page_no int, part int, layer_no int, line_no int, x0 float, y0 float, x1 float, y1 float, text string, string_len int"
+    return spark.createDataFrame(rows, schema), rows
+
+
+def test_neighbours_of_very_different_heights(scattered):
+    frame, rows = scattered
+    got = {tuple(r) for r in layout.neighbour_pairs(frame).select("page_no", "a", "b").collect()}
+    want = set()
+    for page in (0, 1):
+        corners = np.array([r[5:9] for r in rows if r[1] == page], np.float32)
+        near = task.neighbours(corners, np.arange(len(corners)))
+        want |= {(page, i, j) for i in range(60) for j in range(i + 1, 60) if near[i, j]}
+    assert got == want and len(want) > 5
+
+
+def test_pairs_and_what_lies_between_against_brute_force(scattered):
+    frame, rows = scattered
+    boxes = frame.withColumnRenamed("line_no", "box_no")
+    got = {tuple(r) for r in layout.between(boxes).select("page_no", "a", "b").collect()}
+    top = {r["page_no"]: (r["waste"], r["a"], r["b"]) for r in layout.closest(boxes).collect()}
+    want, least = set(), {}
+    for page in (0, 1):
+        own = [r[5:9] for r in rows if r[1] == page]
+        for i, p in enumerate(own):
+            for j in range(i + 1, len(own)):
+                q = own[j]
+                u = min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3])
+                area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+                least[page] = min(least.get(page, (1e9, 0, 0)), (area(u) - area(p) - area(q), i, j))
+                if any(c[0] >= u[0] and c[1] >= u[1] and c[2] <= u[2] and c[3] <= u[3] and c not in (p, q) for c in own):
+                    want.add((page, i, j))
+    assert got == want and top == least

@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from foliant.functions import charmaps, encodings, filters
+from foliant.functions import charmaps, encodings, filters, glyphs
 from foliant.functions.crypto import aes_cbc, rc4
+from foliant.sources import writer
 from foliant.functions.geometry import IDENTITY, page_matrix, point, product
 from foliant.functions.syntax import (
     ARRAY, DICTIONARY, NAME, REFERENCE, STRING, VALUE, Malformed, array, code_points, dictionary, hex_string, kind_at, real, reference, references, skip, text_string, token, unsigned,
@@ -146,7 +147,35 @@ def test_single_byte_encodings():
     [("aacute", "á"), ("Alpha", "Α"), ("afii10017", "А"), ("afii10023", "Ё"), ("guhiragana", "ぐ"), ("uni0416", "Ж"), ("comma", ","), ("onesuperior", "¹"), (".notdef", ""), ("amonospace", "ａ"), ("alphatonos", "ά"), ("iotadieresistonos", "ΐ"), ("Asmall", "\uf761"), ("Aacutesmall", "\uf7e1"), ("sevenoldstyle", "\uf737"), ("kekatakanahalfwidth", "ｹ"), ("finalkafhebrew", "ך"), ("bcircle", "ⓑ"), ("nosuchglyph", None)],
 )
 def test_glyph_names(name, text):
-    assert encodings.glyph(name) == text
+    assert glyphs.glyph(name) == text
+
+
+def test_glyph_names_that_spell_unicode_and_given_lists():
+    names = {
+        "Ecyrillic": 0x404, "icyrillic": 0x456, "Scommaaccent": 0x218, "dieresisacute": 0xF6D7, "commasmall": 0xFE50, "exclamsmall": 0xF721, "fehinitialarabic": 0xFED3, "alefqamatshebrew": 0xFB2F,
+        "rieulpieupsioskorean": 0x316B, "pieupcirclekorean": 0x3265, "sorusithai": 0xE29, "rrvocalicbengali": 0x9E0, "eematragurmukhi": 0xA47, "qamats29": 0x5B8, "fourroman": 0x2173, "eighteencircle": 0x2471,
+        "Hzsquare": 0x3390, "parenleftvertical": 0xFE35, "afii57394": 0x662, "SF410000": 0x2566, "Adblgrave": 0x200, "dhook": 0x257, "aturned": 0x250, "ismallkatakana": 0x30A3, "ideographiccallparen": 0x323A, "Lambda": 0x39B,
+    }
+    assert {n: ord(glyphs.glyph(n) or "?") for n in names} == names
+    given = glyphs.glyph_list(["# published", "nosuchglyph;0041 0042", "aacute;0042", ""])
+    try:
+        glyphs.use(given)
+        assert glyphs.glyph("nosuchglyph") == "AB" and glyphs.glyph("aacute") == "B" and glyphs.glyph("agrave") == "à"
+    finally:
+        glyphs._given.clear()
+        glyphs.glyph.cache_clear()
+
+
+def test_rc4_known_answers():
+    assert rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3" and rc4(b"Wiki", b"pedia").hex() == "1021bf0420"
+    assert rc4(bytes([1, 2, 3, 4, 5]), bytes(16)).hex() == "b2396305f03dc027ccc3524a0a1118a8"
+    assert writer.rc4_encrypt(b"Secret", b"Attack at dawn").hex() == "45a01f645fc35b383552544b9bf5"
+
+
+def test_expert_encoding_and_chinese_shifts():
+    table = encodings.single_byte(encodings.EXPERT)
+    assert "".join(table[c] for c in (97, 122, 218, 225, 226)) == "AZ180"
+    assert encodings.decoded(b"ab\x1b$)A\x0e" + bytes(b & 0x7F for b in "汉字".encode("gb2312")) + b"\x0fc", "iso2022_cn") == "ab汉字c"
 
 
 def test_charsets():
@@ -161,7 +190,10 @@ def test_core_widths():
     assert (widths[ord("A")], widths[0xC4], widths[0xEC], widths[0xB1], metrics) == (667, 667, 278, 584, (718, -207, 1156))
     assert encodings.core_font("Courier")[0][ord("i")] == 600 and encodings.core_font("Any") is None
     assert 32 not in encodings.core_font("Courier")[0] and encodings.core_font("Courier", compat=False)[0][32] == 600
-    assert encodings.core_font("Symbol")[0][44] == 250
+    symbol, dingbats = encodings.core_font("Symbol")[0], encodings.core_font("ZapfDingbats")[0]
+    assert (symbol[44], symbol[0x3B1], symbol[0x2211], len(symbol)) == (250, 631, 713, 190)
+    assert (dingbats[1], dingbats[0x79], dingbats[0xCE], 0x50 in dingbats) == (974, 788, 410, False)
+    assert (widths[0x2014], widths[0x10F], widths[0x2C6], 0x108 in widths) == (1000, 643, 333, False)
 
 
 def test_to_unicode():
