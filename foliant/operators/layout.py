@@ -5,7 +5,6 @@ The same steps as relations are in ``foliant.plans.layout``; both agree exactly.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,59 +142,62 @@ def boxes(regions: list[Region]) -> list[Region]:
 
 def reading_order(regions: list[Region]) -> list[int]:
     """Boxes in reading order: the two that leave the least empty area in their union
-    are joined first, later if another box lies between; the upper left one leads."""
+    are joined first, later if another box lies between; the upper left one leads.
+
+    Pairs are entries of a matrix, at the row of the box that was there first or has grown;
+    of equal areas the pair that was made first counts."""
     n = len(regions)
-    if n > MOST_BOXES:
+    if n > MOST_BOXES or n < 2:
         return list(range(n))
-    corners, alive, version = _corners(regions), np.ones(n, bool), [0] * n
+    corners, alive = _corners(regions), np.ones(n, bool)
     order = [[i] for i in range(n)]
-    area = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
-    heap: list = []
-    count = 0
-
-    def inside(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Which live boxes lie in the unions from low to high (one, or one a row)."""
-        x0, y0, x1, y1 = corners.T
-        lx, ly, hx, hy = low[..., :1], low[..., 1:], high[..., :1], high[..., 1:]
-        return (x0 >= lx) & (y0 >= ly) & (x1 <= hx) & (y1 <= hy) & alive
-
-    def add(i: int, others: np.ndarray) -> None:
-        """Pairs of i with others. Boxes only grow, so a pair between which nothing lies
-        now needs no look later."""
-        nonlocal count
-        low, high = np.minimum(corners[i, :2], corners[others, :2]), np.maximum(corners[i, 2:], corners[others, 2:])
-        waste = area(np.concatenate([low, high], 1)) - area(corners[i]) - area(corners[others])
-        third = inside(low, high)
-        third[:, i] = False
-        third[np.arange(len(others)), others] = False
-        for j, w, look in zip(others.tolist(), waste.tolist(), third.any(axis=1).tolist()):
-            heapq.heappush(heap, (0, w, count, i, j, version[i], version[j], look))
-            count += 1
-
-    for i in range(n):
-        if i + 1 < n:
-            add(i, np.arange(i + 1, n))
-    while heap:
-        later, waste, nth, i, j, vi, vj, look = heapq.heappop(heap)
-        if not (alive[i] and alive[j]) or version[i] != vi or version[j] != vj:
-            continue
-        low, high = np.minimum(corners[i, :2], corners[j, :2]), np.maximum(corners[i, 2:], corners[j, 2:])
-        if look and not later:
-            between = inside(low, high) & ~(corners == corners[i]).all(1) & ~(corners == corners[j]).all(1)
-            if between.any():
-                heapq.heappush(heap, (1, waste, nth, i, j, vi, vj, look))
-                continue
-        key = [(_F(1) - BOXES_FLOW) * corners[k, 0] - (_F(1) + BOXES_FLOW) * (corners[k, 1] + corners[k, 3]) for k in (i, j)]
-        first, second = (i, j) if key[0] <= key[1] else (j, i)
+    keys = (_F(1) - BOXES_FLOW) * corners[:, 0] - (_F(1) + BOXES_FLOW) * (corners[:, 1] + corners[:, 3])
+    areas = (corners[:, 2] - corners[:, 0]) * (corners[:, 3] - corners[:, 1])
+    low, high = np.minimum(corners[:, None, :2], corners[None, :, :2]), np.maximum(corners[:, None, 2:], corners[None, :, 2:])
+    size = high - low
+    waste = size[..., 0] * size[..., 1] - areas[:, None] - areas[None, :]
+    pairs = np.triu(np.ones((n, n), bool), 1)
+    now, later = np.where(pairs, waste, np.inf).ravel(), np.full(n * n, np.inf, _F)  # pairs not looked at yet, and put off
+    made = np.arange(n * n)  # when a pair was made
+    count = n * n
+    for _ in range(n - 1):
+        while True:
+            of = now
+            at = int(now.argmin())
+            if now[at] == np.inf:
+                of = later
+                at = int(later.argmin())
+            if of[at] == np.inf:  # areas beyond single precision
+                return next(order[i] for i in range(n) if alive[i])
+            ties = np.flatnonzero(of == of[at])
+            if len(ties) > 1:
+                at = int(ties[made[ties].argmin()])
+            i, j = divmod(at, n)
+            x0, y0 = np.minimum(corners[i, :2], corners[j, :2])
+            x1, y1 = np.maximum(corners[i, 2:], corners[j, 2:])
+            if of is later:
+                break
+            inside = np.flatnonzero((corners[:, 0] >= x0) & (corners[:, 1] >= y0) & (corners[:, 2] <= x1) & (corners[:, 3] <= y1) & alive)
+            if len(inside) < 3 or not ((corners[inside] != corners[i]).any(1) & (corners[inside] != corners[j]).any(1)).any():
+                break
+            later[at], now[at] = now[at], np.inf
+        first, second = (i, j) if keys[i] <= keys[j] else (j, i)
         order[first] += order[second]
-        corners[first] = np.concatenate([low, high])
+        corners[first] = x0, y0, x1, y1
         alive[second] = False
-        version[first] += 1
+        for m in (now, later):
+            square = m.reshape(n, n)
+            square[[first, second]] = np.inf
+            square[:, [first, second]] = np.inf
+        keys[first] = (_F(1) - BOXES_FLOW) * x0 - (_F(1) + BOXES_FLOW) * (y0 + y1)
+        areas[first] = (x1 - x0) * (y1 - y0)
         others = np.flatnonzero(alive)
         others = others[others != first]
-        if len(others):
-            add(first, others)
-    return next((order[i] for i in range(n) if alive[i]), [])
+        wide = np.maximum(corners[others, 2:], corners[first, 2:]) - np.minimum(corners[others, :2], corners[first, :2])
+        now.reshape(n, n)[first, others] = wide[:, 0] * wide[:, 1] - areas[first] - areas[others]
+        made[first * n + others] = count + np.arange(len(others))
+        count += len(others)
+    return next(order[i] for i in range(n) if alive[i])
 
 
 def render(chunks: list[Chunk]) -> bytes:
