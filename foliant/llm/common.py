@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import functools
-import os
 import pickle
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import reach_workers
+from ..storage import materialize, removed_at_exit, scratch
+
+__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "fit_in_task", "learns", "materialize", "removed_at_exit", "scratch", "table"]
 
 #: ASCII white space of the word and line contracts: space and 0x09-0x0D.
 SPACES = " \t\n\x0b\f\r"
@@ -22,28 +19,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-@functools.cache
-def _local_root() -> str:
-    root = os.path.join(tempfile.gettempdir(), "checkpoints", str(os.getpid()))
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    return root
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared ``spark.checkpoint.dir``. Where that
-    setting is absent (one machine, tests) it is a local one, removed as Python ends."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts lineage."""
-    path = scratch(df.sparkSession, name)
-    out = df.write.mode("overwrite")
-    (out.partitionBy(partition_by) if partition_by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object | None:
     """``fit`` of all ``rows``, a sample or table of bounded size, run in one executor
     task, where numpy has one thread; None if there are no rows."""
