@@ -5,23 +5,27 @@ JPEG image of the lossless process (SOF3, predictor 1) with a restart marker aft
 every line; frames lie in the ``movi`` list of an AVI file and are listed in its
 ``idx1`` index. Reading goes by that index: headers are parsed, lines are the restart
 intervals, and all lines of all frames at hand are decoded side by side, one sample
-of each line at a time. Frames of the baseline process (SOF0, one component) are
-decoded one by one.
+of each line at a time. Frames of the baseline process (SOF0; one component, or three
+with any sampling, with the standard Huffman tables if they have none) are decoded one
+by one, block by block.
 
-Shots: 16-bin histograms of successive frames are compared; a frame opens a shot when
-its difference passes the mean of the differences just before it by a multiple of
-their deviation, and a floor. Each shot is one timed clip.
+Shots: 16-bin histograms of successive frames' brightness are compared; a frame opens a
+shot when its difference passes a floor and the mean of the last differences that opened
+none by a multiple of their deviation. Each shot is one timed clip.
 
 Defined results: a null or empty text is one frame of spaces; repeated rows give equal
-values; texts of any length are stored whole; a media cell that is null, or isn't such
-a file, gives null features and no clips; an empty table gives no rows.
+values; texts of any length are stored whole; a media cell that is null, isn't such a
+file or is damaged gives null features, no clips and, unless it is null, an error;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +44,9 @@ LOOK_BACK, DEVIATIONS, FLOOR = 8, 3.0, 0.25
 #: Payload bytes that are encoded or decoded at a time.
 BLOCK = 1 << 20
 
+#: What reading a damaged file can raise.
+ERRORS = (ValueError, IndexError, KeyError, OverflowError, MemoryError, struct.error)
+
 #: Code lengths of the difference categories 0 to 8.
 _LENGTHS = (4, 4, 4, 3, 3, 3, 3, 3, 4)
 
@@ -217,6 +224,28 @@ def parse_avi(data: bytes) -> Avi | None:
     return Avi(width, abs(height), pace, np.array(starts_, np.int64), np.array(sizes_, np.int64))
 
 
+# The published standard Huffman tables for baseline frames that bring none,
+# by table class and number: codes of each length, and the first symbols. The symbols that
+# follow are all others (run of up to 15, size of 1 to 10), in ascending order.
+_STANDARD = {
+    0x00: ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], "000102030405060708090a0b"),
+    0x01: ([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0], "000102030405060708090a0b"),
+    0x10: ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282"),
+    0x11: ([0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119], "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1"),
+}
+
+
+@functools.cache
+def standard_tables() -> dict[int, list[tuple[int, int, int]]]:
+    out = {}
+    for k, (per, head) in _STANDARD.items():
+        symbols = list(bytes.fromhex(head))
+        if k & 0x10:
+            symbols += [r << 4 | s for r in range(16) for s in range(1, 11) if r << 4 | s not in symbols]
+        out[k] = canonical(symbols, per)
+    return out
+
+
 @dataclass
 class Image:
     process: int  # the SOF marker's low byte
@@ -311,97 +340,163 @@ def _zigzag() -> np.ndarray:
     return np.array(sorted(range(64), key=lambda p: (p // 8 + p % 8, p // 8 if (p // 8 + p % 8) % 2 else p % 8)))
 
 
-def decode_baseline(data: bytes, image: Image) -> np.ndarray:
-    """(height, width) samples of a one-component baseline image: Huffman, dequantise,
-    inverse cosine transform."""
-    if image.frame[5] != 1:
-        raise ValueError("only one component is supported")
-    scan = data[image.length :].split(b"\xff\xd9")[0]
-    parts, at = [], 0
-    while True:  # restart intervals
-        hit = next((i for i in range(at, len(scan) - 1) if scan[i] == 255 and 0xD0 <= scan[i + 1] <= 0xD7), None)
-        parts.append(scan[at:hit].replace(b"\xff\x00", b"\xff"))
-        if hit is None:
-            break
-        at = hit + 2
-    table_ids = image.scan[2]
-    dc, ac = ({(n, c): s for s, c, n in image.huffman[k]} for k in (table_ids >> 4, 16 | table_ids & 15))
-    order, quant = _zigzag(), image.quant[image.frame[8]]
-    across, down = -(-image.width // 8), -(-image.height // 8)
-    blocks = np.zeros((across * down, 64))
-    u = np.arange(8)
-    base = np.cos((2 * u[:, None] + 1) * u[None, :] * np.pi / 16) * np.where(u == 0, np.sqrt(1 / 8), 0.5)[None, :]
-    done, step = 0, image.interval or across * down
-    for part in parts:
-        bits, at, last = int.from_bytes(part, "big"), len(part) * 8, 0
-
-        def take(n: int) -> int:
-            nonlocal at
-            at -= n
-            return bits >> at & ((1 << n) - 1) if at >= 0 else 0
-
-        def symbol(codes: dict) -> int:
-            code = 0
-            for n in range(1, 17):
-                code = code << 1 | take(1)
-                if (n, code) in codes:
-                    return codes[n, code]
-            raise ValueError("no such code")
-
-        def value(n: int) -> int:
-            v = take(n) if n else 0
-            return v if not n or v >> (n - 1) else v - (1 << n) + 1
-
-        for _ in range(min(step, across * down - done)):
-            own = np.zeros(64, np.int64)
-            last += value(symbol(dc))
-            own[0], k = last, 1
+@functools.lru_cache(maxsize=64)
+def _symbols(codes: tuple[tuple[int, int, int], ...]) -> list[int]:
+    """By the next 16 bits: symbol * 32 + bits used (0: no such code)."""
+    out = np.zeros(1 << 16, np.int32)
+    for s, code, n in codes:
+        out[code << (16 - n) : (code + 1) << (16 - n)] = s * 32 + n
+    return out.tolist()
+
+
+def _coefficients(part: bytes, units: list[tuple[int, list[int], list[int]]], most: int) -> list[tuple[int, int, int]]:
+    """(block of the interval, place in zigzag order, value) of all coefficients of one
+    restart interval. units: (component, DC and AC symbols) of the blocks of an MCU."""
+    out, block, at, held, bits = [], 0, 0, 0, 0
+    last = [0] * 256
+    for _ in range(most):
+        if at >= len(part) + 8:
+            raise ValueError("a frame ends early")
+        for component, dc, ac in units:
+            k = 0
             while k < 64:
-                s = symbol(ac)
-                if s == 0:
+                while bits < 32:
+                    held = (held << 8 | (part[at] if at < len(part) else 0)) & 0xFFFFFFFFFF
+                    at, bits = at + 1, bits + 8
+                got = (ac if k else dc)[held >> (bits - 16) & 0xFFFF]
+                if not got:
+                    raise ValueError("no such code")
+                symbol, bits = got >> 5, bits - (got & 31)
+                size = symbol & 15
+                if k and not size and symbol != 0xF0:
                     break
-                k += s >> 4
-                if s & 15:
-                    own[k] = value(s & 15)
+                k += symbol >> 4 if k else 0
+                if size:
+                    bits -= size
+                    v = held >> bits & ((1 << size) - 1)
+                    v = v if v >> (size - 1) else v - (1 << size) + 1
+                    if k:
+                        out.append((block, k, v))
+                    else:
+                        last[component] += v
+                if not k:
+                    out.append((block, 0, last[component]))
                 k += 1
-            blocks[done, order] = own * quant
-            done += 1
-    pixels = base @ blocks.reshape(-1, 8, 8) @ base.T + 128
-    grid = pixels.reshape(down, across, 8, 8).transpose(0, 2, 1, 3).reshape(down * 8, across * 8)
-    return np.clip(np.rint(grid), 0, 255).astype(np.uint8)[: image.height, : image.width]
+            block += 1
+    return out
 
 
-def read_frames(files: list[bytes]) -> tuple[list[Avi | None], list[np.ndarray]]:
-    """Per file its index and its decoded frames (frames, height, width). Lossless
-    frames with equal headers are decoded together, over all files."""
-    found = [parse_avi(f) for f in files]
+def decode_baseline(data: bytes, image: Image) -> np.ndarray:
+    """(height, width) samples of a one-component baseline image, or (height, width, 3)
+    red, green and blue ones: Huffman, dequantise, inverse cosine transform."""
+    parts = [image.frame[6 + 3 * i : 9 + 3 * i] for i in range(image.frame[5])]
+    used = image.scan[0]
+    if len(parts) not in (1, 3) or used != len(parts):
+        raise ValueError("only one or three components, in one scan, are supported")
+    end = data.rfind(b"\xff\xd9")
+    scan = data[image.length : end if end >= image.length else len(data)]
+    huffman = standard_tables() | image.huffman
+    by_id = {image.scan[1 + 2 * i]: image.scan[2 + 2 * i] for i in range(used)}
+    grain = [(p[1] >> 4, p[1] & 15) if used > 1 else (1, 1) for p in parts]
+    if any(not 1 <= v <= 4 for g in grain for v in g):
+        raise ValueError("a wrong sampling factor")
+    wide, high = max(h for h, _ in grain), max(v for _, v in grain)
+    across, down = -(-image.width // (8 * wide)), -(-image.height // (8 * high))
+    units, spots = [], []
+    for c, (p, (h, v)) in enumerate(zip(parts, grain)):
+        tables = by_id[p[0]]
+        dc, ac = (_symbols(tuple(huffman[k])) for k in (tables >> 4, 16 | tables & 15))
+        units += [(c, dc, ac)] * (h * v)
+        spots += [(c, y, x) for y in range(v) for x in range(h)]
+    total, at, begin = across * down, 0, 0
+    if total * len(units) * 2 > len(scan) * 8:
+        raise ValueError("a frame ends early")
+    blocks = np.zeros((total * len(units), 64))
+    order = _zigzag()
+    while begin < total:  # restart intervals
+        hit = at
+        while (hit := scan.find(b"\xff", hit)) >= 0 and not 0xD0 <= scan[hit + 1 : hit + 2][0] <= 0xD7:
+            hit += 2
+        part = scan[at : hit if hit >= 0 else len(scan)].replace(b"\xff\x00", b"\xff")
+        n = min(image.interval or total, total - begin)
+        found = np.array(_coefficients(part, units, n), np.int64).reshape(-1, 3)
+        blocks[begin * len(units) + found[:, 0], order[found[:, 1]]] = found[:, 2]
+        begin, at = begin + n, hit + 2
+        if hit < 0 and begin < total:
+            raise ValueError("a frame ends early")
+    u = np.arange(8)
+    base = np.cos((2 * u[:, None] + 1) * u[None, :] * np.pi / 16) * np.where(u == 0, np.sqrt(1 / 8), 0.5)[None, :]
+    blocks, planes = blocks.reshape(total, len(units), 64), []
+    for c, (p, (h, v)) in enumerate(zip(parts, grain)):
+        quant = np.zeros(64)
+        quant[order] = image.quant[p[2]]
+        own = blocks[:, [i for i, spot in enumerate(spots) if spot[0] == c]] * quant
+        pixels = base @ own.reshape(-1, 8, 8) @ base.T + 128
+        grid = pixels.reshape(down, across, v, h, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * v * 8, across * h * 8)
+        planes.append(grid.repeat(high // v, 0).repeat(wide // h, 1)[: image.height, : image.width])
+    if len({p.shape for p in planes}) > 1:
+        raise ValueError("a wrong sampling factor")
+    if len(planes) == 3:
+        y, blue, red = planes[0], planes[1] - 128, planes[2] - 128
+        planes = [np.stack([y + 1.402 * red, y - 0.344136 * blue - 0.714136 * red, y + 1.772 * blue], 2)]
+    return np.clip(np.rint(planes[0]), 0, 255).astype(np.uint8)
+
+
+def _frames(data: np.ndarray, avi: Avi) -> np.ndarray:
+    """The frames of one file, one by one."""
+    own = []
+    for b, size in zip(avi.starts.tolist(), avi.sizes.tolist()):
+        raw = data[b : b + size]
+        image = parse_jpeg(raw.tobytes())
+        if image.process == 3:
+            own.append(decode_lossless(raw, np.array([image.length]), np.array([len(raw)]), image)[0])
+        else:
+            own.append(decode_baseline(raw.tobytes(), image))
+    return np.stack(own) if own else np.zeros((0, 1, 1), np.uint8)
+
+
+def read_frames(files: list[bytes]) -> tuple[list[Avi | None], list[np.ndarray], list[str | None]]:
+    """Per file its index, its decoded frames (frames, height, width, perhaps 3) and what is
+    wrong with it; a file that can't be read has no index. Lossless frames with equal
+    headers are decoded together, over all files."""
+    found: list[Avi | None] = []
+    errors: list[str | None] = []
+    for f in files:
+        avi, error = None, "not an AVI file with motion JPEG"
+        try:
+            avi = parse_avi(f)
+            if avi is not None and len(avi.starts) and (int(avi.starts.min()) < 0 or int((avi.starts + avi.sizes).max()) > len(f)):
+                avi, error = None, "a frame lies outside the file"
+        except ERRORS as e:
+            error = f"{type(e).__name__}: {e}"
+        found.append(avi)
+        errors.append(None if avi is not None else error)
     data = np.frombuffer(b"".join(files), np.uint8)
     base = np.cumsum([0] + [len(f) for f in files])[:-1]
     parts = [np.zeros((0, 1, 1), np.uint8)] * len(files)
     whole = [i for i, a in enumerate(found) if a is not None and len(a.starts)]
     if not whole:
-        return found, parts
+        return found, parts, errors
     begins = np.concatenate([found[i].starts + base[i] for i in whole])
     ends = begins + np.concatenate([found[i].sizes for i in whole])
     counts = [len(found[i].starts) for i in whole]
-    model = parse_jpeg(data[begins[0] : ends[0]].tobytes())
-    head = data[begins[0] : begins[0] + model.length]
-    alike = model.process == 3 and int((ends - begins).min()) > model.length
-    if alike and bool((data[begins[:, None] + np.arange(model.length)] == head).all()):
-        frames = decode_lossless(data, begins + model.length, ends, model)
-        for i, p in zip(whole, np.split(frames, np.cumsum(counts)[:-1])):
-            parts[i] = p
-        return found, parts
-    at = 0
-    for i, n in zip(whole, counts):
-        own = []
-        for b, e in zip(begins[at : at + n], ends[at : at + n]):
-            raw = data[b:e]
-            image = parse_jpeg(raw.tobytes())
-            one = np.array([image.length]), np.array([len(raw)])
-            own.append(decode_lossless(raw, *one, image)[0] if image.process == 3 else decode_baseline(raw.tobytes(), image))
-        parts[i], at = np.stack(own), at + n
-    return found, parts
+    try:
+        model = parse_jpeg(data[begins[0] : ends[0]].tobytes())
+        head = data[begins[0] : begins[0] + model.length]
+        alike = model.process == 3 and int((ends - begins).min()) > model.length
+        if alike and bool((data[begins[:, None] + np.arange(model.length)] == head).all()):
+            frames = decode_lossless(data, begins + model.length, ends, model)
+            for i, p in zip(whole, np.split(frames, np.cumsum(counts)[:-1])):
+                parts[i] = p
+            return found, parts, errors
+    except ERRORS:
+        pass  # one of them is damaged: each for itself
+    for i in whole:
+        try:
+            parts[i] = _frames(data[base[i] : base[i] + len(files[i])], found[i])
+        except ERRORS as e:
+            found[i], errors[i] = None, f"{type(e).__name__}: {e}"
+    return found, parts, errors
 
 
 def shot_starts(frames: np.ndarray) -> np.ndarray:
@@ -409,18 +504,24 @@ def shot_starts(frames: np.ndarray) -> np.ndarray:
     n = len(frames)
     if n == 0:
         return np.zeros(0, np.int64)
+    if frames.ndim == 4:  # brightness of colours
+        frames = (frames @ np.array([0.299, 0.587, 0.114])).astype(np.uint8)
     flat = frames.reshape(n, -1)
     level = np.arange(n)[:, None] * BINS + (flat.astype(np.int64) * BINS >> 8)
     hist = np.bincount(level.ravel(), minlength=n * BINS).reshape(n, BINS)
     diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * flat.shape[1])
-    total, square = np.r_[0.0, np.cumsum(diff)], np.r_[0.0, np.cumsum(diff * diff)]
-    here = np.arange(n - 1)
-    lo = np.maximum(here - LOOK_BACK, 0)
-    m = np.maximum(here - lo, 1)
-    mean = (total[here] - total[lo]) / m
-    spread = np.sqrt(np.maximum((square[here] - square[lo]) / m - mean * mean, 0))
-    cuts = (diff > FLOOR) & (diff > mean + DEVIATIONS * spread) & (here > 0)
-    return np.r_[0, np.flatnonzero(cuts) + 1]
+    calm: deque[float] = deque(maxlen=LOOK_BACK)  # the last differences that open no shot
+    cuts, seen, values = [0], 0, diff.tolist()
+    for i in np.flatnonzero(diff > FLOOR).tolist():
+        calm.extend(values[max(seen, i - LOOK_BACK) : i])
+        seen, m = i + 1, max(len(calm), 1)
+        mean = sum(calm) / m
+        spread = (sum((v - mean) ** 2 for v in calm) / m) ** 0.5
+        if values[i] > mean + DEVIATIONS * spread:
+            cuts.append(i + 1)
+        else:
+            calm.append(values[i])
+    return np.array(cuts, np.int64)
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -441,7 +542,7 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def _read(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes | None], list[Avi | None], list[np.ndarray]]]:
+def _read(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes | None], list[Avi | None], list[np.ndarray], list[str | None]]]:
     cells, lo, size = batch.column(column).to_pylist(), 0, 0
     for i, c in enumerate(cells):
         size += len(c or b"")
@@ -453,28 +554,31 @@ def _read(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes
 
 def features(media: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what reading ``media`` gives: payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature (frames, shots and their starts)."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    tail_crc32, media_bytes, media_sha256, feature (frames, shots and their starts), clips
+    (start_s and end_s of each shot) and error."""
+    clip = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips", "error"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), clip, pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, cells, found, frames in _read(b, 2):
+            for lo, cells, found, frames, errors in _read(b, 2):
                 cols: list[list] = [[] for _ in names[2:]]
-                for c, a, f in zip(cells, found, frames):
-                    row = [None] * 6
+                for c, a, f, error in zip(cells, found, frames, errors):
+                    row = [None] * 7 + [error if c is not None else None]
                     if a is not None:
                         payload, cuts = f.tobytes(), shot_starts(f)
+                        times = [{"start_s": s * a.seconds_a_frame, "end_s": e * a.seconds_a_frame} for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(f)])]
                         row = [
                             len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(c), hashlib.sha256(c).hexdigest(),
-                            f"{a.width}x{a.height} frames={len(f)} shots={len(cuts)} starts={','.join(map(str, cuts))}",
+                            f"{a.width}x{a.height} frames={len(f)} shots={len(cuts)} starts={','.join(map(str, cuts))}", times, None,
                         ]
                     for col, v in zip(cols, row):
                         col.append(v)
                 own = [b.column(0).slice(lo, len(cells)), b.column(1).slice(lo, len(cells))]
                 yield pa.RecordBatch.from_arrays(own + [pa.array(c, k) for c, k in zip(cols, kinds[2:])], names)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips array<struct<start_s:double,end_s:double>>, error string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
@@ -483,7 +587,7 @@ def clips(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, _, found, frames in _read(b, 1):
+            for lo, _, found, frames, _ in _read(b, 1):
                 rows = []
                 for doc, a, f in zip(b.column(0).slice(lo, len(found)).to_pylist(), found, frames):
                     cuts = shot_starts(f) if a is not None else np.zeros(0, np.int64)
@@ -498,5 +602,5 @@ def clips(media: DataFrame) -> DataFrame:
 
 
 def op1_avi_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document stored as an AVI file and read back: hashes, sizes and shots."""
+    """Every document stored as an AVI file and read back: hashes, sizes and timed clips."""
     return features(store(table(spark, sf_dir, "documents")))
