@@ -10,8 +10,10 @@ A network may also learn noise as a class: then texts whose pooled probability o
 class reaches a limit by length are rejected.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is a
-rejected one, with the reject class's score; all other texts get a learned language; an empty table, or one without labelled rows,
-gives ``und`` for every row; repeated rows get equal values; extra columns are ignored.
+rejected one, with the reject class's score; all other texts get a learned language, and
+every language that a labelled row names is learned; an empty table, or one without
+labelled rows, gives ``und`` for every row; repeated rows get equal values; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +31,14 @@ from .words import blocks
 
 HIDDEN = 8
 WINDOW = 48
-#: Bound of the training sample: documents a language, windows of a document.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 400, 4
-#: Languages that are learned at most (the most frequent), and how many times the sample
-#: is ranked.
-MOST_LANGS, SPARE = 256, 4
+#: Bound of the training sample: documents a language, windows of a document. Of very many
+#: languages each has fewer documents, LEAST_DOCS at least, so that SAMPLE_ROWS suffice.
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_ROWS, LEAST_DOCS = 400, 4, 100_000, 8
+#: How many times the sample is ranked.
+SPARE = 4
 STEPS, BATCH, RATE, SHORT = 300, 256, 0.02, 0.3
-#: Windows that are labelled side by side.
-LANES = 2048
+#: Windows that are labelled side by side, fewer if there are over LANE_LANGS languages.
+LANES, LANE_LANGS = 2048, 64
 UND = "und"
 #: Noise that a network with a reject class learns: letters of scripts, by first and last
 #: code; a script that stands in a SEEN share of a learned language's windows is no noise.
@@ -209,7 +211,8 @@ def pooled(net: Network, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     order = np.argsort(lengths != WINDOW, kind="stable")  # short windows last
     full = int((lengths == WINDOW).sum())
     room: dict = {}
-    cuts = [*range(0, full, LANES), *range(full, len(order), LANES)]
+    lanes = max(1, LANES * LANE_LANGS // max(LANE_LANGS, len(net.langs)))
+    cuts = [*range(0, full, lanes), *range(full, len(order), lanes)]
     for lo, hi in zip(cuts, [*cuts[1:], len(order)]):
         own = order[lo:hi]
         size = lengths[own]
@@ -291,21 +294,21 @@ def sample(docs: DataFrame, may_learn: Column) -> DataFrame:
     gives SPARE times the sample are ranked, so that no task ranks more than a sample.
     """
     labelled = may_learn & F.col("lang").isNotNull()
-    counts = docs.filter(labelled).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    if not counts:
-        counts = [("", 1)]
-    share = F.create_map(*[F.lit(v) for lang, c in counts for v in (lang, min(1.0, SPARE * SAMPLE_DOCS / c))])
+    counts = docs.filter(labelled).groupBy("lang").count().collect()  # a row a language
+    each = max(LEAST_DOCS, min(SAMPLE_DOCS, SAMPLE_ROWS // max(1, len(counts))))
+    shares = [(r["lang"], min(1.0, SPARE * each / r["count"])) for r in counts]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, _share double"))
     h = F.xxhash64("doc_id")
-    in_share = F.pmod(h, F.lit(1 << 32)) < F.try_element_at(share, F.col("lang")) * (1 << 32)
+    in_share = F.pmod(h, F.lit(1 << 32)) < F.col("_share") * (1 << 32)
     n = F.char_length("text")
     cut = [
         F.substring("text", (F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.greatest(n - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
         for i in range(SAMPLE_WINDOWS)
     ]
-    rows = docs.filter(labelled & in_share).filter(F.col("text").rlike(r"\p{L}"))
+    rows = docs.filter(labelled).select("doc_id", "text", "lang").join(shares, "lang").filter(in_share).filter(F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", h.alias("h"), F.array(*cut).alias("cuts"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "cuts"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_DOCS)
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= each)
 
 
 def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
