@@ -238,7 +238,8 @@ def scan(files: DataFrame) -> DataFrame:
     dirs = rows.select("dir").distinct().filter("dir is not null")
     ups = dirs.select("dir", F.explode(up).alias("u")).select("dir", "u.minus", F.col("u.up").alias("from_dir"))
     nearest = ups.join(by_dir, "from_dir").groupBy("dir").agg(F.min(F.struct("minus", "from_dir", "dir_license")).alias("n"))
-    nearest = nearest.select(F.col("dir").alias("_dir"), "n.from_dir", "n.dir_license")
+    # stored first: Spark then knows its size and can split a directory that holds most files
+    nearest = materialize(nearest.select(F.col("dir").alias("_dir"), "n.from_dir", "n.dir_license"), "license-nearest")
 
     mine = own.select(*[F.col(k).alias(f"_{k}") for k in ("id", "path", "h")], "license", "cosine")
     same = rows["id"].eqNullSafe(mine["_id"]) & rows["path"].eqNullSafe(mine["_path"]) & (rows["h"] == mine["_h"])
@@ -251,8 +252,11 @@ def scan(files: DataFrame) -> DataFrame:
 
 
 def document_path(source: Column, doc_id: Column) -> Column:
-    """The path that documents are filed under: source / thousands / tens / id."""
-    return F.concat_ws("/", F.coalesce(source, F.lit("unknown")), F.floor(doc_id / 1000).cast("string"), F.floor(doc_id / 10).cast("string"), F.concat(doc_id.cast("string"), F.lit(".txt")))
+    """The path that documents are filed under: source / thousands / tens / id, and every
+    third id one level, every third two levels higher, so that directories nest."""
+    parts = [F.coalesce(source, F.lit("unknown")), F.floor(doc_id / 1000).cast("string"), F.floor(doc_id / 10).cast("string")]
+    depth = 3 - F.coalesce(F.pmod(doc_id, F.lit(3)), F.lit(0)).cast("int")
+    return F.concat_ws("/", F.concat_ws("/", F.slice(F.array(*parts), F.lit(1), depth)), F.concat(doc_id.cast("string"), F.lit(".txt")))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,10 +269,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALUES = ", ".join("('{}', '{}')".format(*x) for x in sorted(TEMPLATES.items()))
 OP8_SQL = f"""
 WITH rows AS (
-  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') || '/' || (doc_id // 1000) || '/' || (doc_id // 10) AS dir,
-         coalesce(source, 'unknown') || '/' || (doc_id // 1000) || '/' || (doc_id // 10) || '/' || doc_id || '.txt' AS path,
-         len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS words
-  FROM documents
+  SELECT *, dir || '/' || doc_id || '.txt' AS path, len(regexp_extract_all(text, '\\S+')) AS words FROM (
+    SELECT doc_id, coalesce(text, '') AS text,
+           array_to_string(list_slice([coalesce(source, 'unknown'), (doc_id // 1000)::VARCHAR, (doc_id // 10)::VARCHAR], 1, 3 - doc_id % 3), '/') AS dir FROM documents)
 ), lines AS (
   SELECT doc_id, path, dir, words, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM rows
 ), each AS (
@@ -295,12 +298,14 @@ WITH rows AS (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, i, license) AS q, sum(own) OVER (PARTITION BY doc_id) AS total FROM hits) WHERE q = 1
 ), dirs AS (
   SELECT dir, license FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY path, license) AS q FROM mine WHERE total >= words * {FILE_SHARE}) WHERE q = 1
+), ups AS (
+  SELECT dir, n, array_to_string(list_slice(string_split(dir, '/'), 1, n), '/') AS up
+  FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS n FROM (SELECT DISTINCT dir FROM rows))
 ), far AS (
-  SELECT rows.doc_id, dirs.dir, dirs.license, row_number() OVER (PARTITION BY rows.doc_id ORDER BY length(dirs.dir) DESC) AS q
-  FROM rows JOIN dirs ON dirs.dir = rows.dir
+  SELECT ups.dir, dirs.dir AS from_dir, dirs.license, row_number() OVER (PARTITION BY ups.dir ORDER BY n DESC) AS q FROM ups JOIN dirs ON dirs.dir = ups.up
 )
 SELECT rows.doc_id, rows.path, coalesce(mine.license, far.license) AS license, mine.cosine,
        CASE WHEN mine.license IS NOT NULL THEN 'file' WHEN far.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
-       CASE WHEN mine.license IS NULL THEN far.dir END AS from_dir
-FROM rows LEFT JOIN mine USING (doc_id) LEFT JOIN far ON far.doc_id = rows.doc_id AND far.q = 1
+       CASE WHEN mine.license IS NULL THEN far.from_dir END AS from_dir
+FROM rows LEFT JOIN mine USING (doc_id) LEFT JOIN far ON far.dir = rows.dir AND far.q = 1
 """
