@@ -140,6 +140,7 @@ ROUND_TRIPS: dict[str, dict] = {
     "pdf_differences": {"font": "differences"},
     "pdf_charset": {"font": "utf16"},
     "pdf_truetype": {"font": "truetype"},
+    "pdf_truetype_segments": {"font": "segments"},
     "pdf_type3": {"font": "type3"},
 }
 #: The double quote shows a literal's raw bytes in ``compat``, as the engine replaced here does.
@@ -186,6 +187,44 @@ def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.regexp_extract("doc_id", r"(\d+)\.pdf$", 1).cast("int").alias("n_nationkey"), "text")
 
 
+#: Predefined character maps with the codec that spells their strings here.
+CHARSETS = [
+    ("GBK-EUC-H", "gbk"), ("GB-EUC-H", "gb2312"), ("GBK2K-H", "gb18030"), ("B5pc-H", "big5"), ("90ms-RKSJ-H", "shift_jis"), ("EUC-H", "euc_jp"), ("KSC-EUC-H", "euc_kr"), ("KSCms-EUC-H", "cp949"),
+    ("H", "iso2022_jp"), ("KSC-H", "iso2022_kr"), ("UniJIS-UCS2-H", "utf-16-be"), ("UniKS-UTF32-H", "utf-32-be"), ("UniCNS-UTF8-H", "utf-8"), ("Identity-H", "utf-16-be"),
+]
+
+
+def pdf_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with two characters that all of these charsets hold before their names: a
+    file a nation, a predefined character map a key."""
+    n = _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_nationkey").alias("key"), F.concat(F.lit("日本"), "n_name").alias("name"))
+
+    def make(key: int, name: str) -> bytes:
+        charset, codec = CHARSETS[key % len(CHARSETS)]
+        font = b"/Type /Font /Subtype /Type0 /BaseFont /K /Encoding /%s /DescendantFonts [<< /Type /Font /Subtype /CIDFontType0 /DW 500 >>]" % charset.encode()
+        return simple_pdf([b"BT /F1 10 Tf 10 700 Td <%s> Tj ET " % name.encode(codec).hex().encode()], font=font)
+
+    got = extract.extract_text(_files(n, make))
+    return got.select(F.col("doc_id").cast("int").alias("n_nationkey"), "text")
+
+
+def pdf_vertical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text that runs downwards isn't shown."""
+    n = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    font = b"/Type /Font /Subtype /Type0 /BaseFont /K /Encoding /Identity-V /DescendantFonts [<< /Type /Font /Subtype /CIDFontType0 >>]"
+    got = extract.extract_text(_files(n, lambda name: simple_pdf([b"BT /F1 10 Tf 10 700 Td <%s> Tj ET " % name.encode("utf-16-be").hex().encode()], font=font)))
+    return got.select(F.col("doc_id").cast("long").alias("c_custkey"), "text")
+
+
+def pdf_font_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ascents, descents, heights and widths of fonts that describe themselves: a part each."""
+    p = _table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    font = b"/Type /Font /Subtype /TrueType /BaseFont /Own /FirstChar 65 /Widths [%d %d] /FontDescriptor << /Ascent %d /Descent -%d /FontBBox [0 -%d 1000 %d] /MissingWidth %d >>"
+    got = extract.fonts(_files(p, lambda n: simple_pdf([b" "], font=font % (n, 2 * n, 10 * n, n, n, 20 * n, 3 * n))))
+    widths = [F.element_at("widths", c).alias(name) for c, name in ((65, "width_a"), (66, "width_b"))]
+    return _doubles(got.select(F.col("doc_id").cast("long").alias("p_partkey"), "ascent", "descent", "height", "default_width", *widths))
+
+
 def pdf_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that aren't PDF files: each is a row with its error."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
@@ -528,7 +567,7 @@ def plane_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        pdf_roundtrip_text, pdf_page_count, pdf_pages, pdf_content_ops, pdf_fonts, pdf_chunks, pdf_relational_text, *map(_round_trip, ROUND_TRIPS), pdf_aes, pdf_files, pdf_unreadable,
+        pdf_roundtrip_text, pdf_page_count, pdf_pages, pdf_content_ops, pdf_fonts, pdf_chunks, pdf_relational_text, *map(_round_trip, ROUND_TRIPS), pdf_aes, pdf_files, pdf_charsets, pdf_vertical, pdf_font_metrics, pdf_unreadable,
         objects_first_wins, recovery_scan, hex_decode, ascii_hex_decode, flate_decode, lzw_decode, ascii85_decode, predictor_decode, rc4_decrypt, aes_roundtrip, utf8_length,
         tokenize_content, dict_first_wins, object_kinds, width_lookup, diff_encoding, cmap_bfrange, matrix_product, apply_point, inherit_box, inherit_values, layout_lines, layout_words, zero_groups, neighbour_pairs,
         box_distance_top1, between_exists, reading_order_key, page_concat, layout_boxes, plane_full,
@@ -560,6 +599,10 @@ ORACLE_SQL: dict[str, str] = {
     "objects_first_wins": "SELECT obj_id, event_id FROM (SELECT user_id AS obj_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r = 1",
     **{k: f"SELECT doc_id, {_EXPECTED} AS text FROM ({_SPLIT}) GROUP BY doc_id" for k in [*ROUND_TRIPS, "pdf_aes"]},
     "pdf_files": "SELECT n_nationkey, n_name || chr(10) AS text FROM nation",
+    "pdf_charsets": "SELECT n_nationkey, '日本' || n_name || chr(10) AS text FROM nation",
+    "pdf_vertical": "SELECT c_custkey, '' AS text FROM customer",
+    "pdf_font_metrics": """SELECT p_partkey, (10 * p_size)::DOUBLE AS ascent, (-p_size)::DOUBLE AS descent, (21 * p_size)::DOUBLE AS height, (3 * p_size)::DOUBLE AS default_width,
+                           p_size::DOUBLE AS width_a, (2 * p_size)::DOUBLE AS width_b FROM part""",
     "pdf_unreadable": "SELECT doc_id, 'Malformed' AS error_class, NULL::VARCHAR AS text FROM documents",
     "recovery_scan": """SELECT l_orderkey, count(*) AS n_objects, max(l_linenumber) AS last_id, CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS quantity, 'scan' AS source
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, CAST(l_quantity AS INTEGER)) AS r FROM lineitem) WHERE r = 1 GROUP BY l_orderkey""",

@@ -209,6 +209,14 @@ def _face(w: PdfWriter, number: dict[str, int], kind: str) -> tuple[int, Callabl
     if kind == "utf16":  # a predefined charset
         inner = w.add(b"<< /Type /Font /Subtype /CIDFontType0 /BaseFont /Any /DW 600 >>")
         return w.add(b"<< /Type /Font /Subtype /Type0 /BaseFont /Any /Encoding /UniGB-UTF16-H /DescendantFonts [%d 0 R] >>" % inner), lambda line: line.encode("utf-16-be", "surrogatepass")
+    if kind == "segments":  # a cmap table of segments of one character, whose texts are raw bytes
+        chars = sorted((ord(c), n) for c, n in number.items())
+        n = len(chars) + 1
+        ends, deltas = [c for c, _ in chars] + [0xFFFF], [g - c for c, g in chars] + [1]
+        sub = struct.pack(">7H", 4, 16 + 8 * n, 0, 2 * n, 0, 0, 0) + struct.pack(f">{n}HH{n}H{n}h{n}H", *ends, 0, *ends, *deltas, *[0] * n)
+        table = struct.pack(">HHHHI", 0, 1, 3, 1, 12) + sub
+        file = w.stream(struct.pack(">IHHHH", 0x10000, 1, 0, 0, 0) + b"cmap" + struct.pack(">III", 0, 28, len(table)) + table, flate=flate)
+        return w.add(b"<< /Type /Font /Subtype /TrueType /BaseFont /Any /FontDescriptor << /FontFile2 %d 0 R /MissingWidth 600 >> >>" % file), two
     if kind == "truetype":  # a cmap table whose subtables are a character each
         subs = [struct.pack(">HHHHHH", 6, 12, 0, ord(c), 1, n) for c, n in number.items()]
         head = struct.pack(">HH", 0, len(subs)) + b"".join(struct.pack(">HHI", 3, 1, 4 + 8 * len(subs) + 12 * i) for i in range(len(subs)))
@@ -266,7 +274,7 @@ def text_pdf(
     """``text`` as pages of one string a line. A font numbers the text's characters and maps
     the numbers back, so any text survives, in whatever way it is written.
 
-    font: composite, ranges, differences, utf16, truetype, type3. show: move, lead, array,
+    font: composite, ranges, differences, utf16, truetype, segments, type3. show: move, lead, array,
     quote, quotes, matrix. wrap: page, form, annotation. store: of STORED. cipher: of CIPHERS.
     shift: by how much the pointer to the cross references is wrong. revise: pages are blank
     at first and get their content in a second revision."""
@@ -276,7 +284,7 @@ def text_pdf(
         key = file_key(revision, size)
         w.encrypt, flate = lambda number, data: rc4_encrypt(object_key(key, number), data), False
     number = {c: i + 1 for i, c in enumerate(dict.fromkeys(text.replace("\n", "")))}
-    if font in ("differences", "type3") and len(number) > 255 or font == "truetype" and any(ord(c) > 0xFFFF for c in number):
+    if font in ("differences", "type3") and len(number) > 255 or font == "truetype" and any(ord(c) > 0xFFFF for c in number) or font == "segments" and not text.isascii():
         font = "composite"  # more characters than such a font can hold
     face, spelled = _face(w, number, font)
     unit = 1 if font in ("differences", "type3") else 2
