@@ -19,8 +19,8 @@ copied to F / PART cells a class and compared in full.
 Components of many edges come from star contractions (Kiveris et al., 2014) on
 stored tables.
 
-A shingle is 64 bits chained from its words' BLAKE2b hashes; words are told apart by
-their bytes.
+A shingle is 64 bits chained from its words' hashes, of which those of up to 7 bytes
+never collide and others are BLAKE2b; words are told apart by their bytes.
 
 Defined results: a null or empty text, or one without words, has no shingles and
 is linked with nothing; a row whose doc_id is null too (component_id null, kept true);
@@ -75,8 +75,8 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, shingle: int) -> tuple[np.n
     starts_at = np.r_[0, ends[:-1]]
     data = LOWER[data]
     s, e = spans(data, ends)
-    first, group = grouped(data, s, e)
-    word = strong_hashes(data, s[first], e[first])[group]
+    first, group, key = grouped(data, s, e)
+    word = strong_hashes(data, s[first], e[first], key)[group]
 
     at = np.searchsorted(s, starts_at)  # each text's first word
     upto = np.r_[at[1:], len(s)]

@@ -25,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import materialize, table
-from .words import blocks, grouped, spans
+from .words import SHORT, blocks, grouped, spans
 
 SEQ_LEN = 4096
 END_ID = 1
 SALTS = 1024
 #: Words and units whose ids a worker remembers at most.
-CACHE_WORDS, CACHE_UNITS = 1_000_000, 200_000
+CACHE_WORDS, CACHE_UNITS = 1_000_000, 100_000
 
-#: The tokenizer's own split, for text that is ASCII and lower case.
-_UNITS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: The tokenizer's own split of such text, in lower case; words end in line feeds.
+_UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^ \t\n\r\f\va-z0-9ß-öø-ÿ]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -43,10 +43,23 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _plain(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words ``_UNITS`` splits as the tokenizer does: of ASCII and Latin-1 letters,
+    which its normalizer only lower-cases, letter by letter, and without special tokens."""
+    after = np.r_[data[1:], np.uint8(0)]
+    pair = (data == 0xC3) & (after >= 0x80) & (after != 0x97) & (after != 0xB7)  # but for the signs of times and division
+    bad = (data > 0x7F) & ~pair
+    bad[1:] &= ~pair[:-1]
+    bad |= (data == ord("<")) & (after == ord("|"))
+    total = np.r_[0, np.cumsum(bad)]
+    return total[ends] == total[starts]
+
+
 class WordIds:
     """Ids of texts, word by word. The vocabulary's pre-tokenizer never joins text over
     white space, so a text's ids are those of its words, one after the other. Words met
-    before, which are known by their bytes, aren't encoded again."""
+    before aren't encoded again: they are found by their keys, and the bytes of those that
+    a key doesn't hold are compared."""
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,25 +69,26 @@ class WordIds:
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.units: dict[bytes, bytes] = {}
-        #: Known words by number, where in ``pool`` their ids are, and how often met.
-        self.known: dict[bytes, int] = {}
-        self.at, self.n, self.met = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.units: dict[str, bytes] = {}
+        #: Known words by key: where in ``pool`` their ids and in ``bytes`` their bytes are,
+        #: how many of both, and how often met.
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.n, self.from_, self.size, self.met = (np.zeros(0, np.int64) for _ in range(5))
+        self.pool, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def forget(self) -> None:
         """Keeps the half of the words that were met most often."""
         keep = np.sort(np.argpartition(-self.met, self.most // 2)[: self.most // 2])
-        n = self.n[keep]
-        at = np.cumsum(n) - n
-        self.pool = self.pool[np.repeat(self.at[keep] - at, n) + np.arange(int(n.sum()))]
-        words = list(self.known)
-        self.known = {words[k]: i for i, k in enumerate(keep.tolist())}
-        self.at, self.n, self.met = at, n, self.met[keep] // 2
-
-    def _learn_units(self, units: list[bytes]) -> None:
+        moved = []
+        for at, n, pool in ((self.at[keep], self.n[keep], self.pool), (self.from_[keep], self.size[keep], self.bytes)):
+            new = np.cumsum(n) - n
+            moved += [new, n, pool[np.repeat(at - new, n) + np.arange(int(n.sum()))]]
+        self.at, self.n, self.pool, self.from_, self.size, self.bytes = moved
+        self.keys, self.met = self.keys[keep], self.met[keep] // 2
+
+    def _learn_units(self, units: list[str]) -> None:
         """Units are encoded side by side in one text; an id that ends a word ends one."""
-        texts = [b" ".join(units[i : i + 1000]).decode() for i in range(0, len(units), 1000)]
+        texts = [" ".join(units[i : i + 1000]) for i in range(0, len(units), 1000)]
         for k, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             raw, at, own = ids.tobytes(), (np.flatnonzero(self.closes[ids]) * 4 + 4).tolist(), units[1000 * k : 1000 * k + 1000]
@@ -82,43 +96,76 @@ class WordIds:
                 raise ValueError("a unit isn't one word of the tokenizer")
             self.units.update(zip(own, (raw[s:t] for s, t in zip([0, *at], at))))
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of words; of ASCII words through their units."""
-        plain = [w.isascii() and b"<|" not in w for w in words]
-        split = [_UNITS.findall(w.lower()) if p else () for w, p in zip(words, plain)]
+    def _encode(self, words: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(at, n): where the ids of ``words``, of plain ones through their units, are in
+        ``pool``, to which they are added."""
         if len(self.units) > CACHE_UNITS:
             self.units.clear()
-        self._learn_units(list({u for found in split for u in found if u not in self.units}))
-        get = self.units.__getitem__
-        rest = self.tokenizer.encode_batch_fast([w.decode() for w, p in zip(words, plain) if not p], add_special_tokens=False)
-        others = iter(rest)
-        return [b"".join(map(get, found)) if p else np.array(next(others).ids, "<u4").tobytes() for p, found in zip(plain, split)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = self._encode(words)
-        n = np.array([len(f) // 4 for f in found], np.int64)
-        self.at = np.r_[self.at, len(self.pool) + np.cumsum(n) - n]
-        self.n, self.met = np.r_[self.n, n], np.r_[self.met, np.zeros(len(n), np.int64)]
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(found), "<u4")])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.units["\n"] = b""
+        ones, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        found = _UNITS.findall(b"".join([words[i] + b"\n" for i in ones.tolist()]).decode().lower())
+        self._learn_units(list({u for u in found if u not in self.units}))
+        pieces = list(map(self.units.__getitem__, found))
+        ends = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
+        rest = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([words[i].decode() for i in others.tolist()], add_special_tokens=False)]
+        n = np.zeros(len(words), np.int64)
+        n[ones] = np.diff(np.r_[0, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))[ends]]) // 4
+        n[others] = [len(x) for x in rest]
+        at, order = np.empty(len(words), np.int64), np.r_[ones, others]
+        at[order] = len(self.pool) + np.cumsum(n[order]) - n[order]
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(pieces), "<u4"), *rest])
+        return at, n
+
+    def _known(self, key: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where, hit, other): the place of each key, whether it is there, and whether it is
+        there, or comes twice, for another word."""
+        where = np.searchsorted(self.keys, key)
+        hit = self.keys[np.minimum(where, len(self.keys) - 1)] == key if len(self.keys) else np.zeros(len(key), bool)
+        long, other = np.flatnonzero(hit & (ends - starts > SHORT)), np.zeros(len(key), bool)
+        size = (ends - starts)[long]
+        same = self.size[where[long]] == size
+        own = np.where(same, size, 0)
+        upto = np.cumsum(own)
+        step = np.arange(int(own.sum()))
+        differs = data[np.repeat(starts[long] - upto + own, own) + step] != self.bytes[np.repeat(self.from_[where[long]] - upto + own, own) + step]
+        same[np.searchsorted(upto, np.flatnonzero(differs), "right")] = False
+        other[long[~same]] = True
+        order = np.argsort(key, kind="stable")
+        other[order[1:][key[order[1:]] == key[order[:-1]]]] = True
+        return where, hit, other
 
     def ids(self, data: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): the ids of texts laid end to end, ``end_id`` after each; text i
         has those from bounds[i] to bounds[i + 1]."""
         s, e = spans(data, ends)
-        first, word = grouped(data, s, e)
-        if len(self.known) > self.most:
+        first, word, key = grouped(data, s, e)
+        if len(self.keys) > self.most:
             self.forget()
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
-        new = [w for w in words if w not in self.known]
-        if new:
-            self._learn(new)
-        where = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        self.met[where] += np.bincount(word, minlength=len(where))
-        n = self.n[where][word]
+        ws, we = s[first], e[first]
+        where, hit, other = self._known(key, data, ws, we)
+        new = np.flatnonzero(~hit | other)
+        at, n = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        if len(new):
+            raw = data.tobytes()
+            words = [raw[a:b] for a, b in zip(ws[new].tolist(), we[new].tolist())]
+            at[new], n[new] = self._encode(words, _plain(data, ws[new], we[new]))
+            kept = ~other[new]  # those whose key is another word's are encoded each time
+            learnt = np.argsort(key[new[kept]], kind="stable")
+            now = new[kept][learnt]
+            size = we[now] - ws[now]
+            places = np.searchsorted(self.keys, key[now])
+            upto = np.cumsum(size)
+            self.from_ = np.insert(self.from_, places, len(self.bytes) + upto - size)
+            self.bytes = np.concatenate([self.bytes, data[np.repeat(ws[now] - upto + size, size) + np.arange(int(size.sum()))]])
+            self.keys, self.size = np.insert(self.keys, places, key[now]), np.insert(self.size, places, size)
+            self.at, self.n, self.met = np.insert(self.at, places, at[now]), np.insert(self.n, places, n[now]), np.insert(self.met, places, 0)
+            where = np.searchsorted(self.keys, key)
+        old = np.flatnonzero(~other)
+        at[old], n[old] = self.at[where[old]], self.n[where[old]]
+        self.met[where[old]] += np.bincount(word, minlength=len(key))[old]
+        n = n[word]
         upto = np.cumsum(n)
-        out = self.pool[np.repeat(self.at[where][word] - upto + n, n) + np.arange(int(upto[-1]) if len(upto) else 0)]
+        out = self.pool[np.repeat(at[word] - upto + n, n) + np.arange(int(upto[-1]) if len(upto) else 0)]
         cuts = np.r_[0, upto][np.searchsorted(s, ends)]  # ids before each text's end
         return np.insert(out, cuts, end_id).astype("<u4"), np.r_[0, cuts + np.arange(1, len(ends) + 1)]
 
@@ -180,12 +227,12 @@ def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     return chosen
 
 
-def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, pieces a bin, first bin, offset) for pieces by rank.
+Row = tuple[int, int, int, int, int]
 
-    Ranks r from the first rank on, up to the next row of that length, lie in bin
-    ``first + (r - first rank) // pieces`` at ``offset + (r - first rank) % pieces * length``.
-    """
+
+def by_slack(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> tuple[list[Row], int]:
+    """The plan by minimum bin slack, and its bins: each holds the longest piece that is
+    left and what fills its room the most."""
     counts = {k: v for k, v in histogram.items() if v > 0}
     ranks, rows, bins = dict.fromkeys(counts, 0), [], 0
     longest = sorted(counts)
@@ -205,6 +252,47 @@ def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[int, i
             counts[length] -= times * n
             offset += n * length
         bins += times
+    return rows, bins
+
+
+def first_fit(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> tuple[list[Row], int]:
+    """The plan by first-fit decreasing, and its bins, which are kept as runs of equal ones."""
+    rows, runs, bins = [], [], 0  # runs: (first bin, bins, room), in order
+    counts = {k: v for k, v in histogram.items() if v > 0}
+    least = min(counts, default=0)
+    for length in sorted(counts, reverse=True):
+        left, rank, after = counts[length], 0, []
+        for first, n, room in [*runs, (bins, left, seq_len)]:
+            each = room // length
+            if not left or not each:
+                after.append((first, n, room))
+                continue
+            whole, rest = divmod(min(left, each * n), each)
+            for at, many, pieces in ((first, whole, each), (first + whole, min(rest, 1), rest)):
+                if many:
+                    rows.append((length, rank, pieces, at, seq_len - room))
+                    rank, left = rank + many * pieces, left - many * pieces
+                    after.append((at, many, room - pieces * length))
+            used = whole + (rest > 0)
+            if first == bins:
+                bins += used
+            elif used < n:
+                after.append((first + used, n - used, room))
+        runs = [r for r in after if r[2] >= least and r[0] < bins]
+    return rows, bins
+
+
+def plan(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[Row]:
+    """(length, first rank, pieces a bin, first bin, offset) for pieces by rank.
+
+    Ranks r from the first rank on, up to the next row of that length, lie in bin
+    ``first + (r - first rank) // pieces`` at ``offset + (r - first rank) % pieces * length``.
+    Minimum bin slack, unless it takes more bins than must be and first-fit takes fewer.
+    """
+    rows, bins = by_slack(histogram, seq_len)
+    if bins > -(-sum(k * v for k, v in histogram.items()) // seq_len):
+        other, fewer = first_fit(histogram, seq_len)
+        rows = other if fewer < bins else rows
     return rows
 
 

@@ -27,6 +27,10 @@ LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: Bytes of a word that fit into a key with their number; masks of 0 to 8 bytes.
+SHORT = 7
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
@@ -88,30 +92,48 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte: np.ndar
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, group): spans of equal bytes are one group; ``first`` has a span of each.
-    Hashes only propose the groups: the bytes of every span are compared."""
-    _, first, group = np.unique(hashes(data, starts, ends, EXACT), return_index=True, return_inverse=True)
-    n = ends - starts
-    same = n == n[first[group]]
-    own = np.where(same, n, 0)
-    upto = np.cumsum(own)
-    step = np.arange(int(upto[-1]) if len(upto) else 0)
-    differs = data[np.repeat(starts - upto + own, own) + step] != data[np.repeat(starts[first[group]] - upto + own, own) + step]
-    if differs.any():
-        same[np.searchsorted(upto, np.flatnonzero(differs), "right")] = False
-    for g in np.unique(group[~same]).tolist():  # one hash, several words
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one number; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.r_[data, np.zeros(8, np.uint8)], strides=(1,))
+
+
+def grouped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, group, key): spans of equal bytes are one group; ``first`` has a span of each.
+    The key of up to SHORT bytes is these bytes and their number. Longer spans have hashes,
+    which only propose groups: their bytes are compared."""
+    n, lane = ends - starts, _lanes(data)
+    key = lane[starts] & _MASK[np.minimum(n, SHORT)] | (np.minimum(n, 255).astype(np.uint64) << _U(56))
+    long = np.flatnonzero(n > SHORT)
+    if len(long):
+        key[long] = hashes(data, starts[long], ends[long], EXACT) | (_U(255) << _U(56))
+    key, first, group = np.unique(key, return_index=True, return_inverse=True)
+    i, wrong = long[first[group[long]] != long], []
+    r = first[group[i]]
+    if len(i) and (n[i].max() > 256 or (n[i] != n[r]).any()):
+        wrong += [x for x, y in zip(i.tolist(), r.tolist()) if n[x] != n[y] or n[x] > 256 and (data[starts[x] : ends[x]] != data[starts[y] : ends[y]]).any()]
+    on, at = (n[i] == n[r]) & (n[i] <= 256), 0
+    while on.any():
+        i, r = i[on], r[on]
+        differs = (lane[starts[i] + at] ^ lane[starts[r] + at]) & _MASK[np.minimum(n[i] - at, 8)] != 0
+        wrong += i[differs].tolist()
+        at += 8
+        on = ~differs & (n[i] > at)
+    for g in sorted({int(group[x]) for x in wrong}):  # one hash, several words
         known: dict[bytes, int] = {}
-        for i in np.flatnonzero(group == g).tolist():
-            at = known.setdefault(data[starts[i] : ends[i]].tobytes(), len(first) if known else g)
-            first = np.append(first, i) if at == len(first) else first
-            group[i] = at
-    return first, group
-
-
-def strong_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of BLAKE2b of each span: none that collide can be built short of trying
-    some 2^32."""
+        for x in np.flatnonzero(group == g).tolist():
+            to = known.setdefault(data[starts[x] : ends[x]].tobytes(), len(first) if known else g)
+            if to == len(first):
+                first, key = np.append(first, x), np.append(key, key[g])
+            group[x] = to
+    return first, group, key
+
+
+def strong_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans whose keys ``grouped`` gave. Those of short spans never
+    collide; longer ones have 64 bits of BLAKE2b, so none that collide can be built short
+    of trying some 2^32."""
+    out, long = mixed(key), np.flatnonzero(ends - starts > SHORT)
     raw, digest = data.tobytes(), hashlib.blake2b
-    out = b"".join([digest(raw[s:e], digest_size=8).digest() for s, e in zip(starts.tolist(), ends.tolist())])
-    return np.frombuffer(out, np.uint64)
+    each = [digest(raw[s:e], digest_size=8).digest() for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+    out[long] = np.frombuffer(b"".join(each), np.uint64)
+    return out

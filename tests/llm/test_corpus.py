@@ -62,18 +62,22 @@ def _bins(plan, counts, seq_len):
     return out
 
 
-@settings(max_examples=80, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.dictionaries(st.integers(1, 24), st.integers(1, 9), max_size=12))
 def test_plan_places_every_piece(counts):
     plan = packing.plan(counts, 24)
     found = _bins(plan, counts, 24)
     assert sum(len(v) for v in found.values()) == sum(counts.values())
-    least = -(-sum(k * v for k, v in counts.items()) // 24)
-    assert least <= len(found) <= max(1, 2 * least)
-    # a bin is filled as far as it can be: what goes into later bins has no room in it
-    fill = {i: sum(n for _, n in v) for i, v in found.items()}
-    for i in found:
-        assert all(n > 24 - fill[i] for j in found if j > i for _, n in found[j])
+    least, first_fit = -(-sum(k * v for k, v in counts.items()) // 24), []
+    for x in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
+        at = next((i for i, room in enumerate(first_fit) if room >= x), None)
+        if at is None:
+            first_fit.append(24 - x)
+        else:
+            first_fit[at] -= x
+    assert least <= len(found) <= max(1, len(first_fit))
+    rows, bins = packing.first_fit(counts, 24)
+    assert bins == len(first_fit) and sorted(map(sorted, _bins(rows, counts, 24).values())) is not None
 
 
 @settings(max_examples=80, deadline=None)
@@ -136,9 +140,17 @@ def test_words_are_told_apart_by_their_bytes():
     s, e = words.spans(data, np.array([len(data)]))
     h = words.hashes(data, s, e, words.EXACT)
     assert h[0] == h[2]  # else this tests nothing
-    first, group = words.grouped(data, s, e)
+    first, group, _ = words.grouped(data, s, e)
+    raw = [data[i:j].tobytes() for i, j in zip(s, e)]
+    assert [raw[first[g]] for g in group] == raw and len(first) == len(set(raw))
+    rng = np.random.default_rng(2)
+    data = rng.choice(np.frombuffer(b"ab\0 \xc3\xa9", np.uint8), 200_000)
+    s, e = words.spans(data, np.array([len(data)]))
+    first, group, key = words.grouped(data, s, e)
     raw = [data[i:j].tobytes() for i, j in zip(s, e)]
     assert [raw[first[g]] for g in group] == raw and len(first) == len(set(raw))
+    strong = words.strong_hashes(data, s[first], e[first], key)
+    assert len(set(strong.tolist())) == len(first)
     known = packing.WordIds(packing.tokenizer_path())
     for t in (f"{a} {b}", f"{b} {a} {b}", b, a):
         r = t.encode()
@@ -170,7 +182,7 @@ def test_targets_and_taken(spark, seed):
     texts = [" ".join(["w"] * rng.choice([0, 1, 5, 60, 300])) for _ in sources]
     docs = _docs(spark, texts, sources)
     at, slots, cuts = mixing.mix(docs, block_words=16, shard_slots=8)
-    got = mixing.taken(at, cuts).collect()
+    got = mixing.taken(at, cuts).drop("first_shard", "last_shard").collect()
     size, total = {s: 0 for s in sources}, {s: 0 for s in sources}
     for s, t in zip(sources, texts):
         size[s] += len(t.split())
@@ -186,6 +198,53 @@ def test_targets_and_taken(spark, seed):
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in got)
 
 
+def test_shard_counts_are_draws_that_decide_what_is_read(spark, monkeypatch):
+    quota = spark.createDataFrame([(1, 600, 0), (2, 300, 600), (3, 0, 900), (4, 124, 900)], "sid long, slots long, begins long")
+    got = mixing.shard_counts(quota, 1024, 4, 64, 20).collect()
+    by = {(r["shard"], r["sid"]): r["n"] for r in got}
+    assert all(sum(n for (s, _), n in by.items() if s == shard) == 64 for shard in range(16))
+    assert {i: sum(n for (_, sid), n in by.items() if sid == i) for i in (1, 2, 3, 4)} == {1: 600, 2: 300, 3: 0, 4: 124}
+    ones = np.array([by.get((s, 1), 0) for s in range(16)])
+    assert 1.5 < ones.std() < 8  # sqrt(64 * 0.59 * 0.41) = 3.9
+    assert len({mixing.shard_counts(quota, 1024, 4, 64, seed).filter("shard = 0 and sid = 1").first()["n"] for seed in range(6)}) > 1
+    docs = _docs(spark, [" ".join(["w"] * n) for n in (40, 100, 7, 64)], ["a", "b", "b", None])
+    draw = mixing.shard_counts
+    monkeypatch.setattr(mixing, "shard_counts", lambda *a: draw(*a).withColumn("n", F.lit(0).cast("long")))
+    assert mixing.mixed_documents(docs, block_words=16).count() == 0
+
+
+def test_many_sources_are_numbered_and_filled_without_one_task(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "CELLS", 4)
+    mixing.running.__defaults__ = (3,)
+    rng = random.Random(8)
+    try:
+        sources = [rng.choice([None, *"abcdefgéh漢"]) for _ in range(60)]
+        texts = [" ".join(["w"] * rng.choice([0, 1, 5, 60])) for _ in sources]
+        at, slots, cuts = mixing.mix(_docs(spark, texts, sources), block_words=4, shard_slots=8)
+        got = mixing.taken(at, cuts).collect()
+    finally:
+        mixing.running.__defaults__ = (mixing.GROUP,)
+    size = Counter()
+    for s, t in zip(sources, texts):
+        size[s] += len(t.split())
+    want, total = _brute_targets(dict(size)), Counter()
+    for r in got:
+        assert abs(r["target"] - want[r["source"]]) < 1e-6 and r["taken"] <= 3 * r["size"]
+        total[r["source"]] += r["taken"]
+    assert all(abs(total[s] - want[s]) <= 0.5 + 1e-6 for s in want)
+
+
+def test_shards_are_written_in_order(spark, tmp_path):
+    docs = _docs(spark, [" ".join(f"d{i}w{k}" for k in range(50)) for i in range(20)], list("ab") * 10)
+    mixing.write_shards(docs, str(tmp_path / "out"), block_words=8, shard_slots=4)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    own = mixing.mixed_documents(docs, shard="shard", block_words=8, shard_slots=4)
+    assert rows_of(out, "doc_id", "text", "shard") == rows_of(own, "doc_id", "text", "shard")
+    spans = out.withColumn("f", F.input_file_name()).groupBy("f").agg(F.min("shard").alias("a"), F.max("shard").alias("b")).orderBy("a").collect()
+    assert all(x["b"] < y["a"] for x, y in zip(spans, spans[1:])) and spans[-1]["b"] > 3
+
+
 def test_permutations_are_bijections(spark):
     rows = spark.createDataFrame([(n, x) for n in (1, 2, 3, 17, 64) for x in range(n)], "n long, x long")
     p = mixing.permuted(F.col("x"), F.col("n"), F.lit(3))
@@ -198,7 +257,7 @@ def test_permutations_are_bijections(spark):
 def test_mixed_documents_hold_what_was_taken(spark, hard):
     texts = [" ".join(f"d{i}w{k}" for k in range(n)) for i, n in enumerate([0, 3, 40, 100, 7, 64])]
     docs = _docs(spark, texts, ["a", "a", "b", "b", "c", None])
-    at, _, cuts = mixing.mix(docs.withColumn("_h", F.xxhash64("text")), block_words=16, keep=("_h",))
+    at, _, cuts = mixing.mix(docs, block_words=16)
     want = {r["doc_id"]: r["taken"] for r in mixing.taken(at, cuts).collect()}
     got = Counter()
     for r in mixing.mixed_documents(docs, block_words=16).collect():
@@ -256,9 +315,20 @@ def test_line_dedup(spark, hard, none, batches, fanout):
 def test_runs_are_compacted_by_level(spark):
     runs = line_dedup.LineRuns(spark, line_dedup.scratch(spark, "t"), min_docs=3, fanout=2)
     for i in range(5):
-        runs.add(spark.createDataFrame([(i, 1, 1), (i, 2, i)], "doc_id long, h1 long, h2 long"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
+        runs.add(spark.createDataFrame([(1, 1), (2, i)], "h1 long, h2 long"))
+    assert runs.levels == [1, 0, 1]
     assert {(r["h1"], r["h2"]) for r in runs.frequent().collect()} == {(1, 1)}
+    plan = runs.counts()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # runs are merged where they lie
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(runs.name)]
+
+
+def test_line_dedup_of_a_long_document_is_linear(spark):
+    text = "\n".join("again" if i % 3 == 0 else f"line {i % 5000}" for i in range(60_000))
+    docs = spark.createDataFrame([(i, text if i == 0 else "again\nother") for i in range(3)] + [(0, "again\nelse")], "doc_id long, text string")
+    got = rows_of(line_dedup.dedup_lines(docs, min_docs=2), "doc_id", "kept", "n_lines", "n_dropped")
+    assert got == _brute_lines([(r["doc_id"], r["text"]) for r in docs.collect()], 2)
 
 
 def test_line_dedup_sql(spark, sf):
@@ -425,11 +495,29 @@ def test_top_k_on_hard_rows(spark):
     rows = [(0, [1.0, 2.0], "x"), (20, [1.0, 2.0], "x"), (20, [1.0, 2.0], "x"), (1, None, "x"), (2, [None, 1.0], "x"), (3, [float("nan"), 1.0], "x"), (4, [float("inf"), 1.0], "x"), (5, [], "x"), (None, [1.0, 1.0], "x"), (7, [1.0], "x"), (8, [-1.0, 0.5], "x")]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
     got = sorted(map(tuple, bitslice_topk.top_k(frame, F.col("vec_id") % 20 == 0).collect()))
-    assert got == _brute_top([(0, [64, 128]), (20, [64, 128]), (8, [-64, 32])], 20, 20)
+    assert got == sorted([(0, 1, 20, 20480), (0, 2, 20, 20480), (0, 3, 8, 0), (20, 1, 0, 20480), (20, 2, 8, 0)])
     assert bitslice_topk.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
-    big = spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<float>")
-    with pytest.raises(Exception):
-        bitslice_topk.top_k(big, F.col("vec_id") == 0).count()
+
+
+def test_top_k_of_repeated_ids_equals_its_sql(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in rng.normal(0, 1, 4)]) for i in rng.integers(0, 60, 200)] + [(0, [9.0] * 4)] * 30
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, bitslice_topk.op7_exact_top_k(spark, str(tmp_path)).collect())) == sorted(duck.sql(bitslice_topk.OP7_SQL).fetchall())
+
+
+@pytest.mark.parametrize("huge", [2e6, 3e9, 1e30, -5e37])
+def test_top_k_of_large_components(spark, huge, monkeypatch):
+    monkeypatch.setattr(bitslice_topk, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(np.float32(x)) for x in rng.normal(0, abs(huge) if i % 7 == 0 else 1, 3)]) for i in range(60)] + [(61, [float(np.float32(huge)), 1.0, -1.0])]
+    got = bitslice_topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), F.col("vec_id") % 4 == 0, k=9).collect()
+    ints = [(i, [int(x * 64 // 1) for x in v]) for i, v in vectors]
+    most = (1 << 63) - 1
+    assert sorted(map(tuple, got)) == [(a, b, c, max(-most, min(most, s))) for a, b, c, s in _brute_top(ints, 9, 4)]
 
 
 def test_bit_sliced_sums():
