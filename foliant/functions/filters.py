@@ -20,23 +20,35 @@ def flate(data: bytes) -> bytes:
         raise Malformed(f"inflate: {e}") from e
 
 
+#: Codes of an LZW run that are cut out of the bits at a time.
+_RUN = 4096
+
+
+def _code_widths(start: int, n: int) -> np.ndarray:
+    """Bits of ``n`` codes from the one ``start`` places after a clear on. The table has 258
+    entries and from the second code on one more each; codes grow one early."""
+    entries = 258 + np.maximum(np.arange(start, start + n) - 1, 0)
+    return 9 + (entries + 1 >= 512).astype(np.int64) + (entries + 1 >= 1024) + (entries + 1 >= 2048)
+
+
 def lzw(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, which grow one code early; 256 clears, 257 ends."""
     first = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, width, last = list(first), 9, None
-    held = bits = 0
-    out = []
-    for byte in data:
-        held, bits = held << 8 | byte, bits + 8
-        while bits >= width:
-            code = held >> (bits - width)
-            bits -= width
-            held &= (1 << bits) - 1
-            if code == 257:
-                return b"".join(out)
-            if code == 256:
-                table, width, last = list(first), 9, None
-                continue
+    raw, bits = np.frombuffer(data + bytes(3), np.uint8).astype(np.int64), len(data) * 8
+    out: list[bytes] = []
+    at = run = 0
+    table, last = list(first), None
+    while True:
+        width = _code_widths(run, _RUN)
+        ends = at + np.cumsum(width)
+        n = int(np.searchsorted(ends, bits, "right"))
+        begins = (ends - width)[:n]
+        byte = begins >> 3
+        window = raw[byte] << 16 | raw[byte + 1] << 8 | raw[byte + 2]
+        codes = window >> (24 - (begins & 7) - width[:n]) & ((1 << width[:n]) - 1)
+        special = np.flatnonzero((codes == 256) | (codes == 257))
+        stop = int(special[0]) if len(special) else n
+        for code in codes[:stop].tolist():
             if code < len(table):
                 entry = table[code]
             elif last is not None and code == len(table):
@@ -47,46 +59,47 @@ def lzw(data: bytes) -> bytes:
             if last is not None:
                 table.append(last + entry[:1])
             last = entry
-            if len(table) + 1 >= 1 << width and width < 12:
-                width += 1
-    return b"".join(out)
+        if len(special):
+            if codes[stop] == 257:
+                return b"".join(out)
+            at, run, table, last = int(ends[stop]), 0, list(first), None
+        elif n < _RUN:
+            return b"".join(out)
+        else:
+            at, run = int(ends[-1]), run + n
 
 
 def lzw_encode(data: bytes) -> bytes:
     """LZW codes that ``lzw`` reads."""
-    known, width, held, bits, out = {bytes([i]): i for i in range(256)}, 9, 0, 0, bytearray()
-
-    def put(code: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-            held &= (1 << bits) - 1
-
-    put(256)
-    own, size = b"", 258
-    for i in range(len(data)):
-        longer = own + data[i : i + 1]
-        if longer in known:
+    codes, widths, known, width, size, own = [256], [9], {}, 9, 258, -1
+    for byte in data:
+        if own < 0:
+            own = byte
+            continue
+        longer = known.get(own << 8 | byte)
+        if longer is not None:
             own = longer
             continue
-        put(known[own])
-        known[longer], size = size, size + 1
-        if size >= (1 << width) and width < 12:
+        codes.append(own)
+        widths.append(width)
+        known[own << 8 | byte], size, own = size, size + 1, byte
+        if size >= 1 << width and width < 12:
             width += 1
         if size >= 4094:
-            put(256)
-            known, width, size = {bytes([i]): i for i in range(256)}, 9, 258
-        own = data[i : i + 1]
-    if own:
-        put(known[own])
-        if size + 1 >= (1 << width) and width < 12:
+            codes.append(256)
+            widths.append(width)
+            known, width, size = {}, 9, 258
+    if own >= 0:
+        codes.append(own)
+        widths.append(width)
+        if size + 1 >= 1 << width and width < 12:
             width += 1
-    put(257)
-    if bits:
-        out.append(held << (8 - bits) & 255)
-    return bytes(out)
+    codes.append(257)
+    widths.append(width)
+    w = np.array(widths)[:, None]
+    place = np.arange(12)[None, :]
+    ones = (np.array(codes)[:, None] >> np.maximum(w - 1 - place, 0)) & 1
+    return np.packbits(ones[place < w].astype(np.uint8)).tobytes()
 
 
 def up_rows(data: bytes, columns: int) -> bytes:
