@@ -7,8 +7,6 @@ queries then run are the engine's own operators.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,8 +17,9 @@ from .functions.crypto import aes_cbc, rc4
 from .operators import relational
 from .plans import extract, layout
 from .session import reach_workers
-from .sources.pdf import read_pdfs
+from .sources.pdf import read_pdfs, write_files
 from .sources.writer import LINES_A_PAGE, PdfWriter, encrypt_entry, escaped, file_key, object_key, rc4_encrypt, simple_pdf, text_pdf
+from .storage import removed_at_exit, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -179,10 +178,10 @@ def pdf_aes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of files, one a nation, read as a source."""
-    folder = tempfile.mkdtemp(prefix="nations-")
-    for r in _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect():  # a small table
-        with open(os.path.join(folder, f"{r['n_nationkey']}.pdf"), "wb") as f:
-            f.write(text_pdf(r["n_name"]))
+    folder = scratch(spark, "nations")
+    nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()  # a small table
+    write_files(spark, folder, {f"{r['n_nationkey']}.pdf": text_pdf(r["n_name"]) for r in nations})
+    removed_at_exit(spark, folder)
     got = extract.extract_text(read_pdfs(spark, folder))
     return got.select(F.regexp_extract("doc_id", r"(\d+)\.pdf$", 1).cast("int").alias("n_nationkey"), "text")
 

@@ -22,3 +22,13 @@ def stream_pdfs(spark: SparkSession, path: str, glob: str = "*.pdf", per_trigger
 def from_column(df: DataFrame, content: str, doc_id: str) -> DataFrame:
     """Any DataFrame with a binary column, in the shape the engine reads."""
     return df.select(F.col(doc_id).cast("string").alias("path"), F.col(content).alias("content"))
+
+
+def write_files(spark: SparkSession, folder: str, files: dict[str, bytes]) -> None:
+    """A few files by name, from the driver, in any file system that Spark reaches."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    system = paths(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for name, content in files.items():
+        out = system.create(paths(folder, name))
+        out.write(bytearray(content))
+        out.close()
