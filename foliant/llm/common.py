@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import reach_workers
 from ..storage import materialize, removed_at_exit, scratch
 
-__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "fit_in_task", "learns", "materialize", "removed_at_exit", "scratch", "table"]
+__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "fit_in_task", "lean", "learns", "materialize", "removed_at_exit", "scratch", "table"]
 
 #: ASCII white space of the word and line contracts: space and 0x09-0x0D.
 SPACES = " \t\n\x0b\f\r"
@@ -19,6 +20,25 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def _free() -> None:
+    """Returns memory that allocators hold back, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; at a task's end the worker gives back what it doesn't need."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _free()
+
+    return whole
+
+
 def fit_in_task(rows: DataFrame, fit: Callable[[pa.Table], object]) -> object | None:
     """``fit`` of all ``rows``, a sample or table of bounded size, run in one executor
     task, where numpy has one thread; None if there are no rows."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import fit_in_task, learns, table
+from .common import fit_in_task, lean, learns, table
 from .words import blocks
 
 HIDDEN = 8
@@ -343,7 +343,7 @@ def predict(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_
 
     rows = docs.select(F.col("text").alias("_text"), *[F.col(f"`{c}`") for c in keep])
     schema = StructType([*rows.schema.fields[1:], StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def fitted(docs: DataFrame, reject: bool = False) -> Network | None:

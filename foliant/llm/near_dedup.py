@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialize, table
+from .common import lean, materialize, table
 from .words import LOWER, blocks, grouped, mixed, spans, strong_hashes
 
 #: Words of a shingle: the default, and the most there can be.
@@ -154,7 +154,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 )
 
     schema = "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, signature binary"
-    return docs.select(F.col("doc_id").cast("long"), "text", _text_hash()).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", _text_hash()).mapInArrow(lean(run), schema)
 
 
 def _text_hash() -> Column:
@@ -174,7 +174,7 @@ def _keys(classes: DataFrame) -> DataFrame:
                 reps = np.repeat(part.column(0).to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(reps)], ["key", "rep"])
 
-    return classes.select("rep", "signature").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "signature").mapInArrow(lean(run), "key long, rep long")
 
 
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -189,7 +189,7 @@ def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int)
                 each = [g[s:e].tobytes() for s, e in zip(np.r_[0, upto[:-1]], upto)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(ends)), pa.array(each, pa.binary())], ["rep", "set"])
 
-    return materialize(texts.mapInArrow(run, "rep long, set binary").dropDuplicates(["rep"]), "near-sets")
+    return materialize(texts.mapInArrow(lean(run), "rep long, set binary").dropDuplicates(["rep"]), "near-sets")
 
 
 def alike(p: np.ndarray, q: np.ndarray) -> bool:
@@ -214,7 +214,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
 
     one = found.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
     two = found.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def _parts(n: Column) -> Column:
@@ -310,7 +310,7 @@ def _candidate_trees(split: DataFrame) -> DataFrame:
             edges = _forest(np.concatenate(a), np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in edges], ["a", "b"])
 
-    return cells.select("key", "lo", "hi", "label", "part", "signature").mapInArrow(run, "a long, b long").distinct()
+    return cells.select("key", "lo", "hi", "label", "part", "signature").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -364,7 +364,7 @@ def _linked_trees(families: DataFrame) -> DataFrame:
             edges = _forest(np.concatenate(a), np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in edges], ["a", "b"])
 
-    return cells.select("family", "lo", "hi", "label", "part", "signature", "set").mapInArrow(run, "a long, b long").distinct()
+    return cells.select("family", "lo", "hi", "label", "part", "signature", "set").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
@@ -387,7 +387,7 @@ def _joined(edges: DataFrame) -> DataFrame:
             label, node = _forest(*(np.concatenate(x) for x in zip(*both)))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label)], ["node", "label"])
 
-    return edges.coalesce(1).mapInArrow(run, "node long, label long")
+    return edges.coalesce(1).mapInArrow(lean(run), "node long, label long")
 
 
 def contracted(edges: DataFrame) -> DataFrame:

@@ -24,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import materialize, table
+from .common import lean, materialize, table
 from .words import SHORT, blocks, grouped, spans
 
 SEQ_LEN = 4096
 END_ID = 1
 SALTS = 1024
 #: Words and units whose ids a worker remembers at most.
-CACHE_WORDS, CACHE_UNITS = 1_000_000, 100_000
+CACHE_WORDS, CACHE_UNITS = 500_000, 50_000
 
 #: The tokenizer's own split of such text, in lower case; words end in line feeds.
 _UNITS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^ \t\n\r\f\va-z0-9ß-öø-ÿ]+")
@@ -200,7 +200,7 @@ def pieces(docs: DataFrame, *, path: str | None = None, seq_len: int = SEQ_LEN,
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(cut), schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -321,7 +321,7 @@ def pack(cut: DataFrame, *, seq_len: int = SEQ_LEN, salts: int = SALTS) -> DataF
             yield pa.RecordBatch.from_arrays(keep + named, [n for n in b.schema.names if n != "_rank"] + ["sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place), schema)
 
 
 def packed_documents(docs: DataFrame, **options) -> DataFrame:

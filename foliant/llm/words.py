@@ -40,18 +40,19 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse, as far as asked for."""
+    """Powers of an odd base modulo 2^64 and of its inverse, kept for blocks of usual size."""
 
     def __init__(self):
         self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = n + n // 8
-            inverse = pow(_BASE, -1, 1 << 64)
-            self.up = np.multiply.accumulate(np.r_[_U(1), np.full(size - 1, _BASE, np.uint64)])
-            self.down = np.multiply.accumulate(np.r_[_U(1), np.full(size - 1, inverse, np.uint64)])
-        return self.up[:n], self.down[:n]
+        if len(self.up) >= n:
+            return self.up[:n], self.down[:n]
+        inverse = pow(_BASE, -1, 1 << 64)
+        both = [np.multiply.accumulate(np.r_[_U(1), np.full(n - 1, b, np.uint64)]) for b in (_BASE, inverse)]
+        if n <= 2 * BLOCK:
+            self.up, self.down = both
+        return both[0], both[1]
 
 
 _powers = _Powers()
