@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from foliant.llm import language_id, line_dedup, mixing, near_dedup, packing
 from foliant.llm.common import materialize, table
 
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with text in a learned language: those without a letter and those that
     the network rejects go. A null ``lang`` gets the predicted one. Every learned language
