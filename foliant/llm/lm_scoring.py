@@ -26,8 +26,9 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,19 +36,22 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fit_in_task, learns, materialize, table
+from .common import fit_in_task, lean, learns, materialize, table
 
 MODULUS, LEFT_OUT = 7, 2
-OWN_CLASSES = 103
+#: Classes only split the work of normalising: 64 of them keep a table of contexts, 64³
+#: floats, in a core's cache; the words of a class are told apart by groups and vectors.
+OWN_CLASSES = 39
 SHAPES = 24
 CLASSES = OWN_CLASSES + SHAPES + 1  # and the end
 END = CLASSES - 1
 #: Words that are looked up without a shuffle: the most frequent of those that make up
-#: one in SPARE * FREQUENT tokens or more and have at most WIDEST bytes, so that what is
-#: broadcast has a bound.
+#: one in SPARE * FREQUENT tokens or more. Words of over WIDEST bytes are known by a
+#: cryptographic hash, so that what is broadcast has a bound.
 FREQUENT, SPARE, WIDEST = 30_000, 20, 64
-#: The vocabulary has up to GROWTH * sqrt(N) words, and FREQUENT at least.
-GROWTH = 10
+#: The vocabulary has up to GROWTH * sqrt(N) words, FREQUENT at least, and MOST at most: what
+#: is broadcast with it, some 300 bytes a word, has that bound. Counts of all words are kept.
+GROWTH, MOST = 10, 1_000_000
 DIMENSIONS, NOISE, STEPS, BATCH, RATE = 24, 12, 1500, 1024, 0.05
 #: Words a counting task holds before it passes their counts on, and words whose class
 #: a worker remembers.
@@ -55,8 +59,12 @@ HELD = 300_000
 #: Word vectors: dimensions, noise words a decision, passes over all trigrams, trigrams a
 #: step, rate, and what damps the rate of vectors that were met little.
 WIDTH, DRAWN, PASSES, TOGETHER, WORD_RATE, DAMPING = 16, 4, 1, 8192, 0.15, 0.02
-#: Vectors of a row as they are averaged, tokens that are scored at a time.
-SLAB, SCORED = 1024, 1 << 15
+#: Bytes of ids a trainer has for each byte of its vectors; groups in which the trainers'
+#: vectors are added up before they are averaged.
+SHARE, SUMMED = 10, 256
+#: Vectors of a row as they are averaged, tokens that are scored at a time, and of these the
+#: tokens whose classes are.
+SLAB, SCORED, CLASSED = 1024, 1 << 18, 4096
 
 def shape(word: bytes) -> int:
     """The class, of SHAPES, of a word that has none of its own: length, last byte, and
@@ -67,7 +75,10 @@ def shape(word: bytes) -> int:
 
 
 def tokens(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()  # for bytes: A-Z, and white space 0x20, 0x09-0x0D
+    words = (text or b"").lower().split()  # for bytes: A-Z, and white space 0x20, 0x09-0x0D
+    if words and max(map(len, words)) > WIDEST:
+        words = [w if len(w) <= WIDEST else b"\xff" + hashlib.sha256(w).digest() + w[-1:] for w in words]  # no text holds 0xFF
+    return words
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -88,7 +99,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     held.clear()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(lean(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
@@ -103,29 +114,13 @@ class Vocabulary:
 
     def __post_init__(self):
         self.own = {w: i for i, w in enumerate(list(self.counts)[:OWN_CLASSES])}
-        self._classes = dict(self.own)
-
-    def class_of(self, words: list[bytes]) -> list[int]:
-        known = self._classes
-        try:
-            return [known[w] for w in words]
-        except KeyError:
-            out = []
-            for w in words:
-                c = known.get(w)
-                if c is None:
-                    c = OWN_CLASSES + shape(w)
-                    if len(known) < HELD:
-                        known[w] = c
-                out.append(c)
-            return out
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = max(frequent, int(GROWTH * n**0.5))
+    frequent = min(max(frequent, int(GROWTH * n**0.5)), MOST)
     least = n / (SPARE * frequent)  # so at most SPARE * frequent words are ordered, however many there are
-    top = counts.filter((F.col("word") != F.lit(b"")) & (F.col("c") >= least) & (F.octet_length("word") <= WIDEST)).orderBy(F.col("c").desc(), "word").limit(frequent).collect()
+    top = counts.filter((F.col("word") != F.lit(b"")) & (F.col("c") >= least)).orderBy(F.col("c").desc(), "word").limit(frequent).collect()
     return Vocabulary({bytes(r["word"]): r["c"] for r in top}, n, v)
 
 
@@ -142,39 +137,29 @@ def class_sizes(counts: DataFrame, vocab: Vocabulary) -> np.ndarray:
             sums += np.bincount(k[k >= 0], c[k >= 0] + 1, CLASSES).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES, dtype=np.int32)), pa.array(sums)], ["k", "n"])
 
-    rows = counts.select("word", "c").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # CLASSES rows
+    rows = counts.select("word", "c").mapInArrow(lean(run), "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # CLASSES rows
     out = np.ones(CLASSES)
     for r in rows:
         out[r["k"]] += r["n"]
     return out
 
 
-def trigrams(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """code, n: counts of class trigrams over all rows of ``docs``; END stands before a
+def trigrams(encoded: DataFrame, tree: "Tree") -> DataFrame:
+    """code, n: counts of class trigrams over all rows of ``encoded``; END stands before a
     text too. At most CLASSES^3 rows, however many documents there are."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    shared = encoded.sparkSession.sparkContext.broadcast(tree.cls)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(CLASSES**3, np.int64)
-        own = shared.value
         for b in batches:
-            seq: list[int] = []
-            ends = []
-            for t in b.column(0).cast(pa.binary()):
-                seq += [END, END]
-                seq += own.class_of(tokens(t.as_py()))
-                seq.append(END)
-                ends.append(len(seq))
-            if seq:
-                s = np.array(seq, np.int64)
-                code = (s[:-2] * CLASSES + s[1:-1]) * CLASSES + s[2:]
-                real = np.ones(len(s), bool)
-                real[np.array(ends) - 1] = real[np.array(ends) - 2] = False  # across two texts
-                sums += np.bincount(code[real[:-2]], minlength=CLASSES**3)
+            for _, seq, starts, lengths in _laid(b.column(0), len(shared.value) - 1, SCORED):
+                k = shared.value[seq].astype(np.int64)
+                code = (k[:-2] * CLASSES + k[1:-1]) * CLASSES + k[2:]
+                sums += np.bincount(code[_targets(starts, lengths) - 2], minlength=CLASSES**3)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["code", "n"])
 
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(lean(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def dense(codes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -233,6 +218,20 @@ def train(counts: np.ndarray, *, steps: int = STEPS, seed: int = 2) -> np.ndarra
     return s.reshape(counts.shape).astype(np.float32)
 
 
+def _alias(weights: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Walker's alias table of nodes ``first`` on: (share that stays, which one else)."""
+    keep, other = weights / weights.sum() * len(weights), np.arange(first, first + len(weights))
+    less, more = [i for i, k in enumerate(keep) if k < 1], [i for i, k in enumerate(keep) if k >= 1]
+    while less and more:
+        i, j = less.pop(), more[-1]
+        other[i] = first + j
+        keep[j] -= 1 - keep[i]
+        if keep[j] < 1:
+            less.append(more.pop())
+    keep[less + more] = 1
+    return keep, other
+
+
 @dataclass
 class Tree:
     """The vocabulary's words, by id: their order in the vocabulary, then what is left of
@@ -245,7 +244,8 @@ class Tree:
     scope: np.ndarray  # (2, ids): the nodes' scopes
     bounds: np.ndarray  # (scopes + 1,)
     prior: np.ndarray  # (nodes,) natural log of the smoothed share within the scope
-    cumulated: np.ndarray  # (nodes,) scope + the share of its nodes up to this one
+    keeps: np.ndarray  # (nodes,) and
+    others: np.ndarray  # (nodes,): alias tables that draw a scope's nodes by their shares
     log_rest: np.ndarray  # (ids,) log10 of the smoothed size of a rest; 0 for others
 
     @classmethod
@@ -273,19 +273,22 @@ class Tree:
         bounds = np.r_[0, np.cumsum([len(x) for x in shares])]
         for g, p in enumerate(groups):
             node[1, p] = bounds[SHAPES + g] + np.arange(len(p))
-        cumulated = [i + np.cumsum(x) / x.sum() for i, x in enumerate(shares)]
-        for i, x in enumerate(cumulated):
-            x[-1] = i + 1
-        return cls({w: i for i, w in enumerate(words)}, of, node, scope, bounds, np.concatenate([np.log(x / x.sum()) for x in shares]).astype(np.float32), np.concatenate(cumulated), log_rest)
+        keeps, others = zip(*(_alias(x, lo) for x, lo in zip(shares, bounds.tolist())))
+        prior = np.concatenate([np.log(x / x.sum()) for x in shares]).astype(np.float32)
+        return cls({w: i for i, w in enumerate(words)}, of, node, scope, bounds, prior, np.concatenate(keeps), np.concatenate(others), log_rest)
+
+    def drawn(self, scopes: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+        """(scopes, n) nodes drawn from each scope by their shares."""
+        first = self.bounds[scopes][:, None]
+        u = rng.random((len(scopes), n)) * (self.bounds[scopes + 1][:, None] - first)
+        whole = u.astype(np.int64)
+        at = first + whole
+        return np.where(u - whole < self.keeps[at], at, self.others[at])
 
     @property
     def end(self) -> int:
         return len(self.cls) - 1
 
-    def ids_of(self, words: list[bytes]) -> list[int]:
-        known, rest = self.ids, len(self.ids)
-        return [i if (i := known.get(w)) is not None else rest + shape(w) for w in words]
-
 
 @dataclass
 class Vectors:
@@ -312,27 +315,44 @@ class Vectors:
 
 def _picked_log(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural log-probability of ``at`` under the scores ``z``, normalised by row."""
+    np.minimum(z, 80, out=z)  # what exp can take
     picked = z[np.arange(len(z)), at]
+    total = np.exp(z) @ np.ones(z.shape[1], z.dtype)
+    if total.min() > 1e-30:
+        return picked - np.log(total)
     most = z.max(axis=1)
-    z -= most[:, None]
-    np.exp(z, out=z)
-    return picked - most - np.log(z.sum(axis=1))
+    return picked - most - np.log(np.exp(z - most[:, None]).sum(axis=1))
+
+
+def _by_scope(node: np.ndarray, scope: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """(rows, cuts, scopes): rows that have a node, by scope; cuts between the scopes."""
+    rows = np.flatnonzero(node >= 0)
+    key = np.sort(scope[rows].astype(np.int64) << 32 | rows)
+    rows, own = key & 0xFFFFFFFF, key >> 32
+    begins = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    return rows, [*begins.tolist(), len(rows)], own[begins].tolist()
 
 
 def log_next(tree: Tree, vectors: Vectors, log_class: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """log10 of the class, group and word of ids ``c`` after ``a`` and ``b``; of a rest it
-    is that of the whole rest. log_class: the base, log10."""
+    is that of the whole rest. log_class: the base, natural logarithms."""
     x = vectors.ahead(a, b)
-    out = _picked_log(log_class[tree.cls[a], tree.cls[b]] * np.float32(np.log(10)) + x @ vectors.classes.T, tree.cls[c]).astype(np.float64)
+    context, to = tree.cls[a] * CLASSES + tree.cls[b], tree.cls[c]
+    out, base = np.empty(len(c)), log_class.reshape(CLASSES * CLASSES, CLASSES)
+    for lo in range(0, len(c), CLASSED):
+        z = x[lo : lo + CLASSED] @ vectors.classes.T
+        z += base[context[lo : lo + CLASSED]]
+        out[lo : lo + CLASSED] = _picked_log(z, to[lo : lo + CLASSED])
     for node, scope in zip(tree.node, tree.scope):
-        rows = np.flatnonzero(node[c] >= 0)
-        rows = rows[np.argsort(scope[c[rows]], kind="stable")]
-        own = scope[c[rows]]
-        cuts = np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), len(rows)] if len(rows) else [0]
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            r, first, last = rows[lo:hi], tree.bounds[own[lo]], tree.bounds[own[lo] + 1]
+        rows, cuts, scopes = _by_scope(node[c], scope[c])
+        ahead, at, added = x[rows], node[c[rows]], np.zeros(len(rows), np.float32)
+        for lo, hi, k in zip(cuts, cuts[1:], scopes):
+            first, last = tree.bounds[k], tree.bounds[k + 1]
             if last - first > 1:
-                out[r] += _picked_log(x[r] @ vectors.nodes[first:last].T + tree.prior[first:last], node[c[r]] - first)
+                z = ahead[lo:hi] @ vectors.nodes[first:last].T
+                z += tree.prior[first:last]
+                added[lo:hi] = _picked_log(z, at[lo:hi] - first)
+        out[rows] += added
     return out / np.log(10)
 
 
@@ -342,85 +362,143 @@ class Trainer:
     def __init__(self, tree: Tree, vectors: Vectors, log_class: np.ndarray, seed: int):
         self.tree, self.rng = tree, np.random.default_rng(seed)
         self.vectors = Vectors(*[x.copy() for x in vectors.all()])
-        self.base = np.exp(log_class * np.float32(np.log(10)))
+        self.noise = (np.exp(log_class) * NOISE).reshape(CLASSES * CLASSES, CLASSES)
+        self.group_noise = np.exp(tree.prior) * np.float32(DRAWN)
         self.met = [np.zeros(len(x), np.float32) for x in self.vectors.all()]
         self.squares = [np.full(len(x), DAMPING, np.float32) for x in self.vectors.all()]
 
     def _move(self, which: int, at: np.ndarray | slice, gradient: np.ndarray, n: np.ndarray | float) -> None:
-        squares = self.squares[which]
-        squares[at] += (gradient * gradient).mean(axis=1)
-        self.vectors.all()[which][at] -= WORD_RATE * gradient / np.sqrt(squares[at])[:, None]
+        squares = self.squares[which][at] + np.einsum("nd,nd->n", gradient, gradient) / np.float32(WIDTH)
+        self.squares[which][at] = squares
+        gradient *= (np.float32(-WORD_RATE) / np.sqrt(squares))[:, None]
+        self.vectors.all()[which][at] += gradient
         self.met[which][at] += n
 
-    def _scatter(self, which: int, at: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(at, kind="stable")
-        sorted_at = at[order]
-        first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]])
-        self._move(which, sorted_at[first], np.add.reduceat(gradient[order], first, axis=0), np.diff(np.r_[first, len(at)]))
+    def _scatter(self, which: int, at: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Moves vectors ``at`` by the sums of their rows of ``gradient`` (of given rows)."""
+        key = np.sort(at.astype(np.int64) << 32 | np.arange(len(at)))
+        order, at = key & 0xFFFFFFFF, key >> 32
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        self._move(which, at[first], np.add.reduceat(gradient(order), first, axis=0), np.diff(np.r_[first, len(at)]))
 
     def step(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
-        tree, v = self.tree, self.vectors
-        x = v.ahead(a, b)
-        # classes: the noise's expectation is summed over all of them instead of drawn
-        p = 1 / (1 + np.exp(np.float32(np.log(NOISE)) - np.clip(x @ v.classes.T, -30, 30)))
-        at = (np.arange(len(c)), tree.cls[c])
-        hit = p[at]
-        p *= self.base[tree.cls[a], tree.cls[b]]
-        p *= NOISE
-        p[at] += hit - 1
+        """Of classes, and of the groups of a class, the noise's expectation is summed over
+        all of them; noise words of a group are drawn."""
+        tree, v, n = self.tree, self.vectors, len(c)
+        before_a, before_b = v.before[a], v.before[b]
+        x = before_a * v.factors[0] + before_b * v.factors[1]
+        p, at = _is_data(x @ v.classes.T, NOISE), (np.arange(n), tree.cls[c])
+        hit = p[at] - 1
+        p *= self.noise[tree.cls[a] * CLASSES + tree.cls[b]]
+        p[at] += hit
         d_x, d_classes = p @ v.classes, p.T @ x
-        todo = []
-        for node, scope in zip(tree.node, tree.scope):
-            rows = np.flatnonzero(node[c] >= 0)
-            if not len(rows):
-                continue
-            own = scope[c[rows]]
-            drawn = np.searchsorted(tree.cumulated, own[:, None] + self.rng.random((len(rows), DRAWN)), "right")
-            each = np.concatenate([node[c[rows]][:, None], np.minimum(drawn, tree.bounds[own + 1][:, None] - 1)], 1)
-            q, ahead = v.nodes[each], x[rows]
-            d = 1 / (1 + np.exp(np.float32(np.log(DRAWN)) - np.clip(np.matmul(q, ahead[:, :, None])[..., 0], -30, 30)))
+
+        rows, cuts, scopes = _by_scope(tree.node[0][c], tree.scope[0][c])
+        ahead, to = x[rows], tree.node[0][c[rows]]
+        back = np.zeros_like(ahead)
+        for lo, hi, k in zip(cuts, cuts[1:], scopes):
+            first, last = int(tree.bounds[k]), int(tree.bounds[k + 1])
+            if last - first > 1:
+                nodes, at = v.nodes[first:last], (np.arange(hi - lo), to[lo:hi] - first)
+                p = _is_data(ahead[lo:hi] @ nodes.T, DRAWN)
+                hit = p[at] - 1
+                p *= self.group_noise[first:last]
+                p[at] += hit
+                back[lo:hi] = p @ nodes
+                self._move(3, slice(first, last), p.T @ ahead[lo:hi], np.float32(hi - lo) / (last - first))
+        d_x[rows] += back
+
+        rows = np.flatnonzero(tree.node[1][c] >= 0)
+        if len(rows):
+            own, ahead = c[rows], x[rows]
+            each = np.concatenate([tree.node[1][own][:, None], tree.drawn(tree.scope[1][own], DRAWN, self.rng)], 1)
+            q = v.nodes[each]
+            d = _is_data(np.einsum("nkd,nd->nk", q, ahead), DRAWN)
             d[:, 0] -= 1
-            d_x[rows] += np.matmul(d[:, None, :], q)[:, 0]
-            todo.append((each.ravel(), (d[:, :, None] * ahead[:, None, :]).reshape(-1, WIDTH)))
-        d_factors = np.stack([(d_x * v.before[a]).sum(axis=0), (d_x * v.before[b]).sum(axis=0)])
-        self._scatter(0, np.r_[a, b], np.concatenate([d_x * v.factors[0], d_x * v.factors[1]]))
-        self._move(1, slice(None), d_factors, len(c))
-        self._move(2, slice(None), d_classes, len(c))
-        if todo:
-            self._scatter(3, np.concatenate([t[0] for t in todo]), np.concatenate([t[1] for t in todo]))
-
-
-def _laid(texts: pa.Array, tree: Tree, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]]:
-    """(first text, ids with two ends before every text and one after, where each text's
-    tokens start, their numbers, words) of consecutive texts of ``size`` tokens or more."""
-    first, seq, starts, lengths, kept = 0, [], [], [], []
-    for i, t in enumerate(texts):
-        words = tokens(t.as_py())
-        starts.append(len(seq) + 2)
-        seq += [tree.end, tree.end]
-        seq += tree.ids_of(words)
-        seq.append(tree.end)
-        lengths.append(len(words) + 1)
-        kept.append(words)
-        if len(seq) >= size or i == len(texts) - 1:
-            yield first, np.array(seq), np.array(starts), np.array(lengths), kept
-            first, seq, starts, lengths, kept = i + 1, [], [], [], []
+            d_x[rows] += np.einsum("nk,nkd->nd", d, q)
+            d = d.ravel()
+            self._scatter(3, each.ravel(), lambda order: ahead[order // (DRAWN + 1)] * d[order][:, None])
+        d_factors = np.stack([np.einsum("nd,nd->d", d_x, before_a), np.einsum("nd,nd->d", d_x, before_b)])
+        both = np.concatenate([d_x * v.factors[0], d_x * v.factors[1]])
+        self._scatter(0, np.r_[a, b], lambda order: both[order])
+        self._move(1, slice(None), d_factors, n)
+        self._move(2, slice(None), d_classes, n)
+
+
+def _is_data(scores: np.ndarray, noise: int) -> np.ndarray:
+    """The probability of being data and not noise, of ratios of the two in logarithms."""
+    np.clip(scores, -30, 30, out=scores)
+    np.subtract(np.float32(np.log(noise)), scores, out=scores)
+    np.exp(scores, out=scores)
+    scores += 1
+    return np.reciprocal(scores, out=scores)
+
+
+def encoded(docs: DataFrame, tree: Tree) -> DataFrame:
+    """row, the columns of ``docs`` but text, ids (int32, the end's last), and the words
+    that aren't in the vocabulary (rare) with how often each occurs (times); stored, so that
+    texts are split once for counting classes, training and scoring."""
+    keys = [c for c in docs.columns if c != "text"]
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, row = shared.value, TaskContext.get().partitionId() << 33
+        v, known, end = len(own.ids), own.ids, own.end
+        for b in batches:
+            ids, rare, times = [], [], []
+            for t in b.column(0).cast(pa.binary()):
+                words = tokens(t.as_py())
+                found = list(map(known.get, words))
+                few: dict = {}
+                if None in found:
+                    few = Counter([w for w, i in zip(words, found) if i is None])
+                    found = [v + shape(w) if i is None else i for w, i in zip(words, found)]
+                found.append(end)
+                ids.append(np.array(found, np.int32).tobytes())
+                rare.append(list(few))
+                times.append(list(few.values()))
+            cols = [pa.array(np.arange(row, row + len(ids))), *b.columns[1:], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays(cols, ["row", *keys, "ids", "rare", "times"])
+
+    schema = "row long, " + "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keys) + "ids binary, rare array<binary>, times array<int>"
+    return materialize(docs.select("text", *keys).mapInArrow(lean(run), schema), "lm-ids")
+
+
+def _laid(ids: pa.Array, end: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, ids with two ends before every text, where each text's tokens start,
+    their numbers) of consecutive texts of ``size`` tokens or more."""
+    first, parts, held, edge = 0, [], 0, np.array([end, end], np.int32)
+    for i, x in enumerate(ids):
+        parts.append(np.frombuffer(x.as_buffer(), np.int32))
+        held += len(parts[-1])
+        if held >= size or i == len(ids) - 1:
+            lengths = np.array([len(p) for p in parts])
+            seq = np.concatenate([y for p in parts for y in (edge, p)])
+            yield first, seq, np.cumsum(lengths + 2) - lengths, lengths
+            first, parts, held = i + 1, [], 0
 
 
 def _targets(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
 
 
-def learn(docs: DataFrame, tree: Tree, log_class: np.ndarray, passes: int = PASSES) -> Vectors:
-    """Vectors trained on all trigrams of all rows of ``docs``, ``passes`` times."""
-    vectors = Vectors.start(tree)
+def learn(encoded: DataFrame, tree: Tree, log_class: np.ndarray, passes: int = PASSES) -> Vectors:
+    """Vectors trained on all trigrams of all rows of ``encoded``, ``passes`` times.
+
+    Every trainer returns its vectors, so each takes SHARE times their bytes of ids at least,
+    if that leaves a trainer for every core: what is shuffled stays a small part of the input."""
+    vectors, rows = Vectors.start(tree), encoded.select("ids")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
+    trainers = max(encoded.sparkSession.sparkContext.defaultParallelism, size // (SHARE * sum(x.nbytes for x in vectors.all())))
+    shares = rows.coalesce(trainers)
     for n in range(passes):
-        shared = docs.sparkSession.sparkContext.broadcast((tree, vectors, log_class))
+        shared = encoded.sparkSession.sparkContext.broadcast((tree, vectors, log_class))
 
         def run(batches: Iterator[pa.RecordBatch], n: int = n, shared=shared) -> Iterator[pa.RecordBatch]:
             part, trainer = TaskContext.get().partitionId(), None
             for b in batches:
-                for _, seq, starts, lengths, _ in _laid(b.column(0).cast(pa.binary()), shared.value[0], TOGETHER * 8):
+                for _, seq, starts, lengths in _laid(b.column(0), shared.value[0].end, TOGETHER * 8):
                     trainer = trainer or Trainer(*shared.value, seed=part * 1000 + n)
                     at = trainer.rng.permutation(_targets(starts, lengths))
                     for lo in range(0, len(at), TOGETHER):
@@ -431,19 +509,27 @@ def learn(docs: DataFrame, tree: Tree, log_class: np.ndarray, passes: int = PASS
                     m = met[slab : slab + SLAB]
                     if m.any():
                         both = np.concatenate([x[slab : slab + SLAB] * m[:, None], m[:, None]], 1)
-                        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([which], pa.int32()), pa.array([slab], pa.int64()), pa.array([both.tobytes()], pa.binary())], ["part", "which", "slab", "sums"])
+                        yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([slab], pa.int64()), pa.array([part], pa.int32()), pa.array([both.tobytes()], pa.binary())], ["which", "slab", "part", "sums"])
 
         def added(t: pa.Table) -> pa.Table:
             t = t.sort_by("part")  # so that sums are the same each time
             total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in t.column("sums"))
-            return pa.table({"which": t.column("which")[:1], "slab": t.column("slab")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+            return pa.table({"which": t.column("which")[:1], "slab": t.column("slab")[:1], "part": t.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+        def averaged(t: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(x.as_py(), np.float64) for x in t.sort_by("part").column("sums")).reshape(-1, WIDTH + 1)
+            mean = (total[:, :-1] / np.maximum(total[:, -1:], 1e-9)).astype(np.float32)
+            mean[total[:, -1] == 0] = np.nan
+            return pa.table({"which": t.column("which")[:1], "slab": t.column("slab")[:1], "mean": pa.array([mean.tobytes()], pa.binary())})
 
-        rows = docs.select("text").mapInArrow(run, "part int, which int, slab long, sums binary")
+        schema = "which int, slab long, part int, sums binary"
+        rows = shares.mapInArrow(lean(run), schema)
+        sums = rows.groupBy("which", "slab", F.col("part") % SUMMED).applyInArrow(added, schema)
         new = Vectors(*[x.copy() for x in vectors.all()])
-        for r in rows.groupBy("which", "slab").applyInArrow(added, "which int, slab long, sums binary").collect():
-            both = np.frombuffer(bytes(r["sums"]), np.float64).reshape(-1, WIDTH + 1)
-            met = both[:, -1] > 0
-            new.all()[r["which"]][r["slab"] : r["slab"] + SLAB][met] = both[met, :-1] / both[met, -1:]
+        for r in sums.groupBy("which", "slab").applyInArrow(averaged, "which int, slab long, mean binary").collect():
+            mean = np.frombuffer(bytes(r["mean"]), np.float32).reshape(-1, WIDTH)
+            met = ~np.isnan(mean[:, 0])
+            new.all()[r["which"]][r["slab"] : r["slab"] + SLAB][met] = mean[met]
         vectors = new
         shared.destroy()
     return vectors
@@ -452,66 +538,54 @@ def learn(docs: DataFrame, tree: Tree, log_class: np.ndarray, passes: int = PASS
 @dataclass
 class Model:
     vocab: Vocabulary
-    log_class: np.ndarray  # base: log10 of a class after two others
-    log_size: np.ndarray  # log10 of the class's smoothed size; 0 for a single word
+    log_class: np.ndarray  # base: natural logarithm of a class after two others
     tree: Tree
     vectors: Vectors
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of ``docs`` and its stored word counts."""
-    counts = materialize(word_counts(docs), "lm-counts")
+def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the rows of ``docs`` (doc_id, text, learns) that it may learn from, their
+    stored word counts, and all rows as ``encoded``."""
+    counts = materialize(word_counts(docs.filter("learns")), "lm-counts")
     vocab = vocabulary(counts)
-    sizes = class_sizes(counts, vocab)
-    tree = Tree.of(vocab, sizes)
-    sizes = np.log10(sizes)
-    sizes[:OWN_CLASSES] = 0
-    sizes[END] = 0
-    log_class = fit_in_task(trigrams(docs, vocab), lambda t: train(dense(t.column("code").to_numpy(), t.column("n").to_numpy())))
+    tree = Tree.of(vocab, class_sizes(counts, vocab))
+    rows = encoded(docs, tree)
+    may_learn = rows.filter("learns")
+    log_class = fit_in_task(trigrams(may_learn, tree), lambda t: train(dense(t.column("code").to_numpy(), t.column("n").to_numpy())))
     if log_class is None:
         log_class = train(np.zeros((CLASSES,) * 3, np.int64))
-    log_class = log_class / np.float32(np.log(10))
-    return Model(vocab, log_class, sizes, tree, learn(docs, tree, log_class)), counts
+    return Model(vocab, log_class, tree, learn(may_learn, tree, log_class)), counts, rows
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row of ``docs``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # the vocabulary with its vectors, and CLASSES^3 floats
+def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """doc_id, learns, n_tokens, n_known, base_score, score of all ``rows`` (as ``encoded``)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # the vocabulary with its vectors, and CLASSES^3 floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         tree, v = m.tree, len(m.tree.ids)
         freq = np.zeros(len(tree.cls))  # log10 of smoothed counts; rarer words' are joined
         freq[:v] = np.log10(np.fromiter(m.vocab.counts.values(), np.float64, v) + 1)
-        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            ids, rows, n, known, logs, lm, rare, times = b.column(0), [], [], [], [], [], [], []
-            for _, seq, starts, lengths, texts in _laid(b.column(1).cast(pa.binary()), tree, SCORED):
+            n, known, logs, lm = [], [], [], []
+            for _, seq, starts, lengths in _laid(b.column(3), tree.end, SCORED):
                 at = _targets(starts, lengths)
                 c = seq[at]
                 each = -tree.log_rest[c] - freq[c]
                 for lo in range(0, len(at), SCORED):
                     own = at[lo : lo + SCORED]
                     each[lo : lo + SCORED] += log_next(tree, m.vectors, m.log_class, seq[own - 2], seq[own - 1], seq[own])
-                begins, is_rare = np.cumsum(lengths) - lengths, (c >= v) & (c < tree.end)
-                few = [Counter([w for w, x in zip(words, is_rare[lo : lo + len(words)].tolist()) if x]) if is_rare[lo : lo + len(words)].any() else {} for lo, words in zip(begins, texts)]
-                rows += range(row, row + len(texts))
-                row += len(texts)
-                n += lengths.tolist()
-                known += [len(words) - sum(x.values()) for words, x in zip(texts, few)]
-                logs += np.add.reduceat(freq[c], begins).tolist()
-                lm += np.add.reduceat(each, begins).tolist()
-                rare += [list(x) for x in few]
-                times += [list(x.values()) for x in few]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), ids, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(lm, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))],
-                ["row", "doc_id", "n_tokens", "known", "logs", "lm", "rare", "times"],
-            )
-
-    schema = "row long, doc_id long, n_tokens long, known long, logs double, lm double, rare array<binary>, times array<int>"
-    read = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "lm-read")
-    each = read.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+                begins = np.cumsum(lengths) - lengths
+                n.append(lengths)
+                known.append(np.add.reduceat(c < v, begins, dtype=np.int64))
+                logs.append(np.add.reduceat(freq[c], begins))
+                lm.append(np.add.reduceat(each, begins))
+            cols = [pa.array(np.concatenate(x) if x else [], k) for x, k in ((n, pa.int64()), (known, pa.int64()), (logs, pa.float64()), (lm, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], ["row", "doc_id", "learns", "n_tokens", "known", "logs", "lm"])
+
+    schema = "row long, doc_id long, learns boolean, n_tokens long, known long, logs double, lm double"
+    read = rows.select("row", "doc_id", "learns", "ids").mapInArrow(lean(run), schema)
+    each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     hits = each.join(counts.filter(F.col("c") > 0), "word")
     sums = hits.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
     end = counts.filter(F.col("word") == F.lit(b"")).first()
@@ -519,8 +593,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     total, distinct = model.vocab.total, model.vocab.distinct
     whole = float(np.log10(total + distinct + 1))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    return read.drop("rare", "times").join(sums, "row", "left").select(
-        "doc_id", "n_tokens",
+    return read.join(sums, "row", "left").select(
+        "doc_id", "learns", "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(int(c_end > 0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (logs + F.lit(float(np.log10(c_end + 1))) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
@@ -530,8 +604,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    may_learn = learns(F.col("doc_id"), MODULUS, LEFT_OUT)
-    model, counts = fit(docs.filter(may_learn))
-    out = score(docs, model, counts)
-    return out.select("doc_id", (~learns(F.col("doc_id"), MODULUS, LEFT_OUT)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", learns(F.col("doc_id"), MODULUS, LEFT_OUT).alias("learns"))
+    model, counts, rows = fit(docs)
+    out = score(rows, model, counts)
+    return out.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -78,12 +78,12 @@ def test_language_id_on_hard_rows(spark, hard, none):
 
 def test_lm_base_scores_against_counts(spark, hard):
     learn = hard.filter("doc_id is null or doc_id <> 8")
-    model, counts = lm_scoring.fit(learn)
+    score = _lm(learn)[3]
     c = Counter()
     for r in learn.collect():
         c.update([*(r["text"] or "").encode().lower().split(), None])
     n, v = sum(c.values()), len(c)
-    got = lm_scoring.score(hard, model, counts).collect()
+    got = score(hard).collect()
     want = []
     for r in hard.collect():
         w = [*(r["text"] or "").encode().lower().split(), None]
@@ -91,25 +91,57 @@ def test_lm_base_scores_against_counts(spark, hard):
     assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def _lm(docs):
+    """The model of all ``docs``, its word counts, and what scores other documents by it."""
+    marked = lambda d: d.select(F.col("doc_id").cast("long"), "text", F.lit(True).alias("learns"))
+    model, counts, rows = lm_scoring.fit(marked(docs))
+    return model, counts, rows, lambda d: lm_scoring.score(lm_scoring.encoded(marked(d), model.tree), model, counts)
+
+
 def test_lm_counts_of_trigrams_and_normalisation(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", None, "", "a a b c", "zzz."] * 3)], "doc_id long, text string").repartition(2)
-    model, counts = lm_scoring.fit(docs)
-    vocab, end, want = model.vocab, lm_scoring.END, Counter()
+    model, counts, encoded, _ = _lm(docs)
+    own, end, want = model.vocab.own, lm_scoring.END, Counter()
     for r in docs.collect():
-        s = [end, end, *vocab.class_of(lm_scoring.tokens((r["text"] or "").encode())), end]
+        words = lm_scoring.tokens((r["text"] or "").encode())
+        s = [end, end, *(own.get(w, lm_scoring.OWN_CLASSES + lm_scoring.shape(w)) for w in words), end]
         want.update(zip(s, s[1:], s[2:]))
-    rows = lm_scoring.trigrams(docs, vocab).collect()
+    rows = lm_scoring.trigrams(encoded, model.tree).collect()
     k = lm_scoring.CLASSES
     assert {(r["code"] // k // k, r["code"] // k % k, r["code"] % k): r["n"] for r in rows} == dict(want)
-    assert np.allclose((10.0**model.log_class.astype(float)).sum(axis=2), 1, atol=1e-4)
-    # words of a class, and one that is unknown, share the class's probability
-    sizes = Counter()
-    for r in counts.collect():
-        w = bytes(r["word"])
-        if w and w not in vocab.own:
-            sizes[lm_scoring.OWN_CLASSES + lm_scoring.shape(w)] += r["c"] + 1
-    for c, n in sizes.items():
-        assert abs(model.log_size[c] - math.log10(n + 1)) < 1e-9
+    assert np.allclose(np.exp(model.log_class.astype(float)).sum(axis=2), 1, atol=1e-4)
+    assert not model.tree.log_rest.any()  # all words are in the vocabulary: unknown ones count 1
+
+
+def test_lm_scores_token_by_token(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}{'.' * (i % 3 == 0)}" for i in range(400)]
+    texts = [" ".join(words[int(x)] for x in rng.zipf(1.3, 40) % 400) for _ in range(120)]
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 150)
+    monkeypatch.setattr(lm_scoring.vocabulary, "__defaults__", (150,))
+    monkeypatch.setattr(lm_scoring, "GROWTH", 1)
+    model, counts, _, score = _lm(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    tree, v, c = model.tree, model.vectors, {bytes(r["word"]): r["c"] for r in counts.collect()}
+    assert 0 < len(tree.ids) < len(c) - 1  # some words are rare
+    asked = [*texts[:3], "never seen w1 words w399.", ""]
+    log = lambda z, i: float(z[i] - np.log(np.exp(z.astype(float)).sum()))
+    want = []
+    for t in asked:
+        tokens = [*t.encode().lower().split(), b""]
+        ids = [tree.end, tree.end, *(tree.ids.get(w, len(tree.ids) + lm_scoring.shape(w)) if w else tree.end for w in tokens)]
+        total = 0.0
+        for w, (a, b, i) in zip(tokens, zip(ids, ids[1:], ids[2:])):
+            x = v.before[a] * v.factors[0] + v.before[b] * v.factors[1]
+            total += log(model.log_class[tree.cls[a], tree.cls[b]] + v.classes @ x, tree.cls[i])
+            for node, scope in zip(tree.node, tree.scope):
+                if node[i] >= 0:
+                    lo, hi = tree.bounds[scope[i]], tree.bounds[scope[i] + 1]
+                    total += log(tree.prior[lo:hi] + v.nodes[lo:hi] @ x, node[i] - lo)
+            if w and w not in tree.ids:  # its share of what is left of the class
+                total += math.log((c.get(w, 0) + 1) / 10 ** tree.log_rest[i])
+        want.append(total / math.log(10))
+    got = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")).collect()}
+    assert all(abs(got[i] - w) < 1e-3 for i, w in enumerate(want))
 
 
 def test_lm_beats_the_base_on_held_out_documents(spark):
@@ -118,9 +150,9 @@ def test_lm_beats_the_base_on_held_out_documents(spark):
 
 
 def test_lm_without_documents(spark, none, hard):
-    model, counts = lm_scoring.fit(none)
-    assert lm_scoring.score(none, model, counts).count() == 0
-    got = lm_scoring.score(hard, model, counts).collect()
+    score = _lm(none)[3]
+    assert score(none).count() == 0
+    got = score(hard).collect()
     assert {r["n_known"] for r in got} == {0} and {r["train_tokens"] for r in got} == {0}
 
 
@@ -131,17 +163,17 @@ def test_lm_learns_the_order_of_rarer_words(spark):
     pairs = [f"{a} {b}" for a, b in zip(rarer[:20], rarer[20:])]
     texts = [common] * 200 + [" ".join(pairs[(i + j * 7) % 20] for j in range(20)) for i in range(100)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
-    model, counts = lm_scoring.fit(docs)
+    model, _, _, score = _lm(docs)
     assert not set(w.encode() for w in rarer) & set(model.vocab.own) and len({lm_scoring.shape(w.encode()) for w in rarer}) == 1
     crossed = [f"{a} {b}" for a, b in zip(rarer[:20], rarer[21:] + rarer[20:21])]
     asked = spark.createDataFrame([(0, " ".join(pairs)), (1, " ".join(crossed))], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in lm_scoring.score(asked, model, counts).collect()}
+    got = {r["doc_id"]: r for r in score(asked).collect()}
     assert abs(got[0]["base_score"] - got[1]["base_score"]) < 1e-9 and got[0]["score"] > got[1]["score"] + 1
 
 
 def test_lm_words_are_normalised_after_any_two_others(spark):
     texts = [" ".join(f"w{(i * j) % 300}{'.' * (j % 2)}" for j in range(60)) for i in range(40)]
-    model, counts = lm_scoring.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    model, counts, _, _ = _lm(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     tree = model.tree
     assert len(tree.ids) == counts.count() - 1 and np.abs(model.vectors.nodes).sum() > 0  # all but the end
     every = np.arange(len(tree.cls))
@@ -151,6 +183,14 @@ def test_lm_words_are_normalised_after_any_two_others(spark):
         assert abs(p.sum() - 1) < 1e-3
 
 
+def test_lm_long_words_are_words(spark):
+    long, other = "x" * 5000, "x" * 4999 + "y"
+    model, counts, _, score = _lm(spark.createDataFrame([(i, f"{long} a") for i in range(30)] + [(30, other)], "doc_id long, text string"))
+    assert max(len(bytes(r["word"])) for r in counts.collect()) <= lm_scoring.WIDEST and model.vocab.distinct == 4
+    got = {r["doc_id"]: r for r in score(spark.createDataFrame([(0, long), (1, other), (2, long + "z")], "doc_id long, text string")).collect()}
+    assert [got[i]["n_known"] for i in range(3)] == [2, 2, 1] and got[0]["base_score"] > got[1]["base_score"] > got[2]["base_score"]
+
+
 def test_lm_vocabulary_grows_with_the_training_tokens(spark):
     counts = spark.range(5000).select(F.concat(F.lit("w"), "id").cast("binary").alias("word"), F.lit(10).cast("long").alias("c"))
     assert len(lm_scoring.vocabulary(counts, frequent=1000).counts) == int(lm_scoring.GROWTH * 50_000**0.5)
