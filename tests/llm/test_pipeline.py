@@ -68,6 +68,31 @@ def test_run(spark, sf):
     assert all(r["n"] == r["end"] <= 4096 for r in full)
 
 
+def test_run_against_brute_force(spark, docs, sf):
+    """Lines, near duplicates and token ids by plain Python; the mix, which is pseudorandom,
+    by its operator on what these leave. The language stage rejects none of these."""
+    import zlib
+
+    import numpy as np
+    from test_corpus import _brute_components, _brute_lines
+    from tokenizers import Tokenizer
+
+    from foliant.llm import packing
+
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    lines = {d: text for d, text, _, _ in _brute_lines([(d, r["text"]) for d, r in rows.items()], 10)}
+    kept = [d for d, (_, c) in _brute_components(sorted(lines.items()), 5).items() if c == d]
+    left = spark.createDataFrame([(d, lines[d], rows[d]["lang"], rows[d]["source"], len(lines[d])) for d in kept], docs.schema)
+    tokenizer, want = Tokenizer.from_file(packing.tokenizer_path()), Counter()
+    for r in mixing.mixed_documents(left).collect():
+        ids = np.array([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1], "<u4")
+        for k in range(0, len(ids), 4096):
+            own = ids[k : k + 4096]
+            want[r["doc_id"], k // 4096, k, len(own), zlib.crc32(own.tobytes())] += 1
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in got) == want
+
+
 def test_stages_on_hard_rows(spark, hard, none, sf):
     for name, stage in corpus_pipeline.STAGES:
         for rows in (hard.drop("kept", "batch", "n"), none):
