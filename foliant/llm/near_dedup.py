@@ -56,9 +56,8 @@ LEADERS, SHARED_KEYS = 2, 8
 #: Up to so many edges, components are found in one task; beyond, by star contractions.
 ONE_TASK_EDGES = 50_000
 #: Members of a bucket or family, and shingles of a family, that one part of it holds at
-#: most on average; those of over WHOLE members are compared part by part, in PARTS parts
-#: at least. Pairs compared at a time.
-PART, LOAD, WHOLE, PARTS, PAIRS = 1024, 1_000_000, 256, 4, 1 << 16
+#: most on average; larger ones are compared part by part. Pairs compared at a time.
+PART, LOAD, PAIRS = 1024, 1_000_000, 1 << 16
 
 _U = np.uint64
 _rng = np.random.default_rng(90)
@@ -180,7 +179,10 @@ def _keys(classes: DataFrame) -> DataFrame:
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(rep, set): the sorted shingle hashes of the classes that ``wanted`` names, stored."""
     rows = classes.select("rep", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h")).join(wanted.distinct(), "rep", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), _text_hash().alias("_h"), "text").join(rows, ["_id", "_h"]).select("rep", "text")
+    rows = materialize(rows, "near-wanted")
+    ids = materialize(rows.select("_id").distinct(), "near-ids")  # few enough to be broadcast: then other texts aren't shuffled
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), _text_hash().alias("_h"), "text").join(ids, "_id", "left_semi")
+    texts = texts.join(rows, ["_id", "_h"]).select("rep", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,7 +220,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: i
 
 
 def _parts(n: Column) -> Column:
-    return F.when(n <= WHOLE, 1).otherwise(F.greatest(F.lit(PARTS), F.ceil(n / PART))).cast("int")
+    return F.ceil(n / PART).cast("int")
 
 
 def _celled(rows: DataFrame, group: str) -> DataFrame:
