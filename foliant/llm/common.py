@@ -29,10 +29,24 @@ def _free() -> None:
         pass
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``; at a task's end the worker gives back what it doesn't need."""
+def _hold() -> None:
+    """Has the C library hold freed arrays of up to 32 MB, 128 MB in all, for the next ones:
+    pages that go back after every step must be cleared again for the step after it."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], hold: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; at a task's end the worker gives back what it doesn't need.
+    hold: until then it keeps what large arrays took."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if hold:
+            _hold()
         yield from run(batches)
         _free()
 

@@ -30,6 +30,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,25 +63,36 @@ WIDTH, DRAWN, PASSES, TOGETHER, WORD_RATE, DAMPING = 16, 4, 1, 8192, 0.15, 0.02
 #: Bytes of ids a trainer has for each byte of its vectors; groups in which the trainers'
 #: vectors are added up before they are averaged.
 SHARE, SUMMED = 10, 256
-#: Vectors of a row as they are averaged, tokens that are scored at a time, and of these the
-#: tokens whose classes are.
-SLAB, SCORED, CLASSED = 1024, 1 << 18, 4096
+#: Vectors of a row as they are averaged, tokens that are scored at a time, and scores that
+#: are held at a time, so that they stay in a core's cache.
+SLAB, SCORED, CELLS = 1024, 1 << 18, 1 << 16
+
+#: Twice the class of a last byte: a mark, another ASCII sign, or anything else.
+ENDINGS = bytes(0 if chr(b) in ".,;:" else 2 if b < 128 and not chr(b).isalnum() else 4 for b in range(256))
+
 
 def shape(word: bytes) -> int:
     """The class, of SHAPES, of a word that has none of its own: length, last byte, and
     whether it is all ASCII."""
-    last = word[-1]
-    ending = 0 if last in b".,;:" else 1 if last < 128 and not chr(last).isalnum() else 2
-    return min((len(word) - 1) // 4, 3) * 6 + ending * 2 + (not word.isascii())
+    n = len(word)
+    return (n - 1 >> 2 if n < 13 else 3) * 6 + ENDINGS[word[-1]] + (not word.isascii())
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    words = (text or b"").lower().split()  # for bytes: A-Z, and white space 0x20, 0x09-0x0D
+def split(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()  # for bytes: A-Z, and white space 0x20, 0x09-0x0D
+
+
+def narrow(words: list[bytes]) -> list[bytes]:
+    """The words, those of over WIDEST bytes by their hash."""
     if words and max(map(len, words)) > WIDEST:
         words = [w if len(w) <= WIDEST else b"\xff" + hashlib.sha256(w).digest() + w[-1:] for w in words]  # no text holds 0xFF
     return words
 
 
+def tokens(text: bytes | None) -> list[bytes]:
+    return narrow(split(text))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all rows of ``docs``; the end token is the empty word."""
 
@@ -283,7 +295,7 @@ class Tree:
         u = rng.random((len(scopes), n)) * (self.bounds[scopes + 1][:, None] - first)
         whole = u.astype(np.int64)
         at = first + whole
-        return np.where(u - whole < self.keeps[at], at, self.others[at])
+        return np.where(u - whole < self.keeps.take(at), at, self.others.take(at))
 
     @property
     def end(self) -> int:
@@ -310,15 +322,15 @@ class Vectors:
         return [self.before, self.factors, self.classes, self.nodes]
 
     def ahead(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.before[a] * self.factors[0] + self.before[b] * self.factors[1]
+        return self.before.take(a, axis=0) * self.factors[0] + self.before.take(b, axis=0) * self.factors[1]
 
 
 def _picked_log(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Natural log-probability of ``at`` under the scores ``z``, normalised by row."""
-    np.minimum(z, 80, out=z)  # what exp can take
     picked = z[np.arange(len(z)), at]
-    total = np.exp(z) @ np.ones(z.shape[1], z.dtype)
-    if total.min() > 1e-30:
+    with np.errstate(over="ignore"):
+        total = np.exp(z) @ np.ones(z.shape[1], z.dtype)
+    if total.min() > 1e-30 and total.max() < 1e30:
         return picked - np.log(total)
     most = z.max(axis=1)
     return picked - most - np.log(np.exp(z - most[:, None]).sum(axis=1))
@@ -333,25 +345,31 @@ def _by_scope(node: np.ndarray, scope: np.ndarray) -> tuple[np.ndarray, list[int
     return rows, [*begins.tolist(), len(rows)], own[begins].tolist()
 
 
+def _pieces(lo: int, hi: int, width: int) -> Iterator[slice]:
+    """``lo`` to ``hi`` in pieces of rows that have CELLS scores, ``width`` each."""
+    size = max(CELLS // width, 1)
+    return (slice(i, min(i + size, hi)) for i in range(lo, hi, size))
+
+
 def log_next(tree: Tree, vectors: Vectors, log_class: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """log10 of the class, group and word of ids ``c`` after ``a`` and ``b``; of a rest it
     is that of the whole rest. log_class: the base, natural logarithms."""
     x = vectors.ahead(a, b)
     context, to = tree.cls[a] * CLASSES + tree.cls[b], tree.cls[c]
     out, base = np.empty(len(c)), log_class.reshape(CLASSES * CLASSES, CLASSES)
-    for lo in range(0, len(c), CLASSED):
-        z = x[lo : lo + CLASSED] @ vectors.classes.T
-        z += base[context[lo : lo + CLASSED]]
-        out[lo : lo + CLASSED] = _picked_log(z, to[lo : lo + CLASSED])
+    for own in _pieces(0, len(c), CLASSES):
+        z = x[own] @ vectors.classes.T
+        z += base.take(context[own], axis=0)
+        out[own] = _picked_log(z, to[own])
     for node, scope in zip(tree.node, tree.scope):
         rows, cuts, scopes = _by_scope(node[c], scope[c])
-        ahead, at, added = x[rows], node[c[rows]], np.zeros(len(rows), np.float32)
+        ahead, at, added = x.take(rows, axis=0), node[c[rows]], np.zeros(len(rows), np.float32)
         for lo, hi, k in zip(cuts, cuts[1:], scopes):
-            first, last = tree.bounds[k], tree.bounds[k + 1]
-            if last - first > 1:
-                z = ahead[lo:hi] @ vectors.nodes[first:last].T
+            first, last = int(tree.bounds[k]), int(tree.bounds[k + 1])
+            for own in _pieces(lo, hi, last - first) if last - first > 1 else ():
+                z = ahead[own] @ vectors.nodes[first:last].T
                 z += tree.prior[first:last]
-                added[lo:hi] = _picked_log(z, at[lo:hi] - first)
+                added[own] = _picked_log(z, at[own] - first)
         out[rows] += added
     return out / np.log(10)
 
@@ -362,16 +380,19 @@ class Trainer:
     def __init__(self, tree: Tree, vectors: Vectors, log_class: np.ndarray, seed: int):
         self.tree, self.rng = tree, np.random.default_rng(seed)
         self.vectors = Vectors(*[x.copy() for x in vectors.all()])
-        self.noise = (np.exp(log_class) * NOISE).reshape(CLASSES * CLASSES, CLASSES)
-        self.group_noise = np.exp(tree.prior) * np.float32(DRAWN)
+        self.noise = (np.exp(log_class) * NOISE / 2).reshape(CLASSES * CLASSES, CLASSES)  # halves, as _twice_data doubles
+        self.group_noise = np.exp(tree.prior[: tree.bounds[SHAPES]]) * np.float32(DRAWN / 2)
         self.met = [np.zeros(len(x), np.float32) for x in self.vectors.all()]
         self.squares = [np.full(len(x), DAMPING, np.float32) for x in self.vectors.all()]
 
     def _move(self, which: int, at: np.ndarray | slice, gradient: np.ndarray, n: np.ndarray | float) -> None:
-        squares = self.squares[which][at] + np.einsum("nd,nd->n", gradient, gradient) / np.float32(WIDTH)
+        """Moves vectors ``at``, each given once; ``gradient`` is overwritten."""
+        vectors, squares = self.vectors.all()[which], self.squares[which][at]
+        squares = squares + np.einsum("nd,nd->n", gradient, gradient) / np.float32(WIDTH)
         self.squares[which][at] = squares
         gradient *= (np.float32(-WORD_RATE) / np.sqrt(squares))[:, None]
-        self.vectors.all()[which][at] += gradient
+        gradient += vectors[at] if isinstance(at, slice) else vectors.take(at, axis=0)
+        vectors[at] = gradient
         self.met[which][at] += n
 
     def _scatter(self, which: int, at: np.ndarray, gradient: Callable[[np.ndarray], np.ndarray]) -> None:
@@ -379,48 +400,59 @@ class Trainer:
         key = np.sort(at.astype(np.int64) << 32 | np.arange(len(at)))
         order, at = key & 0xFFFFFFFF, key >> 32
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        self._move(which, at[first], np.add.reduceat(gradient(order), first, axis=0), np.diff(np.r_[first, len(at)]))
+        n = np.diff(np.r_[first, len(at)])
+        sums, many = gradient(order[first]), n > 1
+        if many.any():  # only these need adding; pairs of floats are added as one complex number
+            rows = gradient(order[np.repeat(many, n)]).view(np.complex64)
+            sums[many] = np.add.reduceat(rows, np.cumsum(n[many]) - n[many], axis=0).view(np.float32)
+        self._move(which, at[first], sums, n)
 
     def step(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
         """Of classes, and of the groups of a class, the noise's expectation is summed over
         all of them; noise words of a group are drawn."""
         tree, v, n = self.tree, self.vectors, len(c)
-        before_a, before_b = v.before[a], v.before[b]
+        before_a, before_b = v.before.take(a, axis=0), v.before.take(b, axis=0)
         x = before_a * v.factors[0] + before_b * v.factors[1]
-        p, at = _is_data(x @ v.classes.T, NOISE), (np.arange(n), tree.cls[c])
-        hit = p[at] - 1
-        p *= self.noise[tree.cls[a] * CLASSES + tree.cls[b]]
-        p[at] += hit
-        d_x, d_classes = p @ v.classes, p.T @ x
+        context, to = tree.cls[a] * CLASSES + tree.cls[b], tree.cls[c]
+        d_x, d_classes = np.empty_like(x), np.zeros_like(v.classes)
+        for own in _pieces(0, n, CLASSES):
+            p, at = _twice_data(x[own], v.classes, NOISE), (np.arange(own.stop - own.start), to[own])
+            hit = p[at] / 2 - 1
+            p *= self.noise.take(context[own], axis=0)
+            p[at] += hit
+            d_x[own] = p @ v.classes
+            d_classes += p.T @ x[own]
 
         rows, cuts, scopes = _by_scope(tree.node[0][c], tree.scope[0][c])
-        ahead, to = x[rows], tree.node[0][c[rows]]
-        back = np.zeros_like(ahead)
+        ahead, to, groups = x.take(rows, axis=0), tree.node[0][c[rows]], int(tree.bounds[SHAPES])
+        back, d_groups, met = np.zeros_like(ahead), np.zeros((groups, WIDTH), np.float32), np.zeros(groups, np.float32)
         for lo, hi, k in zip(cuts, cuts[1:], scopes):
             first, last = int(tree.bounds[k]), int(tree.bounds[k + 1])
-            if last - first > 1:
-                nodes, at = v.nodes[first:last], (np.arange(hi - lo), to[lo:hi] - first)
-                p = _is_data(ahead[lo:hi] @ nodes.T, DRAWN)
-                hit = p[at] - 1
+            met[first:last] = (hi - lo) / (last - first) if last - first > 1 else 0
+            for own in _pieces(lo, hi, last - first) if last - first > 1 else ():
+                nodes, at = v.nodes[first:last], (np.arange(own.stop - own.start), to[own] - first)
+                p = _twice_data(ahead[own], nodes, DRAWN)
+                hit = p[at] / 2 - 1
                 p *= self.group_noise[first:last]
                 p[at] += hit
-                back[lo:hi] = p @ nodes
-                self._move(3, slice(first, last), p.T @ ahead[lo:hi], np.float32(hi - lo) / (last - first))
+                back[own] = p @ nodes
+                d_groups[first:last] += p.T @ ahead[own]
+        self._move(3, slice(0, groups), d_groups, met)
         d_x[rows] += back
 
         rows = np.flatnonzero(tree.node[1][c] >= 0)
         if len(rows):
-            own, ahead = c[rows], x[rows]
+            own, ahead = c[rows], x.take(rows, axis=0)
             each = np.concatenate([tree.node[1][own][:, None], tree.drawn(tree.scope[1][own], DRAWN, self.rng)], 1)
-            q = v.nodes[each]
+            q = v.nodes.take(each, axis=0)
             d = _is_data(np.einsum("nkd,nd->nk", q, ahead), DRAWN)
             d[:, 0] -= 1
             d_x[rows] += np.einsum("nk,nkd->nd", d, q)
             d = d.ravel()
-            self._scatter(3, each.ravel(), lambda order: ahead[order // (DRAWN + 1)] * d[order][:, None])
+            self._scatter(3, each.ravel(), lambda order: ahead.take(order // (DRAWN + 1), axis=0) * d[order][:, None])
         d_factors = np.stack([np.einsum("nd,nd->d", d_x, before_a), np.einsum("nd,nd->d", d_x, before_b)])
         both = np.concatenate([d_x * v.factors[0], d_x * v.factors[1]])
-        self._scatter(0, np.r_[a, b], lambda order: both[order])
+        self._scatter(0, np.r_[a, b], lambda order: both.take(order, axis=0))
         self._move(1, slice(None), d_factors, n)
         self._move(2, slice(None), d_classes, n)
 
@@ -434,6 +466,16 @@ def _is_data(scores: np.ndarray, noise: int) -> np.ndarray:
     return np.reciprocal(scores, out=scores)
 
 
+def _twice_data(x: np.ndarray, following: np.ndarray, noise: int) -> np.ndarray:
+    """Twice _is_data of all products of ``x`` and ``following``: 1 + tanh(s / 2) is twice the
+    logistic function, in fewer passes, and takes any s."""
+    p = (x * np.float32(0.5)) @ following.T
+    p -= np.float32(np.log(noise) / 2)
+    np.tanh(p, out=p)
+    p += 1
+    return p
+
+
 def encoded(docs: DataFrame, tree: Tree) -> DataFrame:
     """row, the columns of ``docs`` but text, ids (int32, the end's last), and the words
     that aren't in the vocabulary (rare) with how often each occurs (times); stored, so that
@@ -445,19 +487,27 @@ def encoded(docs: DataFrame, tree: Tree) -> DataFrame:
         own, row = shared.value, TaskContext.get().partitionId() << 33
         v, known, end = len(own.ids), own.ids, own.end
         for b in batches:
-            ids, rare, times = [], [], []
+            ids, rare, times, ends = [], [], [], [0]
             for t in b.column(0).cast(pa.binary()):
-                words = tokens(t.as_py())
-                found = list(map(known.get, words))
-                few: dict = {}
-                if None in found:
-                    few = Counter([w for w, i in zip(words, found) if i is None])
-                    found = [v + shape(w) if i is None else i for w, i in zip(words, found)]
-                found.append(end)
-                ids.append(np.array(found, np.int32).tobytes())
-                rare.append(list(few))
-                times.append(list(few.values()))
-            cols = [pa.array(np.arange(row, row + len(ids))), *b.columns[1:], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int32()))]
+                words = [*split(t.as_py()), b""]  # the end
+                found = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
+                found[-1] = end
+                unknown = np.flatnonzero(found < 0).tolist()
+                if unknown:
+                    wide = [words[i] for i in unknown]  # no word of the vocabulary is wide
+                    others = narrow(wide)
+                    few = Counter(others)
+                    at = {w: v + shape(w) for w in few}
+                    if others is not wide:
+                        at |= {w: known[w] for w in few if w in known}
+                        few = {w: n for w, n in few.items() if w not in known}
+                    found[unknown] = [at[w] for w in others]
+                    rare += few
+                    times += few.values()
+                ids.append(found.tobytes())
+                ends.append(len(rare))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, k)) for x, k in ((rare, pa.binary()), (times, pa.int32()))]
+            cols = [pa.array(np.arange(row, row + len(ids))), *b.columns[1:], pa.array(ids, pa.binary()), *lists]
             row += len(ids)
             yield pa.RecordBatch.from_arrays(cols, ["row", *keys, "ids", "rare", "times"])
 
@@ -523,7 +573,7 @@ def learn(encoded: DataFrame, tree: Tree, log_class: np.ndarray, passes: int = P
             return pa.table({"which": t.column("which")[:1], "slab": t.column("slab")[:1], "mean": pa.array([mean.tobytes()], pa.binary())})
 
         schema = "which int, slab long, part int, sums binary"
-        rows = shares.mapInArrow(lean(run), schema)
+        rows = shares.mapInArrow(lean(run, hold=True), schema)
         sums = rows.groupBy("which", "slab", F.col("part") % SUMMED).applyInArrow(added, schema)
         new = Vectors(*[x.copy() for x in vectors.all()])
         for r in sums.groupBy("which", "slab").applyInArrow(averaged, "which int, slab long, mean binary").collect():
@@ -584,7 +634,7 @@ def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], ["row", "doc_id", "learns", "n_tokens", "known", "logs", "lm"])
 
     schema = "row long, doc_id long, learns boolean, n_tokens long, known long, logs double, lm double"
-    read = rows.select("row", "doc_id", "learns", "ids").mapInArrow(lean(run), schema)
+    read = rows.select("row", "doc_id", "learns", "ids").mapInArrow(lean(run, hold=True), schema)
     each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     hits = each.join(counts.filter(F.col("c") > 0), "word")
     sums = hits.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))

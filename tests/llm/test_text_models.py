@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.llm import language_id, lm_scoring, quality_rules
+from foliant.llm.common import lean
 from foliant.llm.language_id import Network
 
 
@@ -183,6 +185,95 @@ def test_lm_words_are_normalised_after_any_two_others(spark):
         assert abs(p.sum() - 1) < 1e-3
 
 
+def test_lm_probabilities_of_scores_of_any_size():
+    z = np.float32([[200, 100, 0], [85, 81, 0], [-300, -301, -400], [1, 2, 3]])
+    want = z.astype(float) - np.logaddexp.reduce(z.astype(float), axis=1)[:, None]
+    for rows in (slice(0, 4), slice(0, 1), slice(1, 2), slice(2, 3), slice(3, 4)):
+        for at in range(3):
+            got = lm_scoring._picked_log(z[rows].copy(), np.full(len(z[rows]), at))
+            assert np.allclose(got, want[rows, at], atol=1e-4)
+
+
+def test_lm_step_equals_sums_over_trigrams(monkeypatch):
+    words = {f"{'ab'[i % 2] * (1 + i % 9)}{i:02d}".encode(): 90 - i for i in range(80)}
+    vocab = lm_scoring.Vocabulary(words, 5000, 81)
+    tree = lm_scoring.Tree.of(vocab, np.full(lm_scoring.CLASSES, 900.0))
+    rng, k = np.random.default_rng(5), lm_scoring.CLASSES
+    base = rng.normal(0, 1, (k, k, k))
+    base = (base - np.logaddexp.reduce(base, axis=2)[:, :, None]).astype(np.float32)
+    start = lm_scoring.Vectors.start(tree)
+    start.classes, start.nodes = [rng.normal(0, 0.3, x.shape).astype(np.float32) for x in (start.classes, start.nodes)]
+    a, b, c = rng.integers(0, len(tree.cls), (3, 300))
+    monkeypatch.setattr(lm_scoring, "CELLS", 700)  # many pieces
+    monkeypatch.setattr(lm_scoring.Tree, "drawn", lambda self, scopes, n, rng: np.repeat(self.bounds[scopes][:, None], n, 1))
+    trainer = lm_scoring.Trainer(tree, start, base, seed=1)
+    trainer.step(a, b, c)
+    data = lambda s, noise: 1 / (1 + noise * np.exp(-s))
+    v, first, count = start, int(tree.bounds[lm_scoring.SHAPES]), lm_scoring.DRAWN
+    grads = [np.zeros(x.shape) for x in v.all()]
+    for i, j, w in zip(a, b, c):
+        x = (v.before[i] * v.factors[0] + v.before[j] * v.factors[1]).astype(float)
+        moved = [(2, slice(None), v.classes, tree.cls[w], np.exp(base[tree.cls[i], tree.cls[j]].astype(float)) * lm_scoring.NOISE, lm_scoring.NOISE)]
+        if tree.node[0, w] >= 0:
+            at = slice(*tree.bounds[tree.scope[0, w] :][:2])
+            if at.stop - at.start > 1:
+                moved.append((3, at, v.nodes[at], tree.node[0, w] - at.start, np.exp(tree.prior[at].astype(float)) * count, count))
+        if tree.node[1, w] >= 0:
+            at = slice(*tree.bounds[tree.scope[1, w] :][:2])
+            moved.append((3, at, v.nodes[at], tree.node[1, w] - at.start, count * (np.arange(at.stop - at.start) == 0), count))
+        d_x = np.zeros(len(x))
+        for which, at, q, real, noise, n in moved:
+            p = data(q @ x, n)
+            d = p * noise
+            d[real] += p[real] - 1
+            grads[which][at] += d[:, None] * x
+            d_x += d @ q
+        grads[0][i] += d_x * v.factors[0]
+        grads[0][j] += d_x * v.factors[1]
+        grads[1] += d_x * np.stack([v.before[i], v.before[j]])
+    for which in (0, 1, 2):
+        square = lm_scoring.DAMPING + (grads[which] ** 2).mean(axis=1)
+        want = v.all()[which] - lm_scoring.WORD_RATE * grads[which] / np.sqrt(square)[:, None]
+        assert np.allclose(trainer.vectors.all()[which], want, atol=1e-4)
+    square = lm_scoring.DAMPING + (grads[3] ** 2).mean(axis=1)
+    assert np.allclose(trainer.squares[3], square, rtol=1e-3, atol=1e-5)
+    want = v.nodes - lm_scoring.WORD_RATE * grads[3] / np.sqrt(square)[:, None]
+    assert np.allclose(trainer.vectors.nodes, want, atol=1e-4) and 0 < first < len(want)
+
+
+def test_lm_wide_words_of_the_vocabulary_and_rare_ones(spark, monkeypatch):
+    wide, other = "x" * 70, "y" * 70
+    texts = [(i, f"{wide} a A", True) for i in range(9)] + [(9, None, True), (10, f"{other} {wide} b.\x0bb. {other}", True)]
+    monkeypatch.setattr(lm_scoring.vocabulary, "__defaults__", (2,))
+    monkeypatch.setattr(lm_scoring, "GROWTH", 0)
+    docs = spark.createDataFrame(texts, "doc_id long, text string, learns boolean").coalesce(1)
+    model, _, rows = lm_scoring.fit(docs)
+    (name, hashed), known = lm_scoring.narrow([b"b.", other.encode()]), model.tree.ids
+    assert set(known) == {b"a", lm_scoring.narrow([wide.encode()])[0]} and hashed != other.encode() and name == b"b."
+    v, end = len(known), model.tree.end
+    got = {r["doc_id"]: (np.frombuffer(bytes(r["ids"]), np.int32).tolist(), dict(zip(map(bytes, r["rare"]), r["times"]))) for r in rows.collect()}
+    w, a = known[lm_scoring.narrow([wide.encode()])[0]], known[b"a"]
+    b, y = v + lm_scoring.shape(b"b."), v + lm_scoring.shape(hashed)
+    assert got[0] == ([w, a, a, end], {}) and got[9] == ([end], {})
+    assert got[10] == ([y, w, b, b, y, end], {hashed: 2, b"b.": 2})
+
+
+def test_workers_hold_the_memory_of_large_arrays(spark):
+    def run(batches):
+        import resource
+
+        for b in batches:
+            for _ in range(3):
+                np.ones(4 << 20, np.uint8)
+            before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+            for _ in range(50):
+                np.ones(4 << 20, np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before])], ["faults"])
+
+    faults = spark.range(1).coalesce(1).mapInArrow(lean(run, hold=True), "faults long").first()[0]
+    assert faults < 2000  # 1024 pages an array
+
+
 def test_lm_long_words_are_words(spark):
     long, other = "x" * 5000, "x" * 4999 + "y"
     model, counts, _, score = _lm(spark.createDataFrame([(i, f"{long} a") for i in range(30)] + [(30, other)], "doc_id long, text string"))
